@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .counts import op1_token_counts
 from .packing import op6_packing
+from .pstable import op3_vector_near_dedup
+from .simhash import op5_simhash
 from .tokenfile import op10_token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op6_packing, op10_token_file]
+    found = [op1_token_counts, op3_vector_near_dedup, op5_simhash, op6_packing, op10_token_file]
     return {f.__name__: f for f in found}
 
 
