@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .contamination import op9_decontamination
 from .counts import op1_token_counts
 from .packing import op6_packing
 from .pstable import op3_vector_near_dedup
 from .simhash import op5_simhash
 from .tokenfile import op10_token_file
+from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op3_vector_near_dedup, op5_simhash, op6_packing, op10_token_file]
+    found = [op1_token_counts, op2_warc, op3_vector_near_dedup, op5_simhash, op6_packing, op9_decontamination, op10_token_file]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_SQL}
