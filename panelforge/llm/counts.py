@@ -26,7 +26,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seen = encoder(tokenizer), Counter()
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1_500_000):
             _, at = coder.encode(batch.column(0).to_pylist())
             seen.update(dict(zip(*(x.tolist() for x in np.unique(np.diff(at), return_counts=True)))))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "docs"])

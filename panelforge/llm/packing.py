@@ -108,7 +108,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_
             sequence += len(w) - 1
             return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.astype(np.int64)) for x in out], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1_500_000):
             ids, at = coder.encode(batch.column(1).to_pylist())
             count = np.diff(at) + 1
             out = np.full(int(count.sum()), end_id, np.uint32)

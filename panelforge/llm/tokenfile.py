@@ -32,7 +32,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, row, total = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1_500_000):
             ids, at = coder.encode(batch.column(1).to_pylist())
             n = batch.num_rows
             sizes = np.diff(at) + 1

@@ -10,15 +10,45 @@ from __future__ import annotations
 
 import json
 import os
-import re
+from itertools import chain
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Characters for which Python and the library agree on letters, digits, white space and lower case.
-_OTHER = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ÿ]|<\\|")
-_RUN = re.compile(r"\s\s")
+#: Letters and digits, white space, and signs for which Python and the library agree; ``_KIND`` names a character's class.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzªµºÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_KIND = bytearray(b"?" * 256)
+for _c in range(33, 127):
+    _KIND[_c] = ord("%")
+for _c in "¡¢£¤¥¦§¨©«¬\xad®¯°±´¶·¸»¿×÷":
+    _KIND[ord(_c)] = ord("%")
+for _c in _LETTERS + "0123456789":
+    _KIND[ord(_c)] = ord("a")
+for _c in "\t\n\r ":
+    _KIND[ord(_c)] = ord(" ")
+for _c in ".,":
+    _KIND[ord(_c)] = ord(".")
+_MARKS = frozenset("\n\r\t\x01")
+
+
+class _Codes(dict):
+    """Numbers of words; those asked for the first time get the next number and are kept in ``new``."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        code = self[word] = len(self)
+        return code
+
+
+def _alphabet() -> dict[int, str]:
+    """The byte-level alphabet: how each character of the first 256 is written in the files' vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    sign = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(256)}
 
 
 class Encoder:
@@ -27,7 +57,7 @@ class Encoder:
     ``most_words`` bounds the table of known words; when it is full, it is started anew.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -36,6 +66,7 @@ class Encoder:
         self.lower = spec.get("normalizer") is not None
         self.by_word = self._known(spec)
         self.most_words = most_words
+        self.alphabet = _alphabet()
         self._clear()
 
     @staticmethod
@@ -49,43 +80,62 @@ class Encoder:
         return kinds == ["NFC", "Replace", "Lowercase"] and parts == ["Split", "ByteLevel"]
 
     def _clear(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes()
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        new = list(dict.fromkeys(words))
-        # the first character says what stood before the word: a space, a line end, or nothing (\x01)
-        got = [e.ids for e in self.library.encode_batch_fast([w[1:] if w[:1] == "\x01" else w for w in new], add_special_tokens=False)]
+    def _learn(self) -> None:
+        """Words of letters are whole in the split and go straight to the library's merges, all others through its split."""
+        new, self.codes.new = self.codes.new, []
+        merge, signs = self.library.model.tokenize, self.alphabet
+        if self.lower:
+            got = [[t.id for t in merge(w.translate(signs))] if w.isalpha() else None for w in new]
+        else:
+            got = [[t.id for t in merge((w[1:] if w[0] == "\x01" else w).translate(signs))] if w[1:].isalpha() and w[0] in " \x01" else None for w in new]
+        rest = [i for i, ids in enumerate(got) if ids is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([new[i].removeprefix("\x01") for i in rest], add_special_tokens=False)):
+            got[i] = e.ids
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, int(lengths.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
 
     def _words(self, text: str) -> list[str] | None:
-        if not self.by_word or _OTHER.search(text):
+        """The words of a text, or None if it has to go through the library whole.
+
+        In the byte-level split a word's first character says what stood before it: a space, or nothing (\x01).
+        """
+        try:
+            kinds = text.encode("latin-1").translate(_KIND)
+        except UnicodeEncodeError:
             return None
+        if not self.by_word or b"?" in kinds or "<|" in text or (not self.lower and b"  " in kinds):
+            return None
+        kinds = b" " + kinds + b" "
+        # a comma or full stop after another sign belongs to that sign's word; elsewhere it is a word of its own
+        if b"%. " not in kinds and b".. " not in kinds and b" . " not in kinds:
+            glue = " " if self.lower else " \x01"
+            text = text.replace(", ", glue + ", ").replace(". ", glue + ". ").replace(".\n", glue + ".\n")
+            if text.endswith("."):
+                text = text[:-1] + glue + "."
         if self.lower:
             return text.lower().split()
-        if _RUN.search(text):
-            return None
-        words = text.replace("\n", " \n").replace("\r", " \r").replace("\t", " \t").split(" ")
-        out = [w if w[:1] in ("\n", "\r", "\t") and w else " " + w for w in words]
-        out[0] = "\x01" + words[0]
-        return out
+        for c in "\n\r\t":
+            text = text.replace(c, f" {c} \x01")
+        words = [w if w[:1] in _MARKS else " " + w for w in text.split(" ")]
+        words[0] = words[0] if words[0][:1] == "\x01" else "\x01" + words[0].removeprefix(" ")
+        return words
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one uint32 array, and where each text's begin (n + 1 offsets). Null counts as empty."""
         split = [self._words(t) if t else [] for t in texts]
         if len(self.codes) > self.most_words:
             self._clear()
-        known = self.codes
-        if missing := [w for words in split if words for w in words if w not in known]:
-            self._learn(missing)
-        counts = np.fromiter((len(w) if w is not None else 0 for w in split), np.int64, len(split))
-        codes = np.fromiter((known[w] for words in split if words for w in words), np.int64, int(counts.sum()))
+        counts = np.fromiter((len(w) if w else 0 for w in split), np.int64, len(split))
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(w for w in split if w)), np.int64, int(counts.sum()))
+        if self.codes.new:
+            self._learn()
         sizes = self.lengths[codes] if len(codes) else np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))] if len(codes) else np.zeros(0, np.uint32)
