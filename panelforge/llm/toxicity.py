@@ -1,8 +1,9 @@
 """Operator 7: toxicity grades by cumulative-link ordinal regression.
 
 A document has the grade y in 0..K-1 with P(y > k) = sigmoid(w.x - c_k): one weight vector for all thresholds, which are
-kept in order. x marks the words (and the first bytes of words, which inflected forms share) that a text holds. Weights
-are fitted by proximal steps with an L1 penalty, so all but a few are zero.
+kept in order. x marks the words (and the first bytes of words, which inflected forms share) that a text holds. Only
+features that go with toxic texts beyond chance get a weight, and proximal steps with an L1 penalty set many of those to
+zero.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ BITS = 20
 #: Lengths in bytes of the word beginnings that count as features, besides whole words.
 HEADS = (5, 6, 7)
 #: Most labelled rows that the model is fitted on, and documents of them that a feature is in at least.
-SAMPLE, LEAST_DOCS = 10_000, 3
+SAMPLE, LEAST_DOCS = 10_000, 4
+#: Standard deviations by which a feature's toxic documents must exceed their expected number.
+LEAST_Z = 5.0
 GRADES = 4
 
 
@@ -63,16 +66,18 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - z[:, None], -60, 60)))
 
 
-def fit(found: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 150, l1: float = 4e-4) -> Ordinal:
+def fit(found: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400, l1: float = 5e-5) -> Ordinal:
     """Proximal AdaGrad on the mean negative log-likelihood of the cumulative-link model."""
     n = len(grade)
     weights = np.zeros(1 << BITS)
-    docs = np.bincount(found, minlength=1 << BITS)
-    some = docs >= LEAST_DOCS
+    row = np.repeat(np.arange(n), np.diff(first))
+    docs, toxic = (np.bincount(x, minlength=1 << BITS) for x in (found, found[grade[row] > 0]))
+    rate = np.mean(grade > 0) if n else 0.0
+    some = (docs >= LEAST_DOCS) & (toxic - docs * rate >= LEAST_Z * np.sqrt(docs * rate * (1 - rate)))
     keep = some[found]
     first = np.concatenate([[0], np.cumsum(keep)])[first]
     names, at = np.unique(found[keep], return_inverse=True)
-    row = np.repeat(np.arange(n), np.diff(first))
+    row = row[keep]
     share = np.array([(np.sum(grade > k) + 0.5) / (n + 1) for k in range(grades - 1)])
     cuts = -np.log(share / (1 - share))
     w, gw, gc = np.zeros(len(names)), np.full(len(names), 1e-8), np.full(grades - 1, 1e-8)
