@@ -32,7 +32,10 @@ SENTENCE, ANYWHERE, STEP = 2, 12, 32
 
 
 def cuts(places: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
-    """Window ends (the last place included) of least padding plus penalty; neighbouring places are at most ``size`` apart and the first is 0."""
+    """Window ends (the last place included) of least padding plus penalty; neighbouring places are at most ``size`` apart and the first is 0.
+
+    The last window isn't padded: it is cut at powers of two, each cut costing as much as one anywhere.
+    """
     p, q = places.tolist(), penalty.tolist()
     best, back = [0] * len(p), [0] * len(p)
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # best + p, p, index; rising in both
@@ -48,10 +51,15 @@ def cuts(places: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, at, j))
-    out, j = [], len(p) - 1
-    while j:
-        out.append(p[j])
-        j = back[j]
+    end = len(p) - 1
+    out = []
+    if end:
+        out.append(p[end])
+        near = range(int(np.searchsorted(places, p[end] - size)), end)
+        j = min(near, key=lambda i: best[i] + ANYWHERE * ((p[end] - p[i]).bit_count() - 1))
+        while j:
+            out.append(p[j])
+            j = back[j]
     return out[::-1]
 
 
