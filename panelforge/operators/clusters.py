@@ -80,10 +80,11 @@ def purity(df: DataFrame, label: str, truth: str) -> DataFrame:
 
 def cluster_summary(df: DataFrame, label: str, group: str) -> DataFrame:
     """cluster_id from 0 to the greatest, n, top group and its share; empty ids have 0."""
-    counts = df.where(F.col(label) >= 0).groupBy(label, group).agg(F.count("*").alias("c"))
-    s = counts.groupBy(label).agg(F.sum("c").alias("n"), F.max(F.when(F.col(group).isNotNull(), F.col("c"))).alias("m"), F.max_by(F.when(F.col(group).isNotNull(), F.col(group)), F.when(F.col(group).isNotNull(), F.struct("c", group))).alias("top_group"))
+    counts = df.where(F.col(label) >= 0).groupBy(label, group).agg(F.count("*").alias("_c"))
+    named = F.col(group).isNotNull()
+    s = counts.groupBy(F.col(label).alias("_id")).agg(F.sum("_c").alias("_n"), F.max(F.when(named, F.col("_c"))).alias("_m"), F.max_by(F.when(named, F.col(group)), F.when(named, F.struct("_c", group))).alias("top_group"))
     ids = df.agg(F.coalesce(F.max(label), F.lit(-1)).alias("last")).select(F.explode(F.when(F.col("last") >= 0, F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).otherwise(F.array().cast("array<bigint>"))).alias("cluster_id"))
-    return ids.join(s, F.col("cluster_id") == F.col(label), "left").select("cluster_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "top_group", (F.col("m") / F.nullif(F.col("n"), F.lit(0))).alias("top_share"))
+    return ids.join(s, F.col("cluster_id") == F.col("_id"), "left").select("cluster_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n"), "top_group", (F.col("_m") / F.nullif(F.col("_n"), F.lit(0))).alias("top_share"))
 
 
 def separation(vectors: DataFrame, labels: DataFrame, id_col: str, vector_col: str, label: str = "cluster_id") -> DataFrame:
@@ -131,6 +132,69 @@ def silhouette(vectors: DataFrame, labels: DataFrame, id_col: str, vector_col: s
     return taken.mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
 
 
+#: Edge rows (both directions) up to which communities are found on the driver.
+LOCAL_EDGES = 200_000
+
+
+def local_communities(edges: pd.DataFrame, resolution: float = 1.0, refine: bool = False) -> dict[int, int]:
+    """Sequential Louvain (or Leiden, with ``refine``) over symmetric edges: node -> community, named by its least node."""
+    near: dict[int, dict[int, float]] = {}
+    for a, b, w in edges[["src", "dst", "weight"]].itertuples(index=False):
+        near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
+    total = sum(sum(x.values()) for x in near.values())
+    part = {v: v for v in near}
+    start = {v: v for v in near}
+    while True:
+        moved = _settle(near, start, total, resolution)
+        whole = {v: moved[part[v]] for v in part}
+        split = _settle(near, {v: v for v in near}, total, resolution, moved) if refine else moved
+        if len(set(split.values())) == len(near):
+            break
+        up: dict[int, dict[int, float]] = {}
+        for a, x in near.items():
+            row = up.setdefault(split[a], {})
+            for b, w in x.items():
+                row[split[b]] = row.get(split[b], 0.0) + w
+        outer: dict[int, int] = {}
+        for v in sorted(near):
+            outer.setdefault(moved[v], split[v])
+        start = {split[v]: outer[moved[v]] for v in near}
+        part = {v: split[part[v]] for v in part}
+        near = up
+    least: dict[int, int] = {}
+    for v in sorted(whole):
+        least.setdefault(whole[v], v)
+    return {v: least[c] for v, c in whole.items()}
+
+
+def _settle(near: dict[int, dict[int, float]], label: dict[int, int], total: float, resolution: float, within: dict[int, int] | None = None) -> dict[int, int]:
+    """Single nodes move to the neighbouring community of greatest gain until none gains."""
+    label = dict(label)
+    degree = {v: sum(x.values()) for v, x in near.items()}
+    volume: dict[int, float] = {}
+    for v, c in label.items():
+        volume[c] = volume.get(c, 0.0) + degree[v]
+    order, changed = sorted(near), True
+    while changed:
+        changed = False
+        for v in order:
+            links: dict[int, float] = {}
+            for u, w in near[v].items():
+                if u != v and (within is None or within[u] == within[v]):
+                    links[label[u]] = links.get(label[u], 0.0) + w
+            own, k = label[v], degree[v]
+            volume[own] -= k
+            best, value = own, links.get(own, 0.0) - resolution * k * volume[own] / total
+            for c in sorted(links):
+                gain = links[c] - resolution * k * volume.get(c, 0.0) / total
+                if gain > value + 1e-12:
+                    best, value = c, gain
+            volume[best] = volume.get(best, 0.0) + k
+            if best != own:
+                label[v], changed = best, True
+    return label
+
+
 def _aggregate(edges: DataFrame, label: DataFrame) -> DataFrame:
     a, b = label.select(F.col("id").alias("src"), F.col("label").alias("a")), label.select(F.col("id").alias("dst"), F.col("label").alias("b"))
     return edges.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
@@ -164,18 +228,23 @@ def _move(edges: DataFrame, label: DataFrame, degree: DataFrame, total: float, r
     return label
 
 
-def communities(edges: DataFrame, nodes: DataFrame, id_col: str, resolution: float = 1.0, refine: bool = False, levels: int = 6, rounds: int = 12) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame, id_col: str, resolution: float = 1.0, refine: bool = False, levels: int = 5, rounds: int = 8) -> DataFrame:
     """id, community_id (long ids; communities named by one of their members).
 
     Louvain: parallel local moves, half the nodes a round by hash so that neighbours don't swap, then the graph of the
     communities, again. With ``refine`` (as Leiden does) each community is first split again by moves from single nodes
-    that stay inside it, and those parts are what is aggregated. Isolated nodes stay alone.
+    that stay inside it, and those parts are what is aggregated. Isolated nodes stay alone. A graph of at most
+    ``LOCAL_EDGES`` edge rows is small enough for the sequential form on the driver, which needs no rounds of jobs.
     """
     current = nodes.select(F.col(id_col).cast("long").alias("id"), F.col(id_col).cast("long").alias("label"))
     e = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight")))
     total = e.agg(F.sum("weight")).first()[0]
     if not total:
         return current.select(F.col("id").alias(id_col), F.col("label").alias("community_id"))
+    if e.count() <= LOCAL_EDGES:
+        found = local_communities(e.toPandas(), resolution, refine)
+        named = edges.sparkSession.createDataFrame([(int(a), int(b)) for a, b in found.items()], "id long, c long")
+        return current.join(F.broadcast(named), "id", "left").select(F.col("id").alias(id_col), F.coalesce("c", "label").alias("community_id"))
     part = current
     start: DataFrame | None = None
     for _ in range(levels):

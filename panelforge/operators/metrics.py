@@ -34,23 +34,27 @@ def connected_components(edges: DataFrame, nodes: DataFrame, id_col: str, max_ro
     return label.select(F.col("id").alias(id_col), F.col("label").alias("component"), F.count("*").over(Window.partitionBy("label")).alias("size"))
 
 
+def _rank_step(share: DataFrame, every: DataFrame, rank: DataFrame, alpha: float, n: int) -> DataFrame:
+    """One round; the ranks enter its plan once, as nodes without incoming edges come from the node table."""
+    moved = share.join(rank, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), (F.col("p") * F.col("r")).alias("m"))
+    return moved.unionByName(every).groupBy("id").agg((F.lit((1 - alpha) / max(n, 1)) + F.lit(alpha) * F.sum("m")).alias("r"))
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame, id_col: str, alpha: float = 0.85, rounds: int = 100, tol: float = 1e-6, normalize: bool = False, check_every: int = 5) -> DataFrame:
     """id, pagerank: power iteration with weights as transition shares and no redistribution from nodes without edges, until the L1 change is under ``tol`` (looked at every few rounds)."""
     n = nodes.count()
     share = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("_s")), "src").select("src", "dst", (F.col("weight") / F.nullif(F.col("_s"), F.lit(0.0))).alias("p"))
     share = cut(share)
+    every = nodes.select(F.col(id_col).alias("id"), F.lit(0.0).alias("m"))
     rank = nodes.select(F.col(id_col).alias("id"), F.lit(1.0 / max(n, 1)).alias("r"))
     for i in range(1, rounds + 1):
-        moved = share.join(rank, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("p") * F.col("r")).alias("m"))
-        new = rank.join(moved, F.col("id") == F.col("dst"), "left").select("id", F.col("r").alias("old"), (F.lit((1 - alpha) / max(n, 1)) + F.lit(alpha) * F.coalesce("m", F.lit(0.0))).alias("r"))
-        if i % check_every == 0 or i == rounds:
-            new = cut(new)
-            change = new.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0
-            rank = new.select("id", "r")
-            if change < tol:
-                break
+        if i % check_every and i != rounds:
+            rank = _rank_step(share, every, rank, alpha, n)
         else:
-            rank = new.select("id", "r")
+            old = cut(rank)
+            rank = cut(_rank_step(share, every, old, alpha, n))
+            if tol > 0 and (rank.join(old.withColumnRenamed("r", "old"), "id").agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0) < tol:
+                break
     if normalize:
         rank = rank.join(F.broadcast(rank.agg(F.sum("r").alias("_s")))).select("id", (F.col("r") / F.nullif(F.col("_s"), F.lit(0.0))).alias("r"))
     return rank.select(F.col("id").alias(id_col), F.col("r").alias("pagerank"))
@@ -59,11 +63,12 @@ def pagerank(edges: DataFrame, nodes: DataFrame, id_col: str, alpha: float = 0.8
 def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, id_col: str, rounds: int = 60, check_every: int = 5) -> DataFrame:
     """id, eigenvector: power iteration on A + I (which also settles on bipartite graphs), summing to 1."""
     x = nodes.select(F.col(id_col).alias("id"), F.lit(1.0).alias("x"))
+    shifted = cut(edges.select("src", "dst", "weight").unionByName(nodes.select(F.col(id_col).alias("src"), F.col(id_col).alias("dst"), F.lit(1.0).alias("weight"))))
     for i in range(1, rounds + 1):
-        near = edges.join(x, F.col("dst") == F.col("id")).groupBy("src").agg(F.sum(F.col("weight") * F.col("x")).alias("m"))
-        x = x.join(near, F.col("id") == F.col("src"), "left").select("id", (F.col("x") + F.coalesce("m", F.lit(0.0))).alias("x"))
+        x = shifted.join(x, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
         if i % check_every == 0 or i == rounds:
-            x = cut(x.join(F.broadcast(x.agg(F.sum("x").alias("_s")))).select("id", (F.col("x") / F.col("_s")).alias("x")))
+            x = cut(x)
+            x = x.join(F.broadcast(x.agg(F.sum("x").alias("_s")))).select("id", (F.col("x") / F.col("_s")).alias("x"))
     return x.select(F.col("id").alias(id_col), F.col("x").alias("eigenvector"))
 
 

@@ -39,7 +39,7 @@ def c6_spectral(spark, d):
     return rounded(clusters.spectral_clusters(_graph(spark, d, 5), 5, "vec_id"))
 
 
-@query("c7_modularity", with_(_graph_sql(5)) + ", s as (select a.label, sum(case when a.label = b.label then weight else 0 end) as i, sum(weight) as d from g join embeddings a on a.vec_id = src join embeddings b on b.vec_id = dst group by 1), t as (select sum(d) as m2 from s) select round(sum(i / m2 - power(d / m2, 2)), 6) + 0.0 as modularity from s, t")
+@query("c7_modularity", with_(_graph_sql(5)) + ", sm as (select a.label, sum(case when a.label = b.label then weight else 0 end) as i, sum(weight) as d from g join embeddings a on a.vec_id = src join embeddings b on b.vec_id = dst group by 1), tt as (select sum(d) as m2 from sm) select round(sum(i / m2 - power(d / m2, 2)), 6) + 0.0 as modularity from sm, tt")
 def c7_modularity(spark, d):
     return rounded(clusters.modularity(_graph(spark, d, 5), _vectors(spark, d), "vec_id", "label"))
 
