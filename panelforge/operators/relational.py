@@ -47,22 +47,27 @@ def latest_per_key(df: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
     return best.select(by, *[F.col("_r")[c].alias(c) for c in rest])
 
 
+def _open_end(df: DataFrame, end: str) -> F.Column:
+    """An end that is missing, or 0 where ends are numbers."""
+    c = df[end]
+    return c.isNull() | (c == 0) if dict(df.dtypes)[end] in ("int", "bigint", "smallint") else c.isNull()
+
+
 def valid_at(df: DataFrame, day: F.Column, start: str = "in_date", end: str = "out_date") -> DataFrame:
     """Rows whose interval holds ``day``: started, and not ended (an end that is NULL or 0 is open; the end itself is outside)."""
-    return df.where((F.col(start) <= day) & (F.col(end).isNull() | (F.col(end) == 0) | (F.col(end) > day)))
+    return df.where((F.col(start) <= day) & (_open_end(df, end) | (F.col(end) > day)))
 
 
 def membership_join(facts: DataFrame, members: DataFrame, by: str, at: str, columns: Sequence[str], start: str = "in_date", end: str = "out_date") -> DataFrame:
     """Facts with the columns of the membership valid at their date; of several valid ones the latest start wins as a whole row.
 
-    Memberships of a key are few, so the latest started one before the date is found as-of and then tested for its end;
-    overlapping earlier ones are found by an interval condition only for facts that this leaves without a match.
+    A key has few memberships, so its dates meet all of them in an equi-join whose interval condition is tested there.
     """
-    keyed = facts.withColumn("_i", F.monotonically_increasing_id())
-    m = members.select(by, *[F.col(c) for c in dict.fromkeys([*columns, start, end])])
-    on = (keyed[by] == m[by]) & (m[start] <= keyed[at]) & (m[end].isNull() | (m[end] == 0) | (m[end] > keyed[at]))
-    best = keyed.join(m, on).groupBy("_i").agg(F.max_by(F.struct(*[m[c] for c in columns]), m[start]).alias("_m"))
-    return keyed.join(best, "_i", "left").select(*[F.col(c) for c in facts.columns], *[F.col("_m")[c].alias(c) for c in columns])
+    keys = facts.select(by, at).where(F.col(by).isNotNull() & F.col(at).isNotNull()).distinct()
+    m = members.select(F.col(by).alias("_k"), F.struct(*columns).alias("_m"), F.col(start).alias("_from"), F.when(~_open_end(members, end), F.col(end)).alias("_to"))
+    on = (keys[by] == m["_k"]) & (m["_from"] <= keys[at]) & (m["_to"].isNull() | (m["_to"] > keys[at]))
+    best = keys.join(m, on).groupBy(by, at).agg(F.max_by("_m", "_from").alias("_m"))
+    return facts.join(best, [by, at], "left").select(*[facts[c] for c in facts.columns], *[F.col("_m")[c].alias(c) for c in columns])
 
 
 def align_vectors(keys: DataFrame, vectors: DataFrame, key: str, vector: str, size: int) -> DataFrame:

@@ -22,12 +22,13 @@ def terms(df: DataFrame, id_col: str, text_col: str, ngrams: tuple[int, int] = (
     """id, term, n: tokens of two or more word characters in lower case, and their n-grams."""
     tokens = F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     x = df.select(F.col(id_col).alias("id"), tokens.alias("t"))
-    grams = []
-    for n in range(ngrams[0], ngrams[1] + 1):
+
+    def grams(n: int) -> F.Column:
         last = F.size("t") - n + 1
         at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(at, lambda i, n=n: F.array_join(F.slice(F.col("t"), i, n), " ")))
-    return x.select("id", F.explode(F.concat(*grams)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+        return F.transform(at, lambda i: F.array_join(F.slice(F.col("t"), i, n), " "))
+
+    return x.select("id", F.explode(F.concat(*[grams(n) for n in range(ngrams[0], ngrams[1] + 1)])).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 5000, ngrams: tuple[int, int] = (1, 2), min_df: int = 1) -> DataFrame:

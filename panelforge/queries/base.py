@@ -37,18 +37,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars: ent, day, open, high, low, close, vol, amount."""
+    """Bars: ent, day, open, high, low, close, vol, amount. The divisor keeps prices off round decimals, where engines round halves apart."""
     li = load(spark, sf_dir, "lineitem")
-    price, order = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    price, order = F.col("l_extendedprice") / (F.col("l_quantity") + F.lit(0.3)), F.col("l_orderkey") * 10 + F.col("l_linenumber")
     x = li.select(F.col("l_suppkey").alias("ent"), F.to_date("l_shipdate").alias("day"), price.alias("p"), order.alias("o"), "l_quantity", "l_extendedprice")
     return x.groupBy("ent", "day").agg(F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.sum("l_quantity").alias("vol"), F.sum("l_extendedprice").alias("amount"))
 
 
 PANEL = """panel as (
   select l_suppkey as ent, cast(l_shipdate as date) as day,
-         arg_min(l_extendedprice / l_quantity, l_orderkey * 10 + l_linenumber) as open,
-         max(l_extendedprice / l_quantity) as high, min(l_extendedprice / l_quantity) as low,
-         arg_max(l_extendedprice / l_quantity, l_orderkey * 10 + l_linenumber) as close,
+         arg_min(l_extendedprice / (l_quantity + 0.3), l_orderkey * 10 + l_linenumber) as open,
+         max(l_extendedprice / (l_quantity + 0.3)) as high, min(l_extendedprice / (l_quantity + 0.3)) as low,
+         arg_max(l_extendedprice / (l_quantity + 0.3), l_orderkey * 10 + l_linenumber) as close,
          sum(l_quantity) as vol, sum(l_extendedprice) as amount
   from lineitem group by 1, 2)"""
 

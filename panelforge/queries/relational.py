@@ -213,16 +213,10 @@ def b1_snapshot(spark, d):
     told = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("l_suppkey").alias("ent"), F.to_date("o_orderdate").alias("ann"), F.col("o_totalprice").alias("figure"))
     span = [F.lit("1997-01-01").cast("date"), F.lit("1997-06-30").cast("date")]
     m = _members(spark, d).select("ent", "label", F.to_date(F.col("in_date").cast("string"), "yyyyMMdd").alias("in_date"), F.to_date(F.nullif("out_date", F.lit(0)).cast("string"), "yyyyMMdd").alias("out_date"))
-    m = m.withColumn("out_date", F.col("out_date"))
-    x = stock_snapshot(panel(spark, d), valuation(spark, d), entities(spark, d), _dates(m), told, "ent", "day", "ann", ["figure"], ["label"], span[0], span[1], mark="7", tie="figure")
+    x = stock_snapshot(panel(spark, d), valuation(spark, d), entities(spark, d), m, told, "ent", "day", "ann", ["figure"], ["label"], span[0], span[1], mark="7", tie="figure")
     return rounded(x.select("ent", "day", "close", "vol", "turnover", "name", "label", F.round("figure", 2).alias("figure"), "ann", "record_key"))
 
 
-def _dates(m):
-    """Open ends as a far date, so that all ends are of one type."""
-    return m.withColumn("out_date", F.coalesce("out_date", F.lit("9999-12-31").cast("date")))
-
-
 @query("j9_align_vectors", None)
 def j9_align_vectors(spark, d):
     """Vectors by key, zeros where there is none."""

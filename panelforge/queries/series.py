@@ -79,11 +79,10 @@ LATEST = """x as (select *, count(*) over (partition by ent) as n, row_number()
     with_(PANEL, LATEST.format(rets=", ".join(f"case when n > {w} then close / nullif(lag(close, {w}) over (partition by ent order by day), 0) - 1 when n = {w} then 0.0 else close / nullif(f, 0) - 1 end as ret_{w}" for w in (5, 20, 60, 120, 252))))
     + "select ent, cast(day as varchar) as day, "
     + ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in ("ret_5", "ret_20", "ret_60", "ret_120", "ret_252", "vol_20", "vol_60", "mean_vol_20"))
-    + ", round(ret_252 - ret_20, 6) + 0.0 as momentum, round(-ret_20, 6) + 0.0 as reversal, round(mean_amount_20, 3) + 0.0 as mean_amount_20 from y where i = n",
+    + ", round(ret_252 - ret_20, 6) + 0.0 as momentum, round(-ret_20, 6) + 0.0 as reversal, round(mean_amount_20, 6) + 0.0 as mean_amount_20 from y where i = n",
 )
 def b7_latest_price_features(spark, d):
-    x = ts.latest_price_features(panel(spark, d), "ent", "day")
-    return rounded(x.withColumn("mean_amount_20", F.round("mean_amount_20", 3)))
+    return rounded(ts.latest_price_features(panel(spark, d), "ent", "day"))
 
 
 @query(
