@@ -68,7 +68,7 @@ def write_table(df: DataFrame, path: str, parquet: bool = True, csv: bool = Fals
     if parquet:
         df.write.mode("overwrite").parquet(f"{path}.parquet", compression="zstd")
     if csv:
-        df.write.mode("overwrite").option("header", True).csv(f"{path}.csv")
+        df.write.mode("overwrite").option("header", True).option("escape", "\"").csv(f"{path}.csv")
 
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
