@@ -50,7 +50,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[at[0] : at[-1]], at - at[0]
 
 
-def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = 900_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``most`` bytes (one row at least), so that memory stays bounded whatever the text lengths."""
     for batch in batches:
         if not batch.num_rows:

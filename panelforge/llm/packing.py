@@ -29,6 +29,8 @@ from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 SENTENCE, ANYWHERE, STEP = 2, 12, 32
+#: Distinct words whose ids a worker keeps.
+WORDS = 150_000
 
 
 def cuts(places: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
@@ -91,7 +93,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_
         raise ValueError("size must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, sequence = encoder(tokenizer), TaskContext.get().partitionId() << 32
+        coder, sequence = encoder(tokenizer, WORDS), TaskContext.get().partitionId() << 32
         with open(tokenizer, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         stops = np.zeros(1 + max(vocabulary.values()), bool)
@@ -116,7 +118,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_
             sequence += len(w) - 1
             return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.astype(np.int64)) for x in out], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        for batch in sliced(batches, "text", 1_500_000):
+        for batch in sliced(batches, "text"):
             ids, at = coder.encode(batch.column(1).to_pylist())
             count = np.diff(at) + 1
             out = np.full(int(count.sum()), end_id, np.uint32)

@@ -21,8 +21,8 @@ from .labelled import labelled
 from .words import mix, powers
 
 DIM, BUCKETS, HIDDEN, NONZERO, REACH = 64, 1 << 16, 32, 6, 2
-#: Most labelled rows that the model is fitted on.
-SAMPLE = 8_000
+#: Most labelled rows that the model is fitted on, and tokens whose vectors are held at once.
+SAMPLE, PIECE = 8_000, 50_000
 #: Score from which a document counts as good.
 LEAST = 0.3
 
@@ -79,8 +79,8 @@ def word_vectors(columns: list[pa.Array]) -> np.ndarray:
     for column in columns:
         bucket, first, _, _ = tokens(column)
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        for low in range(0, len(bucket), 200_000):
-            at = np.arange(low, min(len(bucket), low + 200_000))
+        for low in range(0, len(bucket), PIECE):
+            at = np.arange(low, min(len(bucket), low + PIECE))
             near = np.zeros((len(at), DIM), np.float32)
             for step in (*range(-REACH, 0), *range(1, REACH + 1)):
                 to = np.clip(at + step, 0, len(bucket) - 1)
@@ -98,8 +98,11 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     n = np.diff(first)
     out = np.zeros((len(n), DIM + len(marks) + 1), np.float32)
     full = np.flatnonzero(n)
-    for low in range(0, len(full), 64):
-        rows = full[low : low + 64]
+    low = 0
+    while low < len(full):
+        # rows without tokens between these add nothing
+        high = max(low + 1, int(np.searchsorted(first[full], first[full[low]] + PIECE)))
+        rows, low = full[low:high], high
         a, b = first[rows[0]], first[rows[-1] + 1]
         out[rows, :DIM] = np.add.reduceat(vectors[bucket[a:b]], first[rows] - a, axis=0)
         for k in range(len(marks)):

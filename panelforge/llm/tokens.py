@@ -152,8 +152,8 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most_words: int = 500_000) -> Encoder:
     """One encoder a worker process and file, kept between tasks."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most_words)
     return _encoders[path]
