@@ -28,6 +28,8 @@ from .words import mix, powers
 
 #: Starts in a block, and blocks of one core beyond which its windows are dealt out one by one.
 BLOCK, HOT = 16, 4096
+#: Such cores that are broadcast at most; more are joined by a shuffle. Blocks that a task adds up at once.
+FEW, PIECE = 100_000, 200_000
 _EDGE = BLOCK - 1
 _BYTE = np.random.default_rng(4).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -141,7 +143,7 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     """Anchor hash, the text's key and the number of the anchor's places in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2_000_000):
+        for batch in sliced(batches, "text"):
             a = Anchors(batch.column(2), length)
             order = np.lexsort((a.hash, a.row))
             row, value = a.row[order], a.hash[order]
@@ -158,9 +160,9 @@ def _block_rows(texts: DataFrame, length: int) -> DataFrame:
     """Blocks at the anchors in ``again``: core hash, edges, the windows they stand for, and where they begin in which text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2_000_000):
-            a = Anchors(batch.column(2), length)
-            lists = batch.column(4)
+        for batch in sliced(batches, "text"):
+            a = Anchors(batch.column(1), length)
+            lists = batch.column(3)
             offsets = lists.offsets.to_numpy()
             wanted = lists.values.to_numpy().view(np.uint64)[offsets[0] : offsets[-1]]
             of = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(offsets))
@@ -182,16 +184,34 @@ def _block_rows(texts: DataFrame, length: int) -> DataFrame:
             edges = np.where(inside, a.flat[np.clip(around, 0, max(len(a.flat) - 1, 0))], 0).astype(np.uint8) if len(around) else np.zeros((0, 2 * _EDGE), np.uint8)
             binary = pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer((np.arange(len(edges) + 1) * 2 * _EDGE).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(edges))])
             to = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), binary, pa.array(valid), batch.column(3).take(to), batch.column(0).take(to), batch.column(1).take(to), pa.array(base - a.at[row])], ["c1", "c2", "edges", "valid", "copies", "k1", "k2", "base"])
+            yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), binary, pa.array(valid.astype(np.int32)), batch.column(2).take(to), batch.column(0).take(to), pa.array(base - a.at[row])], ["c1", "c2", "edges", "valid", "copies", "tid", "base"])
+
+    return texts.select("tid", "text", "copies", "again").mapInArrow(run, "c1 long, c2 long, edges binary, valid int, copies long, tid long, base long")
 
-    return texts.mapInArrow(run, "c1 long, c2 long, edges binary, valid long, copies long, k1 long, k2 long, base long")
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal blocks of a task as one row with their number, before anything is sent."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            t = pa.Table.from_batches(held).group_by(["c1", "c2", "edges"]).aggregate([("copies", "sum")])
+            yield from t.select(["c1", "c2", "edges", "copies_sum"]).rename_columns(["c1", "c2", "edges", "times"]).to_batches()
+            held.clear()
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PIECE:
+            yield from flush()
+    yield from flush()
 
 
 def _repeated_windows(blocks: DataFrame) -> DataFrame:
-    """c1, c2, edges, again: the windows of each distinct block that occur more than once."""
-    kinds = materialize(blocks.groupBy("c1", "c2", "edges").agg(F.sum("copies").alias("times"), F.max("valid").alias("valid")), "blocks")
-    hot = kinds.groupBy("c1", "c2").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    marked = kinds.join(hot, ["c1", "c2"], "left")
+    """c1, e (a hash of the rest of a block), again: the windows of each distinct block that occur more than once."""
+    hot = materialize(blocks.groupBy("c1").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("c1"), "hot-cores")
+    kinds = blocks.select("c1", "c2", "edges", "copies").mapInArrow(_added_up, "c1 long, c2 long, edges binary, times long")
+    many = hot.count()
+    few = F.broadcast(hot) if many <= FEW else hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at in key_runs(batches, 2):
@@ -199,16 +219,24 @@ def _repeated_windows(blocks: DataFrame) -> DataFrame:
                 high = min(len(at) - 1, low + 20_000)
                 part = batch.slice(int(at[low]), int(at[high] - at[low]))
                 core = np.repeat(np.arange(high - low), np.diff(at[low : high + 1]))
-                flat, _ = text_bytes(part.column(2))
-                again = repeated(core, flat.reshape(-1, 2 * _EDGE), part.column(3).to_numpy())
-                keep = pa.array(again > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(again)], ["c1", "c2", "edges", "again"]).filter(keep)
-
-    sorted_ = marked.where("n is null").select("c1", "c2", "edges", "times").repartition("c1", "c2").sortWithinPartitions("c1", "c2").mapInArrow(run, "c1 long, c2 long, edges binary, again long")
-    single = marked.where("n is not null").select("c1", "c2", "edges", "times", F.explode(F.sequence(F.lit(0), F.lit(_EDGE))).alias("j")).withColumn("w", F.expr(f"substring(edges, j + 1, {_EDGE})"))
+                edges = text_bytes(part.column(2))[0].reshape(-1, 2 * _EDGE)
+                # the same block from several tasks comes in neighbouring rows
+                new = np.append(True, (core[1:] != core[:-1]) | (edges[1:] != edges[:-1]).any(axis=1))
+                first = np.flatnonzero(new)
+                again = repeated(core[first], edges[first], np.add.reduceat(part.column(3).to_numpy(), first))
+                part = part.take(pa.array(first))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(again)], ["c1", "c2", "edges", "again"]).filter(pa.array(again > 0))
+
+    cold = kinds.join(few, "c1", "left_anti") if many else kinds
+    found = cold.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "edges").mapInArrow(run, "c1 long, c2 long, edges binary, again long")
+    rest = F.xxhash64("c2", "edges").alias("e")
+    found = found.select("c1", rest, "again")
+    if not many:
+        return found
+    single = kinds.join(few, "c1").select("c1", "c2", "edges", "times", F.explode(F.sequence(F.lit(0), F.lit(_EDGE))).alias("j")).withColumn("w", F.expr(f"substring(edges, j + 1, {_EDGE})"))
     twice = single.groupBy("c1", "c2", "j", "w").agg(F.sum("times").alias("n")).where("n > 1").select("c1", "c2", "j", "w")
-    spread = single.join(twice, ["c1", "c2", "j", "w"]).groupBy("c1", "c2", "edges").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("again"))
-    return sorted_.unionByName(spread)
+    spread = single.join(twice, ["c1", "c2", "j", "w"]).select("c1", rest, "j").distinct().groupBy("c1", "e").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("again"))
+    return found.unionByName(spread)
 
 
 def spans(n: int, windows: list[tuple[int, int]], length: int) -> np.ndarray:
@@ -238,10 +266,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -
     again = anchors.groupBy("g").agg(F.sum("places").alias("n")).where("n > 1").select("g")
     wanted = anchors.join(again, "g").select("k1", "k2", "g").groupBy("k1", "k2").agg(F.collect_set("g").alias("again"))
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    found = materialize(texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "copies", "again"), "candidates")
+    # the number of a text is fixed by writing it
+    found = materialize(texts.join(wanted, ["k1", "k2"]).select(F.monotonically_increasing_id().alias("tid"), "k1", "k2", "text", "copies", "again"), "candidates")
     blocks = materialize(_block_rows(found, length), "windows")
-    windows = blocks.join(_repeated_windows(blocks), ["c1", "c2", "edges"]).select("k1", "k2", "base", F.col("again").bitwiseAND(F.col("valid")).alias("bits")).where("bits <> 0")
-    windows = windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("base", "bits")).alias("windows"))
+    places = blocks.select("c1", F.xxhash64("c2", "edges").alias("e"), "tid", "base", "valid")
+    windows = places.join(_repeated_windows(blocks), ["c1", "e"]).select("tid", "base", F.col("again").bitwiseAND(F.col("valid").cast("long")).alias("bits")).where("bits <> 0")
+    windows = windows.groupBy("tid").agg(F.collect_list(F.struct("base", "bits")).alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -253,7 +283,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -
             columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["k1", "k2", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return found.select("k1", "k2", "text").join(windows, ["k1", "k2"]).mapInArrow(run, "k1 long, k2 long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return found.select("tid", "k1", "k2", "text").join(windows, "tid").select("k1", "k2", "text", "windows").mapInArrow(run, "k1 long, k2 long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def removal_report(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
