@@ -234,7 +234,8 @@ def _repeated_windows(blocks: DataFrame) -> DataFrame:
     if not many:
         return found
     single = kinds.join(few, "c1").select("c1", "c2", "edges", "times", F.explode(F.sequence(F.lit(0), F.lit(_EDGE))).alias("j")).withColumn("w", F.expr(f"substring(edges, j + 1, {_EDGE})"))
-    twice = single.groupBy("c1", "c2", "j", "w").agg(F.sum("times").alias("n")).where("n > 1").select("c1", "c2", "j", "w")
+    # written, so that both sides of the join are plain shuffles, which Spark splits where one window is very frequent
+    twice = materialize(single.groupBy("c1", "c2", "j", "w").agg(F.sum("times").alias("n")).where("n > 1").select("c1", "c2", "j", "w"), "hot-windows")
     spread = single.join(twice, ["c1", "c2", "j", "w"]).select("c1", rest, "j").distinct().groupBy("c1", "e").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("again"))
     return found.unionByName(spread)
 
