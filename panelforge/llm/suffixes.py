@@ -175,10 +175,16 @@ def _block_rows(texts: DataFrame, length: int) -> DataFrame:
             base = place[which] - BLOCK * b - _EDGE
             starts = base[:, None] + np.arange(BLOCK)
             valid = (((starts >= low[which][:, None]) & (starts <= high[which][:, None])) << np.arange(BLOCK)).sum(axis=1)
+            row = row[which]
+            # two anchors of a text whose grids agree share the block in which one follows the other: it is one block
+            order = np.lexsort((base, row))
+            row, base, valid = row[order], base[order], valid[order]
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (base[1:] != base[:-1]))) if len(base) else order
+            valid = np.bitwise_or.reduceat(valid, first) if len(base) else valid
+            row, base = row[first], base[first]
             core = base + _EDGE
             end = core + length - _EDGE
             c1, c2 = (a.hashes(i, core, end).view(np.int64) for i in range(2))
-            row = row[which]
             around = np.concatenate([base[:, None] + np.arange(_EDGE), end[:, None] + np.arange(_EDGE)], axis=1)
             inside = (around >= a.at[row][:, None]) & (around < a.at[row + 1][:, None])
             edges = np.where(inside, a.flat[np.clip(around, 0, max(len(a.flat) - 1, 0))], 0).astype(np.uint8) if len(around) else np.zeros((0, 2 * _EDGE), np.uint8)

@@ -139,6 +139,19 @@ def test_op4_repeats(spark, monkeypatch, hot):
     assert sorted(map(tuple, suffixes.removal_report(frame(spark, rows)).collect()), key=str) == repeats(rows, 400)
 
 
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_op4_random_passages(spark, monkeypatch, hot):
+    """Bytes beside a repeated passage stay, wherever one anchor follows another."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    r = random.Random(19)
+    some = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    rows = []
+    for i in range(200):
+        passage = some(r.randint(300, 800))
+        rows += [(2 * i + j, some(r.randint(200, 400)) + passage + some(r.randint(200, 400))) for j in range(2)]
+    assert sorted(map(tuple, suffixes.removal_report(frame(spark, rows)).collect()), key=str) == repeats(rows, 400)
+
+
 def test_op4_columns_and_empty(spark):
     df = frame(spark, texts(5))
     out = suffixes.without_repeats(df)
