@@ -2,7 +2,7 @@
 
 A seed is a fixed mask over neighbouring words; the hash of the words it selects is blind to those it skips, so it still
 matches where a skipped word was replaced. Hashes of all benchmark positions are joined with those of all document
-positions; around each hit the words on its diagonal are compared and the best stretch is kept.
+positions; around each hit the words on its diagonal are compared and the stretch with the most equal words is kept.
 """
 
 from __future__ import annotations
@@ -90,12 +90,20 @@ class Block:
 
 
 def stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """Equal words, start and end of the stretch in which equal words weigh most against ``LEAST_SHARE`` of its length."""
-    score = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - LEAST_SHARE, -LEAST_SHARE))])
-    lowest = np.minimum.accumulate(score)
-    end = int(np.argmax(score - lowest))
-    start = int(np.argmin(score[: end + 1]))
-    return int(same[start:end].sum()), start, end
+    """Equal words, start and end of the stretch with the most equal words among those of which ``LEAST_SHARE`` or more are equal.
+
+    With 1 for an equal word and -4 for another (whole numbers, so that exactly the share counts) those are the stretches
+    whose sum isn't negative; the longest that ends at a place begins where the running sum first is as low as there.
+    """
+    equal = np.concatenate([[0], np.cumsum(same)])
+    unequal = round(LEAST_SHARE / (1 - LEAST_SHARE))
+    score = (1 + unequal) * equal - unequal * np.arange(len(equal))
+    start = np.searchsorted(-np.minimum.accumulate(score), -score)
+    end = int(np.argmax(equal - equal[start]))
+    inside = np.flatnonzero(same[start[end] : end])
+    if not len(inside):
+        return 0, 0, 0
+    return len(inside), int(start[end] + inside[0]), int(start[end] + inside[-1] + 1)
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Block]:

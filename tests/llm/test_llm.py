@@ -339,6 +339,29 @@ def test_op9_passages(spark):
     assert contamination.without_overlaps(df, bench.limit(0)).count() == df.count()
 
 
+def test_op9_stretch_has_the_most_equal_words():
+    r = random.Random(20)
+    for _ in range(400):
+        same = np.array([r.random() < 0.8 for _ in range(r.randint(0, 40))], bool)
+        equal, start, end = contamination.stretch(same)
+        assert equal == max([int(same[a:b].sum()) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * same[a:b].sum() >= 4 * (b - a)], default=0)
+        assert equal == same[start:end].sum() and 5 * equal >= 4 * (end - start)
+
+
+def test_op9_spread_replacements(spark):
+    """Items of 15 to 60 words with replaced words all over them are found where so many words are equal."""
+    r = random.Random(21)
+    words = ["".join(r.choice("aeiornst") for _ in range(r.randint(3, 8))) for _ in range(4000)]
+    patterns = [(15, (6, 11)), (15, (4, 10)), (26, (6, 11, 16, 21)), (30, (5, 11, 17, 23, 29)), (60, tuple(range(4, 60, 5))), (22, (7, 14)), (20, (4, 9, 14, 19)), (20, (3, 7, 11, 15, 19)), (15, (1, 5, 8, 12))]
+    items, docs = [], []
+    for n, replaced in patterns:
+        items.append([r.choice(words) for _ in range(n)])
+        docs.append([r.choice(words) for _ in range(30)] + ["xxxx" if k in replaced else w for k, w in enumerate(items[-1])] + [r.choice(words) for _ in range(30)])
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(x.doc_id, x.item_id): x.equal_words for x in contamination.overlaps(frame(spark, [(k, " ".join(w)) for k, w in enumerate(docs)]), bench).collect()}
+    assert found == {(k, k): n for k, n in enumerate([13, 13, 22, 25, 48, 20, 16])}
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_op10_round_trip(spark, encoding):
     rows = texts(16)
