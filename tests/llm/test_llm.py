@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from panelforge.llm import contamination, counts, packing, pstable, quality, simhash, suffixes, tokenfile, toxicity, warc
+from panelforge.llm import contamination, counts, neardup, packing, pstable, quality, simhash, suffixes, tokenfile, toxicity, warc
 from panelforge.llm.common import scratch
 from panelforge.llm.components import components, min_labels
 from panelforge.llm.tokens import Encoder
@@ -228,6 +228,36 @@ def test_components(spark):
     assert dict(zip(nodes.tolist(), least.tolist())) == {2: 2, 3: 2, 5: 5, 7: 5, 9: 5}
 
 
+def test_near_dedup_stage_takes_similar_documents(spark):
+    """Near copies of similarity 0.8 or more go whatever their fingerprints, and no document goes for a less similar one."""
+    import corpus_pipeline
+
+    r = random.Random(18)
+    words = ["".join(r.choice("aeiornst") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+    rows = []
+    for n in (60, 150, 400):
+        for share in (0.005, 0.01, 0.015, 0.02, 0.03, 0.05):
+            for _ in range(8):
+                w = [r.choice(words) for _ in range(n)]
+                rows.append(" ".join(w))
+                rows.append(" ".join(r.choice(words) if r.random() < share else x for x in w))
+    # a group that shares most of its words but isn't similar, one of many near copies, a chain, texts without a word
+    common = [r.choice(words) for _ in range(60)]
+    rows += [" ".join(common + [r.choice(words) for _ in range(22)]) for _ in range(30)]
+    rows += [" ".join([r.choice(words)] + common * 2) for _ in range(30)]
+    chain = [r.choice(words) for _ in range(160)]
+    rows += [" ".join(chain[i : i + 80]) for i in range(0, 80, 6)]
+    rows += ["", None, " \n", "Two words", "two  WORDS", "two other"]
+    shingles = [set(simhash.hashes((t or "").encode(), 5)) for t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    want = set(union(range(len(rows)), near).values())
+    out = corpus_pipeline.near_dedup(spark, frame(spark, [*enumerate(rows), (3, rows[3]), (None, rows[5]), (None, "alone here"), (None, "alone here")]), "")
+    got = Counter(x.doc_id for x in out.collect())
+    assert got == Counter({**dict.fromkeys(want, 1), None: 1})
+    assert out.columns == frame(spark, []).columns and len(want) < len(rows) - 60
+    assert neardup.one_of_each(frame(spark, [])).count() == 0
+
+
 def best_cost(places, penalty, size):
     best = {places[0]: 0}
     for j, p in enumerate(places[1:], 1):
