@@ -1,0 +1,114 @@
+"""Repeated passages counted in words, by anchors as in operator 4.
+
+Of the grams of half the length in a window of words the one with the least hash is the window's anchor; equal windows
+have equal anchors at equal places, so only windows whose anchor occurs twice are counted. Those are told apart by 64
+bits: among a thousand million of them two different ones look equal with a chance of some 3 %.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, sliced, text_bytes
+from .suffixes import Anchors, anchor_rows, replaced, text_keys
+from .words import mix, powers
+
+#: Words of a passage that may start only once.
+LEAST = 51
+_LOWER = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint8)
+_SPACE = np.array([b in b" \t\n\r\x0b\x0c" for b in range(256)])
+_LETTER = np.random.default_rng(51).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class WordAnchors(Anchors):
+    """Anchors whose places, starts and bounds count words: bytes between ASCII white space, ASCII letters in lower case."""
+
+    def load(self, column: pa.Array) -> None:
+        flat, at = text_bytes(column)
+        power, inverse = powers(len(flat) + 1)
+        space = _SPACE[flat]
+        inside = np.zeros(len(flat) + 2, bool)
+        inside[1:-1] = ~space
+        edge, over = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+        # a text's end ends its last word
+        cut = at[1:-1]
+        cut = cut[(cut > 0) & (cut < len(flat))]
+        edge[cut] |= inside[cut + 1]
+        over[cut] |= inside[cut]
+        self.start, self.end = np.flatnonzero(edge), np.flatnonzero(over)
+        self.bytes_at = at
+        prefix = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum(_LETTER[_LOWER[flat]] * power[: len(flat)], out=prefix[1:])
+        word = mix((prefix[self.end] - prefix[self.start]) * inverse[self.start])
+        n = len(word)
+        self.at = np.searchsorted(self.start, at)
+        self.prefix = np.zeros((2, n + 1), np.uint64)
+        for i in range(2):
+            np.cumsum(mix(word ^ _LETTER[i]) * power[:n], out=self.prefix[i, 1:])
+        self.inverse = inverse
+
+
+def _window_rows(texts: DataFrame, least: int) -> DataFrame:
+    """The windows at the anchors in ``again``: hash, text, first word in it and the text's number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            a = WordAnchors(batch.column(1), least)
+            lists = batch.column(3)
+            offsets = lists.offsets.to_numpy()
+            wanted = lists.values.to_numpy().view(np.uint64)[offsets[0] : offsets[-1]]
+            of = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(offsets))
+            keep = np.isin(mix(a.hash + a.row.astype(np.uint64)), mix(wanted + of))
+            row, low, n = a.row[keep], a.low[keep], a.high[keep] - a.low[keep] + 1
+            which = np.repeat(np.arange(len(row)), n)
+            start = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
+            h = mix(a.hashes(0, start, start + least) ^ mix(a.hashes(1, start, start + least)))
+            row = row[which]
+            to = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(to), pa.array((start - a.at[row]).astype(np.int32)), batch.column(2).take(to)], ["h", "tid", "start", "copies"])
+
+    return texts.select("tid", "text", "copies", "again").mapInArrow(run, "h long, tid long, start int, copies long")
+
+
+def without_repeats(docs: DataFrame, least: int = LEAST, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, without the passages of ``least`` words that start more than once, in one text or several.
+
+    All places lose them, with the white space that follows. Words are told apart at ASCII white space and without regard
+    to the case of ASCII letters. Null and shorter texts stay as they are; a text of ``least`` words or more with two rows
+    loses all its words.
+    """
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    keyed = docs.select(*text_keys(text), text.alias("text")).where(F.octet_length("text") >= 2 * least - 1)
+    anchors = materialize(anchor_rows(keyed, least, WordAnchors), "word-anchors")
+    again = anchors.groupBy("g").agg(F.sum("places").alias("n")).where("n > 1").select("g")
+    wanted = anchors.join(again, "g").select("k1", "k2", "g").groupBy("k1", "k2").agg(F.collect_set("g").alias("again"))
+    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    # the number of a text is fixed by writing it
+    found = materialize(texts.join(wanted, ["k1", "k2"]).select(F.monotonically_increasing_id().alias("tid"), "k1", "k2", "text", "copies", "again"), "word-candidates")
+    windows = _window_rows(found, least)
+    # written, so that both sides of the join are plain shuffles, which Spark splits where one window is very frequent
+    twice = materialize(windows.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h"), "word-windows")
+    starts = windows.select("h", "tid", "start").join(twice, "h").groupBy("tid").agg(F.collect_list("start").alias("starts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            a = WordAnchors(batch.column(2), least)
+            out = []
+            for row, (raw, s) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
+                begin = a.start[a.at[row] : a.at[row + 1]] - a.bytes_at[row]
+                edges = np.zeros(len(begin) + 1, np.int64)
+                np.add.at(edges, s.values.to_numpy(), 1)
+                np.add.at(edges, s.values.to_numpy() + least, -1)
+                gone = np.diff(np.concatenate([[False], np.cumsum(edges)[:-1] > 0, [False]]).astype(np.int8))
+                place = np.append(begin, len(raw))
+                first, after = place[np.flatnonzero(gone == 1)], place[np.flatnonzero(gone == -1)]
+                out.append(b"".join(raw[x:y] for x, y in zip([0, *after.tolist()], [*first.tolist(), len(raw)])).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["k1", "k2", "kept"])
+
+    kept = found.select("tid", "k1", "k2", "text").join(starts, "tid").select("k1", "k2", "text", "starts").mapInArrow(run, "k1 long, k2 long, kept string")
+    return replaced(docs, materialize(kept, "word-kept"), text_col)

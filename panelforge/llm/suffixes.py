@@ -38,12 +38,8 @@ class Anchors:
     """Anchors of the windows of ``length`` bytes in each of some texts, with the starts of the windows that chose them."""
 
     def __init__(self, column: pa.Array, length: int):
-        self.flat, self.at = text_bytes(column)
-        n, gram = len(self.flat), length // 2
-        power, self.inverse = powers(n + 1)
-        self.prefix = np.zeros((2, n + 1), np.uint64)
-        for i in range(2):
-            np.cumsum(_BYTE[i][self.flat] * power[:n], out=self.prefix[i, 1:])
+        self.load(column)
+        n, gram = self.prefix.shape[1] - 1, length // 2
         sizes = np.diff(self.at)
         self.place = self.low = self.high = self.row = np.zeros(0, np.int64)
         self.hash = np.zeros(0, np.uint64)
@@ -71,6 +67,14 @@ class Anchors:
         self.high = window[np.append(begin[1:], len(of)) - 1]
         self.hash = hashed[self.place]
 
+    def load(self, column: pa.Array) -> None:
+        self.flat, self.at = text_bytes(column)
+        n = len(self.flat)
+        power, self.inverse = powers(n + 1)
+        self.prefix = np.zeros((2, n + 1), np.uint64)
+        for i in range(2):
+            np.cumsum(_BYTE[i][self.flat] * power[:n], out=self.prefix[i, 1:])
+
     def hashes(self, i: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.prefix[i][end] - self.prefix[i][start]) * self.inverse[start])
 
@@ -139,12 +143,12 @@ def repeated(core: np.ndarray, edges: np.ndarray, times: np.ndarray) -> np.ndarr
     return np.bincount(row, again * 2.0**column, minlength=n).astype(np.int64)
 
 
-def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
+def anchor_rows(texts: DataFrame, length: int, kind: type[Anchors] = Anchors) -> DataFrame:
     """Anchor hash, the text's key and the number of the anchor's places in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            a = Anchors(batch.column(2), length)
+            a = kind(batch.column(2), length)
             order = np.lexsort((a.hash, a.row))
             row, value = a.row[order], a.hash[order]
             new = np.ones(len(row), bool)
@@ -257,7 +261,7 @@ def spans(n: int, windows: list[tuple[int, int]], length: int) -> np.ndarray:
     return np.stack([starts[np.append(0, cut)], starts[np.append(cut - 1, len(starts) - 1)] + length], axis=1)
 
 
-def _keys(text: F.Column) -> list[F.Column]:
+def text_keys(text: F.Column) -> list[F.Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
 
 
@@ -268,8 +272,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -
     with two rows loses all.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    keyed = docs.select(*_keys(text), text.alias("text")).where(F.octet_length("text") >= length)
-    anchors = materialize(_anchor_rows(keyed, length), "anchors")
+    keyed = docs.select(*text_keys(text), text.alias("text")).where(F.octet_length("text") >= length)
+    anchors = materialize(anchor_rows(keyed, length), "anchors")
     again = anchors.groupBy("g").agg(F.sum("places").alias("n")).where("n > 1").select("g")
     wanted = anchors.join(again, "g").select("k1", "k2", "g").groupBy("k1", "k2").agg(F.collect_set("g").alias("again"))
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -301,7 +305,7 @@ def removal_report(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     repeated row is a text of its own. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     found = materialize(repeated_spans(docs, length, text_col).drop("kept"), "spans")
     none = F.lit(0).cast("long")
     return each.join(found, ["k1", "k2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
@@ -309,17 +313,21 @@ def removal_report(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
 def without_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, with repeated bytes gone from the text; bytes of a character that a cut leaves in part go too."""
-    names = docs.columns
     found = materialize(repeated_spans(docs, length, text_col).select("k1", "k2", "kept"), "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.decode("utf-8", "ignore") for x in batch.column(2).to_pylist()], pa.string())], ["k1", "k2", "kept"])
 
-    found = found.mapInArrow(run, "k1 long, k2 long, kept string")
+    return replaced(docs, found.mapInArrow(run, "k1 long, k2 long, kept string"), text_col)
+
+
+def replaced(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """The rows of ``docs`` with the text that ``found`` (k1, k2, kept) has for theirs."""
+    names = docs.columns
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     row = F.struct(*[F.col(f"`{c}`") for c in names])
-    both = docs.select(*_keys(text), row.alias("row")).join(found, ["k1", "k2"], "left")
+    both = docs.select(*text_keys(text), row.alias("row")).join(found, ["k1", "k2"], "left")
     return both.select(*[F.coalesce("kept", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])
 
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from panelforge.llm import contamination, counts, neardup, packing, pstable, quality, simhash, suffixes, tokenfile, toxicity, warc
+from panelforge.llm import contamination, counts, neardup, packing, passages, pstable, quality, simhash, suffixes, tokenfile, toxicity, warc
 from panelforge.llm.common import scratch
 from panelforge.llm.components import components, min_labels
 from panelforge.llm.tokens import Encoder
@@ -159,6 +159,37 @@ def test_op4_columns_and_empty(spark):
     assert suffixes.removal_report(df.limit(0)).count() == 0
 
 
+def word_repeats(rows, least):
+    split = [(i, t, (t or "").encode().lower().split()) for i, t in rows]
+    seen = Counter(tuple(w[s : s + least]) for _, _, w in split for s in range(len(w) - least + 1))
+    out = []
+    for i, t, w in split:
+        gone = {k for s in range(len(w) - least + 1) if seen[tuple(w[s : s + least])] > 1 for k in range(s, s + least)}
+        out.append((i, [x for k, x in enumerate(w) if k not in gone]))
+    return sorted(out, key=str)
+
+
+def test_repeats_stage_counts_words(spark):
+    """Passages of 51 words go from the pipeline whatever their bytes; 50 words and what is beside a passage stay."""
+    import corpus_pipeline
+
+    r = random.Random(22)
+    some = lambda n: [r.choice("aeiornst") + r.choice(["", "x", "Zu", "é"]) + str(r.randint(0, 99)) for _ in range(n)]
+    rows = []
+    for k, n in enumerate([51] * 20 + [50] * 10 + [60] * 10):
+        passage = some(n)
+        rows += [(10 * k + j, " ".join(some(r.randint(0, 80))) + r.choice([" ", "\n\n"]) + r.choice([" ", "\t "]).join(passage) + " " + " ".join(some(r.randint(0, 80)))) for j in range(2)]
+    plain = some(70)
+    rows += [(1000, " ".join(plain)), (1001, " ".join(plain).upper().replace("É", "é")), (1002, None), (1003, ""), (None, " ".join(some(90))), (1004, "w " * 120), (1005, " ".join(some(40)))]
+    rows += [(1006, " ".join(some(55))), (1006, None)]
+    rows += [(1007, rows[-2][1])]
+    df = frame(spark, rows)
+    for out in (passages.without_repeats(df), corpus_pipeline.repeat_removal(spark, df, "")):
+        assert out.columns == df.columns
+        assert sorted(((x.doc_id, (x.text or "").encode().lower().split()) for x in out.collect()), key=str) == word_repeats(rows, 51)
+    assert passages.without_repeats(df.limit(0)).count() == 0
+
+
 def test_two_stage_sorts_suffixes():
     r = np.random.default_rng(6)
     s = np.zeros((30, 32), np.uint16)
