@@ -85,11 +85,11 @@ def clustering_coefficient(edges: DataFrame, nodes: DataFrame, id_col: str) -> D
     return out.select(F.col("id").alias(id_col), k.cast("long").alias("degree"), tri.cast("long").alias("triangles"), F.when(k < 2, 0.0).otherwise(2 * tri / (k * (k - 1))).alias("clustering"))
 
 
-def core_numbers(edges: DataFrame, nodes: DataFrame, id_col: str, max_rounds: int = 100) -> DataFrame:
+def core_numbers(edges: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     """id, core: the h-index of the neighbours' values, taken again and again from the degrees, settles on core numbers."""
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
     h = degrees(e.withColumn("weight", F.lit(1.0)), nodes, id_col).select(F.col(id_col).alias("id"), F.col("degree").alias("h"))
-    for _ in range(max_rounds):
+    while True:
         near = e.join(h, F.col("dst") == F.col("id")).select("src", "h")
         ranked = near.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("h"))))
         index = ranked.groupBy("src").agg(F.max(F.least("h", "i")).alias("m"))
@@ -97,8 +97,7 @@ def core_numbers(edges: DataFrame, nodes: DataFrame, id_col: str, max_rounds: in
         changed = new.where("new <> h").limit(1).count()
         h = new.select("id", F.col("new").alias("h"))
         if not changed:
-            break
-    return h.select(F.col("id").alias(id_col), F.col("h").alias("core"))
+            return h.select(F.col("id").alias(id_col), F.col("h").alias("core"))
 
 
 def neighbour_means(edges: DataFrame, nodes: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:

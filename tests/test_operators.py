@@ -237,3 +237,9 @@ def test_incremental_load(spark, tmp_path):
     load()
     assert pairs(spark.read.parquet(f"{tmp_path}/out/v1"), "k", "v") == {1: "c", 2: "b", 3: "d"}
     assert upsert(spark.range(0).selectExpr("id as k", "id as at"), spark.range(2).selectExpr("id as k", "id as at"), ["k"], "at").count() == 2
+
+
+def test_core_numbers_of_a_long_path(spark):
+    """The change moves one node a round from each end: over a hundred rounds."""
+    edges = spark.createDataFrame([(a, b, 1.0) for i in range(219) for a, b in ((i, i + 1), (i + 1, i))], "src long, dst long, weight double").coalesce(1)
+    assert {r.core for r in metrics.core_numbers(edges, spark.range(220).coalesce(1), "id").collect()} == {1}
