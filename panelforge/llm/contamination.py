@@ -24,63 +24,90 @@ MASKS = ("110110011011", "101011101101", "111001110011", "1101011")
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
 #: Bytes of benchmark texts that are sent to the tasks at once; a larger benchmark is taken in blocks, one pass each.
 BLOCK_BYTES = 8 << 20
+#: Hits that are looked at in one piece.
+HITS = 1 << 20
 _ODD = np.random.default_rng(9).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def seeds(hashes: np.ndarray, first: np.ndarray, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the mask at every position where it lies within one text, and those positions."""
+def seeds(hashes: np.ndarray, first: np.ndarray, mask: str, salt: int, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the mask at every position where it lies within one text, those positions, and the hash a word earlier (``none`` at a text's first word)."""
     n = len(hashes) - len(mask) + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     total = np.full(n, _ODD[-1 - salt], np.uint64)
     for k, i in enumerate(x for x, c in enumerate(mask) if c == "1"):
         total += hashes[i : i + n] * _ODD[k]
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(row[:n] == row[len(mask) - 1 :])
-    return mix(total[at]), at
+    total = mix(total)
+    before = np.where(row[at] == row[at - 1], total[at - 1], np.uint64(none))
+    before[at == 0] = none
+    return total[at], at, before
 
 
 @dataclass
 class Block:
-    """Words and seeds of one block of benchmark items."""
+    """Words of one block of benchmark items, and for each mask its seeds (in order), their places and the seeds a word earlier."""
 
     items: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
-    seed: np.ndarray
-    place: np.ndarray
+    seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     filter: np.ndarray
 
     @staticmethod
     def of(items: list[int], texts: list[str]) -> Block:
         w = words(pa.array(texts, pa.string()))
-        found = [seeds(w.hash, w.first, m, i) for i, m in enumerate(MASKS)]
-        seed, place = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(seed, kind="stable")
-        bits = np.zeros(1 << 22, bool)
-        bits[seed >> np.uint64(42)] = True
-        return Block(np.array(items, np.int64), w.hash, w.first, seed[order], place[order], bits)
-
-    def overlaps(self, w: Words) -> dict[tuple[int, int], tuple[int, int, int]]:
-        """(row, item) -> equal words, first word and end of the best stretch in the row."""
-        diagonals = []
+        bits, found = np.zeros(1 << 22, bool), []
+        for i, m in enumerate(MASKS):
+            seed, place, before = seeds(w.hash, w.first, m, i, 1 << 40)
+            order = np.lexsort((before >> np.uint64(24), seed))
+            seed, place, before = seed[order], place[order], before[order]
+            bits[seed >> np.uint64(42)] = True
+            # seeds by number and the first 40 bits of the seeds before them as one sorted key
+            number = np.cumsum(np.append(0, seed[1:] != seed[:-1])[: len(seed)]).astype(np.uint64)
+            found.append((seed, place, number << np.uint64(40) | before >> np.uint64(24)))
+        return Block(np.array(items, np.int64), w.hash, w.first, found, bits)
+
+    def diagonals(self, w: Words) -> np.ndarray:
+        """Row, item and shift of each diagonal with a hit, as rows.
+
+        A hit whose neighbours a word earlier hit too lies on a diagonal that an earlier hit has shown, so only the first
+        of such runs are looked at: texts and items that repeat one word, or a few, don't multiply. The rest is taken in
+        pieces, so memory stays bounded.
+        """
+        wide = int(max(np.diff(w.first).max(initial=0), np.diff(self.first).max(initial=0))) + 1
+        known = np.zeros(0, np.int64)
         for i, m in enumerate(MASKS):
-            seed, at = seeds(w.hash, w.first, m, i)
+            own, places, keys = self.seeds[i]
+            seed, at, before = seeds(w.hash, w.first, m, i, 1 << 41)
             some = np.flatnonzero(self.filter[seed >> np.uint64(42)])
-            seed, at = seed[some], at[some]
-            low, high = np.searchsorted(self.seed, seed), np.searchsorted(self.seed, seed, side="right")
+            seed, at, before = seed[some], at[some], before[some]
+            low, high = np.searchsorted(own, seed), np.searchsorted(own, seed, side="right")
+            hit = np.flatnonzero(high > low)
+            low, high, at, before = low[hit], high[hit], at[hit], before[hit]
+            key = (keys[low] >> np.uint64(40)) << np.uint64(40) | before >> np.uint64(24)
+            skip, over = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+            low, high, at = np.concatenate([low, over]), np.concatenate([skip, high]), np.concatenate([at, at])
             n = high - low
-            if not n.sum():
-                continue
-            of = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            at, place = np.repeat(at, n), self.place[of]
-            row = np.searchsorted(w.first, at, side="right") - 1
-            item = np.searchsorted(self.first, place, side="right") - 1
-            diagonals.append(np.stack([row, item, (at - w.first[row]) - (place - self.first[item])]))
+            ends = np.cumsum(n)
+            begin = 0
+            while begin < len(n):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HITS, side="right")))
+                k = n[begin:end]
+                of = np.repeat(low[begin:end] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                a, p = np.repeat(at[begin:end], k), places[of]
+                row, item = np.searchsorted(w.first, a, side="right") - 1, np.searchsorted(self.first, p, side="right") - 1
+                shift = (a - w.first[row]) - (p - self.first[item])
+                known = np.union1d(known, (row * len(self.items) + item) * (2 * wide) + shift + wide)
+                begin = end
+        pair, shift = np.divmod(known, 2 * wide)
+        return np.stack([pair // len(self.items), pair % len(self.items), shift - wide], axis=1)
+
+    def overlaps(self, w: Words) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(row, item) -> equal words, first word and end of the best stretch in the row."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        if not diagonals:
-            return best
-        for row, item, shift in np.unique(np.concatenate(diagonals, axis=1), axis=1).T.tolist():
+        for row, item, shift in self.diagonals(w).tolist():
             a, b = self.hashes[self.first[item] : self.first[item + 1]], w.hash[w.first[row] : w.first[row + 1]]
             low, high = max(0, -shift), min(len(a), len(b) - shift)
             equal, start, end = stretch(a[low:high] == b[low + shift : high + shift])
