@@ -28,6 +28,8 @@ SAMPLE, LEAST_DOCS = 10_000, 4
 #: Standard deviations by which a feature's toxic documents must exceed their expected number.
 LEAST_Z = 5.0
 GRADES = 4
+#: Words that mark toxic texts, occurrences of which make the grades from 2 on.
+OFTEN = 2
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,15 +68,45 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - z[:, None], -60, 60)))
 
 
+def marks(found: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """For each feature whether more of its documents are ``toxic`` than chance explains."""
+    n = len(toxic)
+    row = np.repeat(np.arange(n), np.diff(first))
+    docs, bad = (np.bincount(x, minlength=1 << BITS) for x in (found, found[toxic[row]]))
+    rate = np.mean(toxic) if n else 0.0
+    return (docs >= LEAST_DOCS) & (bad - docs * rate >= LEAST_Z * np.sqrt(docs * rate * (1 - rate)))
+
+
+def marked_words(column: pa.Array, some: np.ndarray) -> np.ndarray:
+    """How many of each row's words, repeats included, have a feature in ``some``."""
+    w = words(column)
+    shift = np.uint64(64 - BITS)
+    marked = some[w.hash >> shift]
+    for h in HEADS:
+        marked |= some[(w.heads(h) * np.uint64(2 * h + 1)) >> shift]
+    return sums(marked.astype(np.int64), w.first).astype(np.int64)
+
+
+def grades_of(toxic: np.ndarray, marked: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """0 for texts that aren't toxic; 1 for toxic ones, and one grade more each time the number of marked words doubles from ``OFTEN`` on."""
+    steps = (marked[:, None] >= OFTEN * 2 ** np.arange(grades - 2)[None, :]).sum(axis=1)
+    return np.where(toxic, 1 + steps, 0)
+
+
+def loss(z: np.ndarray, cuts: np.ndarray, grade: np.ndarray) -> float:
+    """Mean negative log-likelihood of the grades for the logits ``z``."""
+    below = 1 / (1 + np.exp(-np.clip(np.concatenate([[-60], cuts, [60]])[None, :] - z[:, None], -60, 60)))
+    below[:, 0], below[:, -1] = 0, 1
+    i = np.arange(len(grade))
+    return float(-np.log(np.maximum(below[i, grade + 1] - below[i, grade], 1e-9)).mean())
+
+
 def fit(found: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400, l1: float = 5e-5) -> Ordinal:
     """Proximal AdaGrad on the mean negative log-likelihood of the cumulative-link model."""
     n = len(grade)
     weights = np.zeros(1 << BITS)
     row = np.repeat(np.arange(n), np.diff(first))
-    docs, toxic = (np.bincount(x, minlength=1 << BITS) for x in (found, found[grade[row] > 0]))
-    rate = np.mean(grade > 0) if n else 0.0
-    some = (docs >= LEAST_DOCS) & (toxic - docs * rate >= LEAST_Z * np.sqrt(docs * rate * (1 - rate)))
-    keep = some[found]
+    keep = marks(found, first, grade > 0)[found]
     first = np.concatenate([[0], np.cumsum(keep)])[first]
     names, at = np.unique(found[keep], return_inverse=True)
     row = row[keep]
@@ -108,8 +140,8 @@ def fit(found: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int, ro
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, grades: int = GRADES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
     """A model fitted on at most ``most`` labelled rows.
 
-    The labels say only whether a text is toxic. A first fit of that question ranks the toxic texts; their equal parts by
-    rank are the grades 1 to ``grades`` - 1 of the second fit, and all others have grade 0.
+    The labels say only whether a text is toxic. How severe it is, is taken from how often it uses words that mark toxic
+    texts (by the labels' statistics, see ``grades_of``); the model itself sees only which words a text holds.
     """
     rows = labelled(docs, labels, label_col, most, None, id_col, text_col).orderBy("doc_id").select("label", "text").toArrow()
     parts = [features(b.column(1)) for b in sliced(rows.to_batches(), "text")]
@@ -118,11 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, grades: int =
         return Ordinal(np.zeros(1 << BITS), np.full(grades - 1, 20.0))
     found = np.concatenate([p[0] for p in parts])
     first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
-    toxic = np.flatnonzero(label)
-    z = sums(fit(found, first, label, 2).weights[found], first)[toxic]
-    grade = np.zeros(len(label), np.int64)
-    grade[toxic[np.argsort(z, kind="stable")]] = 1 + np.arange(len(toxic)) * (grades - 1) // len(toxic)
-    return fit(found, first, grade, grades)
+    some = marks(found, first, label > 0)
+    marked = np.concatenate([marked_words(b.column(1), some) for b in sliced(rows.to_batches(), "text")])
+    return fit(found, first, grades_of(label > 0, marked, grades), grades)
 
 
 def severity(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
