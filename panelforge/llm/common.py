@@ -5,30 +5,58 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_folder: ContextVar[str] = ContextVar("folder", default="")
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one is made only where it is unset, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``); a local one is made only for a local session, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/panelforge/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below that of the job that runs."""
+    return f"{_folder.get() or shared_dir(spark).rstrip('/') + '/panelforge'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end; what must outlive them is written by ``materialize(..., keep=True)``."""
+    path = scratch(spark, "job")
+    before = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(before)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
 
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder, so that a lost executor costs a re-read and not a re-run.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder, so that a lost executor costs a re-read and not a re-run."""
+    ``keep`` puts it beside the folder of the job that runs, so that it stays when that is deleted.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
+    if keep and _folder.get():
+        path = "/".join([*_folder.get().split("/")[:-1], path.rsplit("/", 1)[1]])
     df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
