@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import materialize, sliced, table
 from .tokens import encoder
 
 #: Lengths a range holds in the two-level sums.
@@ -37,9 +37,10 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
 def suffix_sums(histogram: DataFrame) -> DataFrame:
     """For every length: documents and tokens of at least that length, documents up to it, and the total after truncation to it.
 
-    Sums run in two levels, over ranges of lengths and inside each range, so no task sorts the whole histogram.
+    Sums run in two levels, over ranges of lengths and inside each range, so no task sorts the whole histogram. It is
+    written first, as it is read twice: the documents are encoded once.
     """
-    h = histogram.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.floor(F.col("n_tokens") / RANGE).alias("_range"))
+    h = materialize(histogram, "length-histogram").select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.floor(F.col("n_tokens") / RANGE).alias("_range"))
     ranges = h.groupBy("_range").agg(F.sum("docs").alias("_d"), F.sum("tokens").alias("_t"))
     later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
