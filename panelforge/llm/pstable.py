@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, temporary
 from .components import components, min_labels
 from .groups import key_runs
 
@@ -34,7 +34,7 @@ def shared(distance: float, width: float) -> float:
 class Hashing:
     """Random projections for a corpus of ``n`` vectors; the same for the same arguments anywhere."""
 
-    def __init__(self, n: int, threshold: float, width: float = 2.5, fill: float = 8, miss: float = 0.02, seed: int = 17):
+    def __init__(self, n: int, threshold: float, width: float = 2.5, fill: float = 64, miss: float = 0.03, seed: int = 17):
         near, unrelated = shared(math.sqrt(2 - 2 * threshold), width), shared(math.sqrt(2), width)
         self.k = max(6, round(math.log(max(n, 2) / fill) / -math.log(unrelated)))
         self.tables = max(4, math.ceil(math.log(miss) / math.log1p(-(near**self.k))))
@@ -59,26 +59,43 @@ class Hashing:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Unit vectors in double precision; all lists of the column have one length."""
+    """Unit vectors in double precision; all lists of the column have one length and a component other than zero."""
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    # the squares of very large or small components would leave the range of doubles; a power of two changes no digit
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", miss: float = 0.02) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", miss: float = 0.03) -> DataFrame:
     """One row for each row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of unlike
     lengths or rows without an id (n_links 0; component_id null for the latter, kept false). Rows with equal vectors are
-    all linked with each other; they are hashed once, with their number, so no pair of them is formed. A repeated id is
-    one node of the components; each of its rows is counted as a link of others. An empty table gives no rows.
+    all linked with each other; they are hashed once, with their number, so no pair of them is formed. Rows that repeat
+    an id are vectors of their own, with links and a component of their own. An empty table gives no rows.
     """
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0) & F.col("vec_id").isNotNull()
-    each = materialize(rows.select("vec_id", F.when(fine, v).alias("v"), F.when(fine, F.sha2(v.cast("string"), 256)).alias("sig")), "vectors")
-    classes = each.where("sig is not null").groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    classes = materialize(classes.withColumn("dim", F.size("v")), "vector-classes")
-    hashing = Hashing(classes.count(), threshold, miss=miss)
+    with temporary(vectors.sparkSession):
+        each = rows.select("vec_id", F.when(fine, v).alias("v"), F.when(fine, F.sha2(v.cast("string"), 256)).alias("sig"))
+        classes = each.where("sig is not null").groupBy("sig").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
+        # a class's number is fixed by writing it
+        classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "sig", "least", "copies", "v", F.size("v").alias("dim")), "vector-classes")
+        links = materialize(_class_links(classes, Hashing(classes.count(), threshold, miss=miss), threshold), "vector-links")
+        counts = links.groupBy("a").agg(F.sum("n").alias("n"))
+        joined = components(links.where("a <> b").select("a", "b").distinct(), "vector-components")
+        of = classes.select("node", "sig", "least", "copies").join(counts, F.col("node") == F.col("a"), "left").drop("a").join(joined, "node", "left")
+        of = materialize(of.select("sig", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("label")), "vector-labels")
+        # a component of many classes is one group of an aggregation and splits in the join
+        component = materialize(of.groupBy("label").agg(F.min("least").alias("c")), "least-vectors")
+        of = materialize(of.join(component, "label").select("sig", "n", "c"), "linked-vectors", keep=True)
+    done = each.select("vec_id", "sig").join(of, "sig", "left")
+    return done.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), F.coalesce(F.coalesce("c", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
+
+
+def _class_links(classes: DataFrame, hashing: Hashing, threshold: float) -> DataFrame:
+    """a, n (copies that a is linked with, found first in this bucket), b (a star's centre): what each bucket shows of ``classes``."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,43 +103,39 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 key = hashing.keys(_matrix(part.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column(0).take(pa.array(np.repeat(np.arange(len(key)), hashing.tables))), pa.array(np.tile(np.arange(hashing.tables, dtype=np.int32), len(key)))], ["key", "rep", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column(0).take(pa.array(np.repeat(np.arange(len(key)), hashing.tables))), pa.array(np.tile(np.arange(hashing.tables, dtype=np.int32), len(key)))], ["key", "node", "t"])
 
-    dealt = materialize(classes.select("rep", "v", "dim").mapInArrow(keys, "key long, rep long, t int"), "vector-keys")
+    dealt = materialize(classes.select("node", "v", "dim").mapInArrow(keys, "key long, node long, t int"), "vector-keys")
     sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     # a bucket of more than BLOCK vectors becomes all pairs of its blocks, each of them a task's work of bounded size
     g = F.ceil(F.col("n") / BLOCK)
-    mine = F.pmod(F.xxhash64("rep"), g)
-    placed = dealt.join(sizes, ["t", "key"]).select("t", "key", "rep", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), g - 1)).alias("other"))
-    placed = placed.select("t", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "rep")
-    placed = placed.join(classes.select("rep", "copies", "v"), "rep").select("t", "key", "lo", "hi", "mine", "rep", "copies", "v")
+    mine = F.pmod(F.xxhash64("node"), g)
+    placed = dealt.join(sizes, ["t", "key"]).select("t", "key", "node", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), g - 1)).alias("other"))
+    placed = placed.select("t", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node")
+    placed = placed.join(classes.select("node", "copies", "v"), "node").select("t", "key", "lo", "hi", "mine", "node", "copies", "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at in key_runs(batches, 4):
-            lo, hi, mine, rep, copies = (batch.column(i).to_numpy() for i in (2, 3, 4, 5, 6))
+            lo, hi, mine, node, copies = (batch.column(i).to_numpy() for i in (2, 3, 4, 5, 6))
             tables = batch.column(0).to_numpy()
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             sizes = pc.list_value_length(batch.column(7)).to_numpy()
             for low, high in zip(at[:-1].tolist(), at[1:].tolist()):
-                if high - low > 1 and sizes[low] * (high - low) == sizes[low:high].sum():
-                    unit = _matrix(batch.column(7).slice(low, high - low))
-                    left = np.flatnonzero(mine[low:high] == lo[low])
-                    right = np.flatnonzero(mine[low:high] == hi[low])
-                    out += _linked(unit, left, right, rep[low:high], copies[low:high], int(tables[low]), hashing, threshold)
+                # keys of vectors of unlike lengths are equal only by chance
+                for dim in np.unique(sizes[low:high]).tolist():
+                    of = low + np.flatnonzero(sizes[low:high] == dim)
+                    if len(of) > 1:
+                        unit = _matrix(batch.column(7).take(pa.array(of)))
+                        left, right = np.flatnonzero(mine[of] == lo[low]), np.flatnonzero(mine[of] == hi[low])
+                        out += _linked(unit, left, right, node[of], copies[of], int(tables[low]), hashing, threshold)
             a, n, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), pa.array(b)], ["a", "n", "b"])
 
     order = ["t", "key", "lo", "hi"]
-    found = materialize(placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, n long, b long"), "vector-links")
-    counts = found.groupBy("a").agg(F.sum("n").alias("n"))
-    joined = components(found.where("a <> b").select("a", "b").distinct(), "vector-components")
-    of = classes.select("sig", "rep", "copies").join(counts, F.col("rep") == F.col("a"), "left").join(joined, F.col("rep") == F.col("node"), "left")
-    of = materialize(of.select("sig", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c")), "vector-classes-linked")
-    done = each.select("vec_id", "sig").join(of, "sig", "left")
-    return done.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), F.coalesce(F.coalesce("c", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
+    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, n long, b long")
 
 
-def _linked(unit: np.ndarray, left: np.ndarray, right: np.ndarray, rep: np.ndarray, copies: np.ndarray, t: int, hashing: Hashing, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _linked(unit: np.ndarray, left: np.ndarray, right: np.ndarray, node: np.ndarray, copies: np.ndarray, t: int, hashing: Hashing, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Links between ``left`` and ``right`` (the same rows, or two blocks) that no earlier table shows: id, linked rows, a star's centre."""
     same = len(left) == len(right) and (left == right).all()
     total = np.zeros(len(unit), np.int64)
@@ -152,7 +165,7 @@ def _linked(unit: np.ndarray, left: np.ndarray, right: np.ndarray, rep: np.ndarr
     if not ends:
         return []
     nodes, least = min_labels(np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]))
-    return [(rep[nodes], total[nodes], rep[least])]
+    return [(node[nodes], total[nodes], node[least])]
 
 
 def recall(vectors: DataFrame, found: DataFrame, threshold: float = 0.9, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2000) -> float:
