@@ -38,6 +38,24 @@ def _contracted(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "a long, b long")
 
 
+#: Links that one task joins; beyond it the rounds below do.
+SMALL = 1_000_000
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """The components of at most ``SMALL`` links, by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            nodes, least = min_labels(t.column(0).to_numpy(), t.column(1).to_numpy())
+            keep = nodes != least
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(least[keep])], ["node", "component"])
+
+    return links.coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node, component (the least node it reaches) for every node of ``links`` (a, b) that isn't its own component.
 
@@ -47,6 +65,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b")
     links = materialize(_contracted(links).distinct(), name)
+    if links.count() <= SMALL:
+        return materialize(_joined(links), name)
     before = None
     while True:
         least = links.groupBy("a").agg(F.min("b").alias("m"))

@@ -21,8 +21,8 @@ from .components import components, min_labels
 from .groups import key_runs
 
 SEED, WORDS, RADIUS = 42, 4, 4
-#: Points that a tree keeps in one bucket, and those of a shard beyond which it is dealt anew by further blocks.
-LEAF, SHARD = 48, 20_000
+#: Points of a shard beyond which it is dealt anew by further blocks; points that ask a tree at once, and pairs of them and nodes.
+SHARD, ASKED, PAIRS = 20_000, 1024, 1 << 20
 
 
 def hashes(text: bytes, words: int = WORDS) -> list[int]:
@@ -65,55 +65,80 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-class _Links:
-    """Labels of a shard's points, joined as links are found."""
+class BKTrees:
+    """BK-trees over 64-bit points, one for each shard: a node's children are keyed by their Hamming distance to it.
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    A shard's points lie side by side and ``first`` has where each begins; its first point is the root. ``edge`` is each node's distance to its parent, ``child`` lists all nodes by parent and edge, so that the children of
+    a node within some distances lie side by side; ``levels`` are the nodes by depth.
+    """
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        p, q = self.label[a], self.label[b]
+    def __init__(self, points: np.ndarray, first: np.ndarray):
+        n = len(points)
+        self.points, self.parent, self.edge = points, np.full(n, -1), np.zeros(n, np.int64)
+        self.root = np.repeat(first, np.diff(np.append(first, n)))
+        self.levels = [first]
+        waiting = np.flatnonzero(self.root != np.arange(n))
+        at = self.root[waiting]
+        while len(waiting):
+            # the first point that comes to a node at a distance becomes its child there, the others go on to that child
+            far = np.bitwise_count(points[waiting] ^ points[at]).astype(np.int64)
+            _, one, group = np.unique(at * 65 + far, return_index=True, return_inverse=True)
+            new = waiting[one]
+            self.parent[new], self.edge[new] = at[one], far[one]
+            self.levels.append(new)
+            rest = np.ones(len(waiting), bool)
+            rest[one] = False
+            waiting, at = waiting[rest], new[group][rest]
+        self.child = np.argsort(self.parent * 65 + self.edge, kind="stable")[len(first) :]
+        self.key = (self.parent * 65 + self.edge)[self.child]
+
+    def uniform(self, label: np.ndarray) -> np.ndarray:
+        """The label that a node and all nodes below it have, or -1."""
+        low, high = label.copy(), label.copy()
+        for level in self.levels[:0:-1]:
+            np.minimum.at(low, self.parent[level], low[level])
+            np.maximum.at(high, self.parent[level], high[level])
+        return np.where(low == high, low, -1)
+
+    def search(self, asked: np.ndarray, radius: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (of ``asked``, a node of its shard) within ``radius``, but for nodes below which all points have the asked one's label already."""
+        known = self.uniform(label)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        todo = [(asked, self.root[asked])]
+        while todo:
+            q, node = todo.pop()
+            if len(q) > PAIRS:
+                todo += [(q[PAIRS:], node[PAIRS:])]
+                q, node = q[:PAIRS], node[:PAIRS]
+            open_ = known[node] != label[q]
+            q, node = q[open_], node[open_]
+            far = np.bitwise_count(self.points[q] ^ self.points[node]).astype(np.int64)
+            near = (far <= radius) & (q != node)
+            found.append((q[near], node[near]))
+            # only edges within the radius of the point's own distance can lead to another point within the radius
+            low = np.searchsorted(self.key, node * 65 + np.maximum(far - radius, 0))
+            n = np.searchsorted(self.key, node * 65 + np.minimum(far + radius, 64), side="right") - low
+            of = np.repeat(np.arange(len(q)), n)
+            if len(of):
+                todo.append((q[of], self.child[low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def tree_links(points: np.ndarray, first: np.ndarray | None = None, radius: int = RADIUS) -> np.ndarray:
+    """For each of ``points`` the least index it reaches in its shard through distances of at most ``radius``: all ask their shard's BK-tree."""
+    label = np.arange(len(points))
+    if not len(points):
+        return label
+    trees = BKTrees(points, np.zeros(1, np.int64) if first is None else first)
+    for low in range(0, len(points), ASKED):
+        a, b = trees.search(np.arange(low, min(len(points), low + ASKED)), radius, label)
+        p, q = label[a], label[b]
         if (differ := p != q).any():
             nodes, least = min_labels(p[differ], q[differ])
-            to = np.arange(len(self.label))
+            to = np.arange(len(points))
             to[nodes] = least
-            self.label = to[self.label]
-
-
-def tree_links(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each point the least index it reaches through distances of at most ``radius``.
-
-    The tree is built and searched in one descent: a node's points are split by their distance to its first point, and a
-    query follows only the children whose distance is within ``radius`` of its own. Queries that a child's points are
-    all linked with already don't follow it.
-    """
-    links = _Links(len(points))
-    every = np.arange(len(points))
-    todo = [(every, every)]
-    while todo:
-        tree, asked = todo.pop()
-        if len(tree) <= LEAF:
-            for low in range(0, len(asked), 4096):
-                part = asked[low : low + 4096]
-                q, t = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[tree][None, :]) <= radius)
-                links.join(part[q], tree[t])
-            continue
-        root, rest = tree[0], tree[1:]
-        far = np.bitwise_count(points[asked] ^ points[root]).astype(np.int64)
-        near = asked[far <= radius]
-        links.join(near, np.full(len(near), root))
-        edge = np.bitwise_count(points[rest] ^ points[root]).astype(np.int64)
-        order = np.argsort(edge, kind="stable")
-        rest, edge = rest[order], edge[order]
-        bounds = np.append(np.flatnonzero(np.append(True, edge[1:] != edge[:-1])), len(edge))
-        for low, high in zip(bounds[:-1], bounds[1:]):
-            child, follow = rest[low:high], asked[np.abs(far - edge[low]) <= radius]
-            of = links.label[child]
-            if (of == of[0]).all():
-                follow = follow[links.label[follow] != of[0]]
-            if len(follow):
-                todo.append((child, follow))
-    return links.label
+            label = to[label]
+    return label
 
 
 def _choices(n: int, radius: int) -> tuple[list[int], list[tuple[int, ...]]]:
@@ -148,10 +173,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at in key_runs(batches, 4):
             points = batch.column(4).to_numpy().view(np.uint64)
-            label = np.arange(len(points))
-            for low, high in zip(at[:-1].tolist(), at[1:].tolist()):
-                if high - low > 1:
-                    label[low:high] = low + tree_links(points[low:high], radius)
+            label = tree_links(points, at[:-1], radius)
             keep = label != np.arange(len(points))
             yield pa.RecordBatch.from_arrays([pa.array(points[keep].view(np.int64)), pa.array(points[label[keep]].view(np.int64))], ["a", "b"])
 
@@ -177,7 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
     joined = components(fingerprint_links(classes.select("fp"), radius), "fingerprint-links")
     labelled = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
+    # written, so that both sides of the join are plain shuffles, which Spark splits where one component is very large
+    labelled = materialize(labelled, "fingerprint-labels")
+    least = materialize(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "fingerprint-least")
     of = materialize(labelled.join(least, "label").select("fp", "label", "component_id"), "fingerprint-components")
     return each.join(of, "fp").select("doc_id", "text_hash", "fp", "component_id", "label")
 
