@@ -13,9 +13,11 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from panelforge.llm import contamination, counts, neardup, packing, passages, pstable, quality, simhash, suffixes, tokenfile, toxicity, warc
+from panelforge.llm import contamination, counts, neardup, packing, pstable, quality, simhash, suffixes, tokenfile, toxicity, warc
 from panelforge.llm.common import scratch
+from panelforge.llm import components as component_module
 from panelforge.llm.components import components, min_labels
+from panelforge.llm.labelled import labelled
 from panelforge.llm.tokens import Encoder
 
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -106,14 +108,20 @@ def test_op3_vectors(spark, monkeypatch):
     base = r.standard_normal((60, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base[:20] + 0.05 * r.standard_normal((20, 16)), np.repeat(base[:1], 5, axis=0), base[:3] * 2]))]
     rows += [(200, None), (201, [0.0] * 16), (202, [float("nan")] + [1.0] * 15), (203, [float("inf")] * 16), (204, [1.0]), (205, []), (206, [None] + [1.0] * 15), (None, rows[0][1])]
+    # components whose squares leave the range of doubles; an id with several vectors
+    rows += [(207, [1e200] * 8 + [-3e200] * 8), (208, [2e200] * 8 + [-6e200] * 8), (209, [1e-200] * 8 + [-3e-200] * 8), (210, [0.0] * 15 + [5e-324])]
+    rows += [(211, [0.0] * 5 + [1.0] + [0.0] * 10), (211, [0.0] * 6 + [1.0] + [0.0] * 9), (212, [0.0] * 5 + [1.0, 0.1] + [0.0] * 9), (211, [0.0] * 5 + [1.0] + [0.0] * 10)]
     df = spark.createDataFrame([(*x, 0) for x in rows], "vec_id long, embedding array<double>, copies int")
-    fine = {i: np.array(v, float) for i, v in rows if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and np.any(v)}
+    fine = {k: np.array(v, float) / np.max(np.abs(v)) for k, (i, v) in enumerate(rows) if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and np.any(v)}
     links = [(a, b) for a in fine for b in fine if a < b and fine[a] @ fine[b] / np.linalg.norm(fine[a]) / np.linalg.norm(fine[b]) >= 0.9]
-    comp, n = union([i for i, _ in rows if i is not None], links), Counter(x for p in links for x in p)
+    comp, n, least = union(range(len(rows)), links), Counter(x for p in links for x in p), {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[comp[k]] = min(least.get(comp[k], i), i)
     for block in (4096, 4):
         monkeypatch.setattr(pstable, "BLOCK", block)
         got = sorted((tuple(x) for x in pstable.near_vectors(df, miss=1e-6).collect()), key=str)
-        assert got == sorted([(i, n[i], comp[i], comp[i] == i) if i is not None else (None, 0, None, False) for i, _ in rows], key=str)
+        assert got == sorted([(i, n[k], least[comp[k]], least[comp[k]] == i) if i is not None else (None, 0, None, False) for k, (i, _) in enumerate(rows)], key=str)
     assert pstable.near_vectors(df.limit(0)).count() == 0
     assert pstable.recall(df.where("vec_id < 100"), pstable.near_vectors(df.where("vec_id < 100")), every=5) >= 0.9
 
@@ -132,16 +140,38 @@ def repeats(rows, length):
     return sorted(out, key=str)
 
 
+def word_counts(rows, least):
+    split = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    seen = Counter(tuple(w[s : s + least]) for _, w in split for s in range(len(w) - least + 1))
+    out = []
+    for i, w in split:
+        gone = np.zeros(len(w), bool)
+        for s in range(len(w) - least + 1):
+            if seen[tuple(w[s : s + least])] > 1:
+                gone[s : s + least] = True
+        out.append((i, int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), int(gone.sum())))
+    return sorted(out, key=str)
+
+
+def assert_report(df, rows):
+    got = suffixes.removal_report(df).collect()
+    assert sorted((tuple(x)[:5] for x in got), key=str) == repeats(rows, 400)
+    assert sorted(((x.doc_id, x.n_passages, x.passage_words) for x in got), key=str) == word_counts(rows, 51)
+
+
 @pytest.mark.parametrize("hot", [4096, 2])
 def test_op4_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    plain = "".join(random.Random(30).choices("abcdefgh ", k=500))
     rows = [*texts(4), (300, "ab" * 500), (301, "é" * 300), (302, "a" * 399), (303, "a" * 400), (304, "b" * 402)]
-    assert sorted(map(tuple, suffixes.removal_report(frame(spark, rows)).collect()), key=str) == repeats(rows, 400)
+    # bytes of value 0 are bytes like any other; a window that runs over a text's end is none
+    rows += [(305, plain), (306, plain + "\0" * 50), (307, "\0" * 60 + plain[:450]), (308, "\0" * 900)]
+    assert_report(frame(spark, rows), rows)
 
 
 @pytest.mark.parametrize("hot", [4096, 2])
 def test_op4_random_passages(spark, monkeypatch, hot):
-    """Bytes beside a repeated passage stay, wherever one anchor follows another."""
+    """Bytes beside a repeated passage stay, wherever one anchor follows another, also a multiple of a block on."""
     monkeypatch.setattr(suffixes, "HOT", hot)
     r = random.Random(19)
     some = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
@@ -149,7 +179,19 @@ def test_op4_random_passages(spark, monkeypatch, hot):
     for i in range(200):
         passage = some(r.randint(300, 800))
         rows += [(2 * i + j, some(r.randint(200, 400)) + passage + some(r.randint(200, 400))) for j in range(2)]
-    assert sorted(map(tuple, suffixes.removal_report(frame(spark, rows)).collect()), key=str) == repeats(rows, 400)
+    period = some(16 * 30)
+    rows += [(1000, some(50) + period * 3 + some(90)), (1001, some(70) + period[160:] + period + some(300))]
+    assert_report(frame(spark, rows), rows)
+
+
+def test_op4_very_long_texts(spark):
+    """Texts of several megabytes, beyond the slices that tasks work on."""
+    r = np.random.default_rng(31)
+    letters = np.frombuffer(b"abcdefghijklmnop     ", np.uint8)
+    big = letters[r.integers(0, len(letters), 3_000_000)].tobytes().decode()
+    rows = [(1, big), (2, big[1_000_000:1_000_700]), (3, big[2_999_700:] + "tail" * 90), (4, "short")]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffixes.removal_report(frame(spark, rows)).collect()}
+    assert got == {1: (3_000_000, 700, 1), 2: (700, 700, 1), 3: (660, 0, 0), 4: (5, 0, 0)}
 
 
 def test_op4_columns_and_empty(spark):
@@ -184,10 +226,10 @@ def test_repeats_stage_counts_words(spark):
     rows += [(1006, " ".join(some(55))), (1006, None)]
     rows += [(1007, rows[-2][1])]
     df = frame(spark, rows)
-    for out in (passages.without_repeats(df), corpus_pipeline.repeat_removal(spark, df, "")):
+    for out in (suffixes.without_repeats(df, 51, "words"), corpus_pipeline.repeat_removal(spark, df, "")):
         assert out.columns == df.columns
         assert sorted(((x.doc_id, (x.text or "").encode().lower().split()) for x in out.collect()), key=str) == word_repeats(rows, 51)
-    assert passages.without_repeats(df.limit(0)).count() == 0
+    assert suffixes.without_repeats(df.limit(0), 51, "words").count() == 0
 
 
 def test_two_stage_sorts_suffixes():
@@ -232,6 +274,17 @@ def test_op5_tree_finds_all_links():
     x = np.unique(np.concatenate([r.integers(0, 2**63, 900, dtype=np.uint64), *[np.uint64(12345) ^ (np.uint64(1) << r.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 200, dtype=np.uint64)) for _ in range(2)]]))
     want = union(range(len(x)), [(int(a), int(b)) for a in range(len(x)) for b in np.flatnonzero(np.bitwise_count(x[a] ^ x[:a]) <= 4)])
     assert simhash.tree_links(x).tolist() == [want[i] for i in range(len(x))]
+    # several shards, among them single points
+    first = np.array([0, 1, 2, 500, 501, 900])
+    shard = np.searchsorted(first, np.arange(len(x)), side="right")
+    want = union(range(len(x)), [(int(a), int(b)) for a in range(len(x)) for b in np.flatnonzero((np.bitwise_count(x[a] ^ x[:a]) <= 4) & (shard[:a] == shard[a]))])
+    assert simhash.tree_links(x, first).tolist() == [want[i] for i in range(len(x))]
+    # every node's edge is its distance to its parent, and siblings differ in their edges
+    trees = simhash.BKTrees(x, first)
+    child = np.flatnonzero(trees.parent >= 0)
+    assert len(child) == len(x) - len(first)
+    assert (np.bitwise_count(x[child] ^ x[trees.parent[child]]) == trees.edge[child]).all()
+    assert len({(int(trees.parent[c]), int(trees.edge[c])) for c in child}) == len(child)
 
 
 @pytest.mark.parametrize("shard", [20_000, 3])
@@ -249,7 +302,9 @@ def test_op5_shards_lose_no_link(spark, monkeypatch, shard):
     assert union(signed, links) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(component_module, "SMALL", small)
     r = random.Random(10)
     links = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 380)] + [(None, 3), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -259,10 +314,12 @@ def test_components(spark):
     assert dict(zip(nodes.tolist(), least.tolist())) == {2: 2, 3: 2, 5: 5, 7: 5, 9: 5}
 
 
-def test_near_dedup_stage_takes_similar_documents(spark):
+@pytest.mark.parametrize("small", [8, 1])
+def test_near_dedup_stage_takes_similar_documents(spark, monkeypatch, small):
     """Near copies of similarity 0.8 or more go whatever their fingerprints, and no document goes for a less similar one."""
     import corpus_pipeline
 
+    monkeypatch.setattr(neardup, "ALL", small)
     r = random.Random(18)
     words = ["".join(r.choice("aeiornst") for _ in range(r.randint(3, 8))) for _ in range(3000)]
     rows = []
@@ -359,6 +416,72 @@ def test_op7_grades(spark):
     assert not any(x.toxic for x in toxicity.severity(df, toxicity.train(df, lab.limit(0))).collect())
 
 
+def test_op7_fit_reaches_the_optimum():
+    """The proximal steps against a pattern search on the same penalised likelihood, in few dimensions."""
+    r = np.random.default_rng(33)
+    n, names = 400, 3
+    has = r.random((n, names)) < 0.4
+    score = has @ np.array([3.0, 2.0, 2.5]) + r.logistic(size=n)
+    grade = np.digitize(score, [4.0, 6.0, 8.0])
+    found = np.concatenate([np.flatnonzero(x) for x in has])
+    first = np.concatenate([[0], np.cumsum(has.sum(axis=1))])
+    model = toxicity.fit(found, first, grade, 4, rounds=3000, l1=1e-3)
+    kept = np.flatnonzero(toxicity.marks(found, first, grade > 0))
+
+    def objective(p):
+        w, cuts = p[: len(kept)], p[len(kept) :]
+        return toxicity.loss(has[:, kept] @ w, cuts, grade) + 1e-3 * np.abs(w).sum() if (np.diff(cuts) > 0).all() else np.inf
+
+    p = np.concatenate([np.zeros(len(kept)), [1.0, 2.0, 3.0]])
+    best, step = objective(p), 1.0
+    while step > 1e-5:
+        tries = [p + step * d for i in range(len(p)) for d in (np.eye(len(p))[i], -np.eye(len(p))[i])]
+        values = [objective(t) for t in tries]
+        if min(values) < best:
+            p, best = tries[int(np.argmin(values))], min(values)
+        else:
+            step /= 2
+    assert len(kept) >= 2 and objective(np.concatenate([model.weights[kept], model.cuts])) < best + 1e-3
+    assert toxicity.grades_of(np.array([True, True, True, True, False]), np.array([0, 1, 2, 9, 9])).tolist() == [1, 1, 2, 3, 0]
+
+
+def test_op8_gradients_and_temperature():
+    r = np.random.default_rng(34)
+    x, y = r.standard_normal((300, 5)), (r.random(300) < 0.5).astype(float)
+    y[x[:, 0] + x[:, 1] > 0.3] = 1
+    net = quality.Network(np.zeros(5), np.ones(5), r.standard_normal((5, 4)), r.standard_normal(4), r.standard_normal(4), 0.1)
+
+    def loss():
+        z = net.logit(x)
+        return np.mean(np.logaddexp(0, np.where(y == 1, -z, z))) + 5e-5 * (np.sum(net.w1**2) + np.sum(net.w2**2))
+
+    for name, got in zip(("w1", "b1", "w2"), quality.gradients(net, x, y)):
+        p = getattr(net, name)
+        for i in np.ndindex(p.shape):
+            kept = p[i]
+            p[i] = kept + 1e-6
+            up = loss()
+            p[i] = kept - 1e-6
+            assert abs((up - loss()) / 2e-6 - got[i]) < 1e-6
+            p[i] = kept
+    net = quality.fit(x, y)
+    held = np.random.default_rng(5)
+    held.standard_normal((5, quality.HIDDEN)), held.standard_normal(quality.HIDDEN)
+    rows = held.permutation(300)[:60]
+    mean = lambda t: np.mean(np.logaddexp(0, np.where(y[rows] == 1, -1, 1) * net.logit(x[rows]) / t))
+    assert mean(net.temperature) <= min(mean(t) for t in np.linspace(0.3, 7, 80)) + 1e-3
+    assert np.mean((net.score(x) > 0.5) == y) > 0.7
+
+
+def test_labelled_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr("panelforge.llm.labelled.MOST_BYTES", 1000)
+    monkeypatch.setattr("panelforge.llm.labelled.LONGEST", 300)
+    docs = frame(spark, [(i, "x" * (400 if i % 7 == 0 else 100)) for i in range(60)] + [(1, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    rows = labelled(docs, labels, "toxic", 40).collect()
+    assert 5 <= len(rows) <= 10 and all(r.doc_id % 7 and r.label == r.doc_id % 2 for r in rows)
+
+
 def test_op8_scores(spark):
     r = random.Random(14)
     words = ["".join(r.choice("aeiornst") for _ in range(r.randint(3, 8))) for _ in range(300)]
@@ -423,6 +546,41 @@ def test_op9_spread_replacements(spark):
     assert found == {(k, k): n for k, n in enumerate([13, 13, 22, 25, 48, 20, 16])}
 
 
+@pytest.mark.parametrize("hits", [1 << 20, 7])
+def test_op9_equals_a_search_of_all_diagonals(spark, monkeypatch, hits):
+    """Against every diagonal that some mask hits, with words that repeat in documents and items."""
+    monkeypatch.setattr(contamination, "HITS", hits)
+    r = random.Random(32)
+    words = ["w" + str(k) for k in range(9)]
+    item = [[r.choice(words) for _ in range(r.randint(5, 40))] for _ in range(12)] + [["a"] * 50, ["a", "b"] * 20, ["a"] * 12]
+    docs = [[r.choice(words) for _ in range(r.randint(0, 80))] for _ in range(30)] + [["a"] * 300, ["b", "a"] * 90, ["a"] * 20 + ["x"] * 9 + ["a", "b"] * 10]
+    docs += [[w if r.random() < 0.9 else "y" for w in d] for d in item[:6]]
+
+    def stretch(x, y, shift):
+        same = [0 <= k + shift < len(y) and w == y[k + shift] for k, w in enumerate(x)]
+        inside = [k for k in range(len(x)) if 0 <= k + shift < len(y)]
+        total = [0]
+        for k in inside:
+            total.append(total[-1] + same[k])
+        return max((total[j] - total[i] for i in range(len(inside)) for j in range(i + 1, len(inside) + 1) if 5 * (total[j] - total[i]) >= 4 * (j - i)), default=0)
+
+    def hit(x, y, shift):
+        return any(all(x[k + i] == y[k + i + shift] for i, c in enumerate(m) if c == "1") for m in contamination.MASKS for k in range(len(x) - len(m) + 1) if 0 <= k + shift <= len(y) - len(m))
+
+    want = {}
+    for d, y in enumerate(docs):
+        for b, x in enumerate(item):
+            n = max((stretch(x, y, s) for s in range(-len(x), len(y)) if hit(x, y, s)), default=0)
+            if n >= min(13, 0.8 * len(x)):
+                want[d, b] = n
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(item)], "item_id long, text string")
+    found = contamination.overlaps(frame(spark, [(k, " ".join(w)) for k, w in enumerate(docs)]), bench).collect()
+    assert {(x.doc_id, x.item_id): x.equal_words for x in found} == want and len(want) > 10
+    long = frame(spark, [(1, "the " * 100_000), (2, "of the " * 50_000)])
+    same = spark.createDataFrame([(1, "the " * 5000), (2, "the of " * 2000)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id, x.equal_words) for x in contamination.overlaps(long, same).collect()} == {(1, 1, 5000), (2, 2, 4000)}
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_op10_round_trip(spark, encoding):
     rows = texts(16)
