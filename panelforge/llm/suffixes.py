@@ -1,13 +1,14 @@
-"""Operator 4: long repeated strings by two-stage suffix sorting.
+"""Operator 4: long repeated strings by two-stage suffix sorting, counted in bytes or in words.
 
-Which 400-byte strings start more than once? One suffix array over all texts has no size bound, so texts are first cut
-along anchors that equal strings choose alike, and each piece's suffixes are sorted where all its equals are:
+Which strings of 400 bytes (or 51 words) start more than once? One suffix array over all texts has no size bound, so texts
+are first cut along anchors that equal strings choose alike, and each piece's suffixes are sorted where all its equals
+are. A symbol is a byte, or a word by its 64-bit hash:
 
-1. Of the 200-byte grams in a window of 400 bytes the one with the least hash is the window's anchor. Windows with equal
-   bytes have equal anchors at equal places, so only windows at anchors that occur twice can repeat.
-2. Sixteen neighbouring windows of an anchor share 385 bytes, their core. A block of them is written as the 15 bytes
-   before the core, the core as a single symbol (its 128-bit hash), and the 15 bytes after it: each window is then a
-   suffix of that string, and its 400 bytes are the suffix's first 16 symbols.
+1. Of the grams of half the length in a window the one with the least hash is the window's anchor. Equal windows have
+   equal anchors at equal places, so only windows at anchors that occur twice can repeat.
+2. Sixteen neighbouring windows of an anchor share all but 15 symbols, their core. A block of them is written as the 15
+   symbols before the core, the core as a single symbol (its 128-bit hash), and the 15 symbols after it: each window is
+   then a suffix of that string, and what tells it from others is the suffix's first 16 symbols.
 3. Blocks with one core are sent to one task (equal blocks are added up before they move), which sorts the suffixes of
    its blocks in two stages and compares neighbours. Cores with very many different blocks are dealt out window by window.
 """
@@ -22,20 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, table, text_bytes
+from .common import materialize, sliced, table, temporary, text_bytes
 from .groups import key_runs
-from .words import mix, powers
+from .words import mix, powers, spaced
 
 #: Starts in a block, and blocks of one core beyond which its windows are dealt out one by one.
 BLOCK, HOT = 16, 4096
 #: Such cores that are broadcast at most; more are joined by a shuffle. Blocks that a task adds up at once.
 FEW, PIECE = 100_000, 200_000
+#: Bytes of a string, and words of a passage, that may start only once.
+BYTES, WORDS = 400, 51
 _EDGE = BLOCK - 1
+_SALT = np.random.default_rng(51).integers(1, 2**63, 2, dtype=np.uint64)
 _BYTE = np.random.default_rng(4).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Anchors:
-    """Anchors of the windows of ``length`` bytes in each of some texts, with the starts of the windows that chose them."""
+    """Anchors of the windows of ``length`` symbols in each of some texts, with the starts of the windows that chose them. A symbol is a byte."""
+
+    #: Bytes of a symbol where it is written, and the fewest bytes of a text that has so many symbols.
+    width, least_bytes = 1, staticmethod(lambda length: length)
 
     def __init__(self, column: pa.Array, length: int):
         self.load(column)
@@ -68,19 +75,45 @@ class Anchors:
         self.hash = hashed[self.place]
 
     def load(self, column: pa.Array) -> None:
-        self.flat, self.at = text_bytes(column)
-        n = len(self.flat)
+        self.symbols, self.at = text_bytes(column)
+        n = len(self.symbols)
         power, self.inverse = powers(n + 1)
         self.prefix = np.zeros((2, n + 1), np.uint64)
         for i in range(2):
-            np.cumsum(_BYTE[i][self.flat] * power[:n], out=self.prefix[i, 1:])
+            np.cumsum(_BYTE[i][self.symbols] * power[:n], out=self.prefix[i, 1:])
 
     def hashes(self, i: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.prefix[i][end] - self.prefix[i][start]) * self.inverse[start])
 
+    def places(self, row: int, found: np.ndarray) -> np.ndarray:
+        """Bytes of the row's text at which its symbols with the numbers ``found`` begin."""
+        return found
+
+
+class WordAnchors(Anchors):
+    """A symbol is a word: bytes between ASCII white space, ASCII letters in lower case."""
+
+    width, least_bytes = 8, staticmethod(lambda length: 2 * length - 1)
+
+    def load(self, column: pa.Array) -> None:
+        _, self.bytes_at = text_bytes(column)
+        w = spaced(column)
+        self.symbols, self.start, self.at = w.hash, w.start, w.first
+        power, self.inverse = powers(len(w.hash) + 1)
+        n = len(self.symbols)
+        self.prefix = np.zeros((2, n + 1), np.uint64)
+        for i in range(2):
+            np.cumsum(mix(self.symbols ^ _SALT[i]) * power[:n], out=self.prefix[i, 1:])
+
+    def places(self, row: int, found: np.ndarray) -> np.ndarray:
+        begin = self.start[self.at[row] : self.at[row + 1]] - self.bytes_at[row]
+        return np.append(begin, self.bytes_at[row + 1] - self.bytes_at[row])[found]
+
+
+UNITS: dict[str, type[Anchors]] = {"bytes": Anchors, "words": WordAnchors}
 
 def two_stage(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array of the rows of ``symbols`` (uint16; every row ends with 0, the least symbol): positions in the flattened matrix.
+    """Suffix array of the rows of ``symbols`` (unsigned; every row ends with 0, the least symbol): positions in the flattened matrix.
 
     Suffixes smaller than their successors are sorted directly. All others are induced: scanning the array from its
     least suffix on, the one that begins a place earlier and is larger goes to the next free place of its first
@@ -92,10 +125,10 @@ def two_stage(symbols: np.ndarray) -> np.ndarray:
         smaller[:, c] = (symbols[:, c] < symbols[:, c + 1]) | ((symbols[:, c] == symbols[:, c + 1]) & smaller[:, c + 1])
     flat, direct = symbols.ravel(), smaller.ravel()
     at = np.flatnonzero(direct)
-    padded = np.zeros((n, 2 * width), ">u2")
+    padded = np.zeros((n, 2 * width), symbols.dtype.newbyteorder(">"))
     padded[:, :width] = symbols
     suffixes = np.lib.stride_tricks.sliding_window_view(padded, width, axis=1)[at // width, at % width]
-    at = at[np.argsort(np.ascontiguousarray(suffixes).view(f"S{2 * width}").ravel(), kind="stable")]
+    at = at[np.argsort(np.ascontiguousarray(suffixes).view(f"S{symbols.itemsize * width}").ravel(), kind="stable")]
     buckets = np.unique(flat)
     bounds = np.searchsorted(flat[at], buckets), np.searchsorted(flat[at], buckets, side="right")
     waiting: dict[int, list[np.ndarray]] = {0: [np.arange(n) * width + width - 1]}
@@ -125,16 +158,26 @@ def two_stage(symbols: np.ndarray) -> np.ndarray:
 
 
 def repeated(core: np.ndarray, edges: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """For each block (its core's number, 2 x 15 bytes, how often it occurs) the windows that occur again, as bits."""
+    """For each block (its core's number, its edges as bytes, how often it occurs) the windows that occur again, as bits."""
     n = len(core)
-    symbols = np.zeros((n, 2 * _EDGE + 2), np.uint16)
-    symbols[:, :_EDGE] = edges[:, :_EDGE].astype(np.uint16) + 1
-    symbols[:, _EDGE] = 257 + core
-    symbols[:, _EDGE + 1 : -1] = edges[:, _EDGE:].astype(np.uint16) + 1
+    outside = edges[:, -2:].astype(np.int64)
+    values = edges[:, :-2]
+    if values.shape[1] == 2 * _EDGE:
+        symbols = np.zeros((n, 2 * _EDGE + 2), np.uint16)
+        values, most = values.astype(np.uint16), 256
+    else:
+        symbols = np.zeros((n, 2 * _EDGE + 2), np.uint32)
+        names, at = np.unique(np.ascontiguousarray(values).view(np.uint64), return_inverse=True)
+        values, most = at.reshape(n, 2 * _EDGE), len(names)
+    symbols[:, :_EDGE] = values[:, :_EDGE] + 1
+    symbols[:, _EDGE] = most + 1 + core
+    symbols[:, _EDGE + 1 : -1] = values[:, _EDGE:] + 1
     width = symbols.shape[1]
     order = two_stage(symbols)
-    order = order[order % width < BLOCK]
     row, column = order // width, order % width
+    # windows that run over an end of their text are none
+    real = (column >= outside[row, 0]) & (column <= _EDGE - outside[row, 1])
+    row, column = row[real], column[real]
     prefix = np.lib.stride_tricks.sliding_window_view(symbols, BLOCK, axis=1)[row, column]
     differs = prefix[1:] != prefix[:-1]
     common = np.where(differs.any(axis=1), differs.argmax(axis=1), BLOCK)
@@ -143,7 +186,7 @@ def repeated(core: np.ndarray, edges: np.ndarray, times: np.ndarray) -> np.ndarr
     return np.bincount(row, again * 2.0**column, minlength=n).astype(np.int64)
 
 
-def anchor_rows(texts: DataFrame, length: int, kind: type[Anchors] = Anchors) -> DataFrame:
+def _anchor_rows(texts: DataFrame, length: int, kind: type[Anchors]) -> DataFrame:
     """Anchor hash, the text's key and the number of the anchor's places in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,12 +203,13 @@ def anchor_rows(texts: DataFrame, length: int, kind: type[Anchors] = Anchors) ->
     return texts.mapInArrow(run, "g long, k1 long, k2 long, places long")
 
 
-def _block_rows(texts: DataFrame, length: int) -> DataFrame:
-    """Blocks at the anchors in ``again``: core hash, edges, the windows they stand for, and where they begin in which text."""
+def _block_rows(texts: DataFrame, length: int, kind: type[Anchors]) -> DataFrame:
+    """Blocks at the anchors in ``again``: core hash, edges (30 symbols, and how many of them on either side lie outside the text), the windows they stand for, and where they begin in which text."""
+    bytes_of = 2 * _EDGE * kind.width + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            a = Anchors(batch.column(1), length)
+            a = kind(batch.column(1), length)
             lists = batch.column(3)
             offsets = lists.offsets.to_numpy()
             wanted = lists.values.to_numpy().view(np.uint64)[offsets[0] : offsets[-1]]
@@ -191,8 +235,11 @@ def _block_rows(texts: DataFrame, length: int) -> DataFrame:
             c1, c2 = (a.hashes(i, core, end).view(np.int64) for i in range(2))
             around = np.concatenate([base[:, None] + np.arange(_EDGE), end[:, None] + np.arange(_EDGE)], axis=1)
             inside = (around >= a.at[row][:, None]) & (around < a.at[row + 1][:, None])
-            edges = np.where(inside, a.flat[np.clip(around, 0, max(len(a.flat) - 1, 0))], 0).astype(np.uint8) if len(around) else np.zeros((0, 2 * _EDGE), np.uint8)
-            binary = pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer((np.arange(len(edges) + 1) * 2 * _EDGE).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(edges))])
+            edges = np.zeros((len(around), bytes_of), np.uint8)
+            if len(around):
+                edges[:, :-2] = np.where(inside, a.symbols[np.clip(around, 0, len(a.symbols) - 1)], a.symbols.dtype.type(0)).view(np.uint8)
+                edges[:, -2], edges[:, -1] = (~inside[:, :_EDGE]).sum(axis=1), (~inside[:, _EDGE:]).sum(axis=1)
+            binary = pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer((np.arange(len(edges) + 1) * bytes_of).astype(np.int32)), pa.py_buffer(edges)])
             to = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), binary, pa.array(valid.astype(np.int32)), batch.column(2).take(to), batch.column(0).take(to), pa.array(base - a.at[row])], ["c1", "c2", "edges", "valid", "copies", "tid", "base"])
 
@@ -216,7 +263,7 @@ def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _repeated_windows(blocks: DataFrame) -> DataFrame:
+def _repeated_windows(blocks: DataFrame, width: int) -> DataFrame:
     """c1, e (a hash of the rest of a block), again: the windows of each distinct block that occur more than once."""
     hot = materialize(blocks.groupBy("c1").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("c1"), "hot-cores")
     kinds = blocks.select("c1", "c2", "edges", "copies").mapInArrow(_added_up, "c1 long, c2 long, edges binary, times long")
@@ -229,7 +276,7 @@ def _repeated_windows(blocks: DataFrame) -> DataFrame:
                 high = min(len(at) - 1, low + 20_000)
                 part = batch.slice(int(at[low]), int(at[high] - at[low]))
                 core = np.repeat(np.arange(high - low), np.diff(at[low : high + 1]))
-                edges = text_bytes(part.column(2))[0].reshape(-1, 2 * _EDGE)
+                edges = text_bytes(part.column(2))[0].reshape(part.num_rows, -1)
                 # the same block from several tasks comes in neighbouring rows
                 new = np.append(True, (core[1:] != core[:-1]) | (edges[1:] != edges[:-1]).any(axis=1))
                 first = np.flatnonzero(new)
@@ -243,16 +290,19 @@ def _repeated_windows(blocks: DataFrame) -> DataFrame:
     found = found.select("c1", rest, "again")
     if not many:
         return found
-    single = kinds.join(few, "c1").select("c1", "c2", "edges", "times", F.explode(F.sequence(F.lit(0), F.lit(_EDGE))).alias("j")).withColumn("w", F.expr(f"substring(edges, j + 1, {_EDGE})"))
+    single = kinds.join(few, "c1").select("c1", "c2", "edges", "times", F.explode(F.sequence(F.lit(0), F.lit(_EDGE))).alias("j"))
+    # as in repeated(): only windows within their text
+    out = [F.conv(F.hex(F.expr(f"substring(edges, {2 * _EDGE * width + k}, 1)")), 16, 10).cast("int") for k in (1, 2)]
+    single = single.where((F.col("j") >= out[0]) & (F.col("j") <= F.lit(_EDGE) - out[1])).withColumn("w", F.expr(f"substring(edges, j * {width} + 1, {_EDGE * width})"))
     # written, so that both sides of the join are plain shuffles, which Spark splits where one window is very frequent
     twice = materialize(single.groupBy("c1", "c2", "j", "w").agg(F.sum("times").alias("n")).where("n > 1").select("c1", "c2", "j", "w"), "hot-windows")
     spread = single.join(twice, ["c1", "c2", "j", "w"]).select("c1", rest, "j").distinct().groupBy("c1", "e").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("again"))
     return found.unionByName(spread)
 
 
-def spans(n: int, windows: list[tuple[int, int]], length: int) -> np.ndarray:
-    """Maximal runs of bytes that repeated windows cover, as (start, end) rows."""
-    base, bits = np.array(windows, np.int64).reshape(-1, 2).T
+def spans(windows: np.ndarray, length: int) -> np.ndarray:
+    """Maximal runs of symbols that repeated windows (rows of a block's first window and its bits) cover, as (start, end) rows."""
+    base, bits = windows.reshape(-1, 2).T
     i, j = np.nonzero((bits[:, None] >> np.arange(BLOCK)) & 1)
     starts = np.unique(base[i] + j)
     if not len(starts):
@@ -265,64 +315,77 @@ def text_keys(text: F.Column) -> list[F.Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
-    """k1, k2 (a text's 128-bit key), n_removed, n_spans, kept (the bytes that stay), kept_sha256: one row for each distinct text that loses a byte.
+def repeated_spans(docs: DataFrame, length: int = BYTES, unit: str = "bytes", text_col: str = "text") -> DataFrame:
+    """k1, k2 (a text's 128-bit key), n_removed (symbols), n_spans, kept (the bytes that stay), kept_sha256: one row for each distinct text that loses something.
 
-    Equal texts have equal results, so each is searched once, with its number of rows; a text of ``length`` bytes or more
-    with two rows loses all.
+    Equal texts have equal results, so each is searched once, with its number of rows; a text of ``length`` symbols or
+    more with two rows loses all. The rows lie in the shared folder, the tables on the way to them are deleted.
     """
+    kind = UNITS[unit]
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    keyed = docs.select(*text_keys(text), text.alias("text")).where(F.octet_length("text") >= length)
-    anchors = materialize(anchor_rows(keyed, length), "anchors")
-    again = anchors.groupBy("g").agg(F.sum("places").alias("n")).where("n > 1").select("g")
-    wanted = anchors.join(again, "g").select("k1", "k2", "g").groupBy("k1", "k2").agg(F.collect_set("g").alias("again"))
-    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    # the number of a text is fixed by writing it
-    found = materialize(texts.join(wanted, ["k1", "k2"]).select(F.monotonically_increasing_id().alias("tid"), "k1", "k2", "text", "copies", "again"), "candidates")
-    blocks = materialize(_block_rows(found, length), "windows")
-    places = blocks.select("c1", F.xxhash64("c2", "edges").alias("e"), "tid", "base", "valid")
-    windows = places.join(_repeated_windows(blocks), ["c1", "e"]).select("tid", "base", F.col("again").bitwiseAND(F.col("valid").cast("long")).alias("bits")).where("bits <> 0")
-    windows = windows.groupBy("tid").agg(F.collect_list(F.struct("base", "bits")).alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            out = []
-            for raw, w in zip(batch.column(2).to_pylist(), batch.column(3)):
-                found = spans(len(raw), np.stack([w.values.field(0).to_numpy(), w.values.field(1).to_numpy()], axis=1), length)
-                kept = b"".join(raw[a:b] for a, b in zip([0, *found[:, 1].tolist()], [*found[:, 0].tolist(), len(raw)]))
-                out.append((len(raw) - len(kept), len(found), kept, hashlib.sha256(kept).hexdigest()))
+            out, a = [], kind(batch.column(2), length)
+            for row, (raw, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
+                found = spans(np.stack([w.values.field(0).to_numpy(), w.values.field(1).to_numpy()], axis=1), length)
+                n, found = int((found[:, 1] - found[:, 0]).sum()), a.places(row, found)
+                kept = b"".join(raw[x:y] for x, y in zip([0, *found[:, 1].tolist()], [*found[:, 0].tolist(), len(raw)]))
+                out.append((n, len(found), kept, hashlib.sha256(kept).hexdigest()))
             columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["k1", "k2", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return found.select("tid", "k1", "k2", "text").join(windows, "tid").select("k1", "k2", "text", "windows").mapInArrow(run, "k1 long, k2 long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-
-
-def removal_report(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``.
+    with temporary(docs.sparkSession):
+        keyed = docs.select(*text_keys(text), text.alias("text")).where(F.octet_length("text") >= kind.least_bytes(length))
+        anchors = materialize(_anchor_rows(keyed, length, kind), "anchors")
+        again = anchors.groupBy("g").agg(F.sum("places").alias("n")).where("n > 1").select("g")
+        wanted = anchors.join(again, "g").select("k1", "k2", "g").groupBy("k1", "k2").agg(F.collect_set("g").alias("again"))
+        texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+        # the number of a text is fixed by writing it
+        found = materialize(texts.join(wanted, ["k1", "k2"]).select(F.monotonically_increasing_id().alias("tid"), "k1", "k2", "text", "copies", "again"), "candidates")
+        blocks = materialize(_block_rows(found, length, kind), "windows")
+        places = blocks.select("c1", F.xxhash64("c2", "edges").alias("e"), "tid", "base", "valid")
+        windows = places.join(_repeated_windows(blocks, kind.width), ["c1", "e"]).select("tid", "base", F.col("again").bitwiseAND(F.col("valid").cast("long")).alias("bits")).where("bits <> 0")
+        windows = windows.groupBy("tid").agg(F.collect_list(F.struct("base", "bits")).alias("windows"))
+        done = found.select("tid", "k1", "k2", "text").join(windows, "tid").select("k1", "k2", "text", "windows")
+        return materialize(done.mapInArrow(run, "k1 long, k2 long, n_removed long, n_spans long, kept binary, kept_sha256 string"), "repeats", keep=True)
+
+
+def removal_report(docs: DataFrame, length: int = BYTES, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_words for each row of ``docs``.
 
     A byte goes if a string of ``length`` bytes over it starts anywhere else too, in the same text or another; all places
-    lose it. Null and empty texts have no bytes, texts shorter than ``length`` keep all; a null id stays null; each
-    repeated row is a text of its own. An empty table gives no rows.
+    lose it. Besides, without regard to what was removed: n_passages is the number of maximal runs of words covered by
+    passages of ``words`` words that start more than once, passage_words how many words those have. Null and empty texts
+    have no bytes, shorter texts keep all; a null id stays null; each repeated row is a text of its own. An empty table
+    gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    found = materialize(repeated_spans(docs, length, text_col).drop("kept"), "spans")
-    none = F.lit(0).cast("long")
-    return each.join(found, ["k1", "k2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    none, keys = F.lit(None), ["k1", "k2"]
+    by_bytes = repeated_spans(docs, length, "bytes", text_col).select(*keys, "n_removed", "n_spans", "kept_sha256", none.cast("long").alias("n_passages"), none.cast("long").alias("passage_words"))
+    by_words = repeated_spans(docs, words, "words", text_col).select(*keys, none.cast("long").alias("n_removed"), none.cast("long").alias("n_spans"), none.cast("string").alias("kept_sha256"), F.col("n_spans").alias("n_passages"), F.col("n_removed").alias("passage_words"))
+    found = by_bytes.unionByName(by_words).groupBy(*keys).agg(*[F.max(c).alias(c) for c in by_bytes.columns[2:]])
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans")]
+    more = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_passages", "passage_words")]
+    return each.join(found, keys, "left").select("doc_id", "n_bytes", *counts, F.coalesce("kept_sha256", "whole").alias("kept_sha256"), *more)
 
 
-def without_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, with repeated bytes gone from the text; bytes of a character that a cut leaves in part go too."""
-    found = materialize(repeated_spans(docs, length, text_col).select("k1", "k2", "kept"), "kept")
+def without_repeats(docs: DataFrame, length: int = BYTES, unit: str = "bytes", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, without the strings of ``length`` symbols that start more than once.
+
+    Bytes of a character that a cut leaves in part go too; by words, the white space after them goes with them.
+    """
+    found = repeated_spans(docs, length, unit, text_col).select("k1", "k2", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.decode("utf-8", "ignore") for x in batch.column(2).to_pylist()], pa.string())], ["k1", "k2", "kept"])
 
-    return replaced(docs, found.mapInArrow(run, "k1 long, k2 long, kept string"), text_col)
+    return _replaced(docs, found.mapInArrow(run, "k1 long, k2 long, kept string"), text_col)
 
 
-def replaced(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+def _replaced(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
     """The rows of ``docs`` with the text that ``found`` (k1, k2, kept) has for theirs."""
     names = docs.columns
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
@@ -332,5 +395,5 @@ def replaced(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents``, strings of 400 bytes."""
+    """All ``documents``, strings of 400 bytes; besides, passages of 51 words."""
     return removal_report(table(spark, sf_dir, "documents"))

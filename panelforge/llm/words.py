@@ -70,16 +70,33 @@ def _hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start])
 
 
+_LOWER = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint8)
+_SPACE = np.array([b in b" \t\n\r\x0b\x0c" for b in range(256)])
+
+
+def spaced(column: pa.Array) -> Words:
+    """Words as bytes between ASCII white space, ASCII letters in lower case."""
+    flat, at = text_bytes(column)
+    prefix = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(_LETTER[_LOWER[flat]] * powers(len(flat) + 1)[0][: len(flat)], out=prefix[1:])
+    return _split(prefix, ~_SPACE[flat], at)
+
+
 def words(column: pa.Array) -> Words:
     flat, at = lowered(column)
     prefix = np.zeros(len(flat) + 1, np.uint64)
     np.cumsum(_LETTER[flat] * powers(len(flat) + 1)[0][: len(flat)], out=prefix[1:])
-    inside = np.zeros(len(flat) + 2, bool)
-    inside[1:-1] = flat != 32
+    return _split(prefix, flat != 32, at)
+
+
+def _split(prefix: np.ndarray, letter: np.ndarray, at: np.ndarray) -> Words:
+    """Words are runs of letters; a row's end ends its last word."""
+    inside = np.zeros(len(letter) + 2, bool)
+    inside[1:-1] = letter
     edge = inside[1:] & ~inside[:-1]
     over = inside[:-1] & ~inside[1:]
     cut = at[1:-1]
-    cut = cut[(cut > 0) & (cut < len(flat))]
+    cut = cut[(cut > 0) & (cut < len(letter))]
     edge[cut] |= inside[cut + 1]
     over[cut] |= inside[cut]
     start, end = np.flatnonzero(edge), np.flatnonzero(over)
