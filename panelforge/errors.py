@@ -17,5 +17,9 @@ class ViewShapeMismatch(EngineError):
     """Vectors of a view differ in length."""
 
 
+class NotSettled(EngineError):
+    """An iteration used up its rounds before its values settled."""
+
+
 class InvalidValue(EngineError, ValueError):
     """An argument or a column has a value it can't have."""

@@ -78,6 +78,17 @@ def purity(df: DataFrame, label: str, truth: str) -> DataFrame:
     return c.agg((F.sum("m") / F.sum("n")).alias("purity"))
 
 
+def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
+    """n_clusters and the mean, sample deviation, least and greatest of their sizes; negative labels are no clusters."""
+    n = df.where(F.col(label) >= 0).groupBy(label).agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("n_clusters"), F.avg("n").alias("mean_size"), F.stddev_samp("n").alias("std_size"), F.min("n").alias("least_size"), F.max("n").alias("greatest_size"))
+
+
+def community_sizes(labels: DataFrame, id_col: str, label: str = "community_id") -> DataFrame:
+    """id, label and the number of nodes with that label."""
+    return labels.select(id_col, label, F.count("*").over(Window.partitionBy(label)).alias("community_size"))
+
+
 def cluster_summary(df: DataFrame, label: str, group: str) -> DataFrame:
     """cluster_id from 0 to the greatest, n, top group and its share; empty ids have 0."""
     counts = df.where(F.col(label) >= 0).groupBy(label, group).agg(F.count("*").alias("_c"))
@@ -132,140 +143,82 @@ def silhouette(vectors: DataFrame, labels: DataFrame, id_col: str, vector_col: s
     return taken.mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
 
 
-#: Edge rows (both directions) up to which communities are found on the driver.
-LOCAL_EDGES = 200_000
-
-
-def local_communities(edges: pd.DataFrame, resolution: float = 1.0, refine: bool = False) -> dict[int, int]:
-    """Sequential Louvain (or Leiden, with ``refine``) over symmetric edges: node -> community, named by its least node."""
-    near: dict[int, dict[int, float]] = {}
-    for a, b, w in edges[["src", "dst", "weight"]].itertuples(index=False):
-        near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
-    total = sum(sum(x.values()) for x in near.values())
-    part = {v: v for v in near}
-    start = {v: v for v in near}
-    while True:
-        moved = _settle(near, start, total, resolution)
-        whole = {v: moved[part[v]] for v in part}
-        split = _settle(near, {v: v for v in near}, total, resolution, moved) if refine else moved
-        if len(set(split.values())) == len(near):
-            break
-        up: dict[int, dict[int, float]] = {}
-        for a, x in near.items():
-            row = up.setdefault(split[a], {})
-            for b, w in x.items():
-                row[split[b]] = row.get(split[b], 0.0) + w
-        outer: dict[int, int] = {}
-        for v in sorted(near):
-            outer.setdefault(moved[v], split[v])
-        start = {split[v]: outer[moved[v]] for v in near}
-        part = {v: split[part[v]] for v in part}
-        near = up
-    least: dict[int, int] = {}
-    for v in sorted(whole):
-        least.setdefault(whole[v], v)
-    return {v: least[c] for v, c in whole.items()}
-
-
-def _settle(near: dict[int, dict[int, float]], label: dict[int, int], total: float, resolution: float, within: dict[int, int] | None = None) -> dict[int, int]:
-    """Single nodes move to the neighbouring community of greatest gain until none gains."""
-    label = dict(label)
-    degree = {v: sum(x.values()) for v, x in near.items()}
-    volume: dict[int, float] = {}
-    for v, c in label.items():
-        volume[c] = volume.get(c, 0.0) + degree[v]
-    order, changed = sorted(near), True
-    while changed:
-        changed = False
-        for v in order:
-            links: dict[int, float] = {}
-            for u, w in near[v].items():
-                if u != v and (within is None or within[u] == within[v]):
-                    links[label[u]] = links.get(label[u], 0.0) + w
-            own, k = label[v], degree[v]
-            volume[own] -= k
-            best, value = own, links.get(own, 0.0) - resolution * k * volume[own] / total
-            for c in sorted(links):
-                gain = links[c] - resolution * k * volume.get(c, 0.0) / total
-                if gain > value + 1e-12:
-                    best, value = c, gain
-            volume[best] = volume.get(best, 0.0) + k
-            if best != own:
-                label[v], changed = best, True
-    return label
-
-
 def _aggregate(edges: DataFrame, label: DataFrame) -> DataFrame:
     a, b = label.select(F.col("id").alias("src"), F.col("label").alias("a")), label.select(F.col("id").alias("dst"), F.col("label").alias("b"))
     return edges.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
-def _move(edges: DataFrame, label: DataFrame, degree: DataFrame, total: float, resolution: float, rounds: int, within: DataFrame | None = None) -> DataFrame:
-    """Local moves: in each round the nodes of one hash colour move to the neighbouring community of greatest gain. ``within`` forbids links between different outer communities."""
+def _move(edges: DataFrame, label: DataFrame, degree: DataFrame, total: float, resolution: float, within: DataFrame | None = None) -> DataFrame:
+    """Local moves: in each round the nodes of one hash colour move to the neighbouring community of greatest gain.
+
+    ``within`` forbids links between different outer communities. Nodes that move at once may undo each other's gain, so
+    the labels of greatest modularity are kept, and the rounds end when no node of either colour gains by moving or when
+    modularity hasn't grown for ``PATIENCE`` rounds.
+    """
     e = edges.where("src <> dst")
     if within is not None:
         a, b = within.select(F.col("id").alias("src"), F.col("label").alias("_a")), within.select(F.col("id").alias("dst"), F.col("label").alias("_b"))
-        e = e.join(a, "src").join(b, "dst").where("_a = _b").select("src", "dst", "weight")
-    quiet = 0
-    for r in range(rounds):
+        e = cut(e.join(a, "src").join(b, "dst").where("_a = _b").select("src", "dst", "weight"))
+    best, most, since, quiet, r = label, float("-inf"), 0, 0, 0
+    while True:
         state = label.join(degree, "id")
         volume = state.groupBy("label").agg(F.sum("k").alias("vol"))
-        links = e.join(label.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("w"))
-        own = label.select("id", F.col("label").alias("now"))
-        gain = links.join(own, "id").join(degree, "id").join(volume, "label")
-        value = F.col("w") - resolution * F.col("k") * (F.col("vol") - F.when(F.col("label") == F.col("now"), F.col("k")).otherwise(0.0)) / total
-        scored = gain.select("id", "now", "label", F.round(value, 9).alias("g"))
-        stay = scored.where("label = now").select("id", F.col("g").alias("g0"))
-        best = scored.groupBy("id").agg(F.max_by("label", F.struct("g", F.struct(-F.col("label")))).alias("to"), F.max("g").alias("g1"))
-        # a node without a link to its own community would lose only its volume there
-        alone = own.join(degree, "id").join(volume.withColumnRenamed("label", "now"), "now").select("id", F.round(-resolution * F.col("k") * (F.col("vol") - F.col("k")) / total, 9).alias("ga"))
-        mover = (F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2) & (F.col("g1") > F.coalesce("g0", "ga") + 1e-9)
-        new = cut(own.join(best, "id", "left").join(stay, "id", "left").join(alone, "id", "left").select("id", F.col("now"), F.when(mover, F.col("to")).otherwise(F.col("now")).alias("label")))
-        quiet = 0 if new.where("label <> now").limit(1).count() else quiet + 1
-        label = new.select("id", "label")
-        if quiet >= 2:
-            break
-    return label
-
-
-def communities(edges: DataFrame, nodes: DataFrame, id_col: str, resolution: float = 1.0, refine: bool = False, levels: int = 5, rounds: int = 8) -> DataFrame:
+        links = e.join(label.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "label", F.col("weight").alias("w"))
+        # every node is also linked with its own community, by nothing
+        links = links.unionByName(label.select("id", "label", F.lit(0.0).alias("w"))).groupBy("id", "label").agg(F.sum("w").alias("w"))
+        x = links.join(volume, "label").join(state.withColumnRenamed("label", "now"), "id")
+        own = F.col("label") == F.col("now")
+        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("vol") - F.when(own, F.col("k")).otherwise(0.0)) / total, 9)
+        x = x.select("id", "now", "label", "w", "k", "vol", own.alias("own"), gain.alias("g"))
+        x = x.groupBy("id", "now").agg(F.max_by("label", F.struct("g", F.struct(-F.col("label")))).alias("to"), F.max("g").alias("g1"), F.max(F.when(F.col("own"), F.col("g"))).alias("g0"), F.max(F.when(F.col("own"), F.col("w"))).alias("inside"), F.max(F.when(F.col("own"), F.col("k") * F.col("vol"))).alias("square"))
+        turn = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
+        x = cut(x.withColumn("moves", turn & (F.col("g1") > F.col("g0") + 1e-9)))
+        # of the labels that this round began with: what all rounds share (links inside a node) is left out
+        moved, inside, square = x.agg(F.count_if("moves"), F.sum("inside"), F.sum("square")).first()
+        value = (inside or 0.0) / total - resolution * (square or 0.0) / total**2
+        if value > most + 1e-9:
+            best, most, since = label, value, 0
+        else:
+            since += 1
+        quiet = 0 if moved else quiet + 1
+        if quiet >= 2 or since >= PATIENCE:
+            return best
+        label = x.select("id", F.when(F.col("moves"), F.col("to")).otherwise(F.col("now")).alias("label"))
+        r += 1
+
+
+#: Rounds of local moves without a greater modularity after which they end.
+PATIENCE = 6
+
+
+def communities(edges: DataFrame, nodes: DataFrame, id_col: str, resolution: float = 1.0, refine: bool = False) -> DataFrame:
     """id, community_id (long ids; communities named by one of their members).
 
     Louvain: parallel local moves, half the nodes a round by hash so that neighbours don't swap, then the graph of the
-    communities, again. With ``refine`` (as Leiden does) each community is first split again by moves from single nodes
-    that stay inside it, and those parts are what is aggregated. Isolated nodes stay alone. A graph of at most
-    ``LOCAL_EDGES`` edge rows is small enough for the sequential form on the driver, which needs no rounds of jobs.
+    communities, again until none merges. With ``refine`` (as Leiden does) each community is first split again by moves
+    from single nodes that stay inside it, and those parts are what is aggregated. Isolated nodes stay alone.
     """
     current = nodes.select(F.col(id_col).cast("long").alias("id"), F.col(id_col).cast("long").alias("label"))
     e = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight")))
     total = e.agg(F.sum("weight")).first()[0]
-    if not total:
-        return current.select(F.col("id").alias(id_col), F.col("label").alias("community_id"))
-    if e.count() <= LOCAL_EDGES:
-        found = local_communities(e.toPandas(), resolution, refine)
-        named = edges.sparkSession.createDataFrame([(int(a), int(b)) for a, b in found.items()], "id long, c long")
-        return current.join(F.broadcast(named), "id", "left").select(F.col("id").alias(id_col), F.coalesce("c", "label").alias("community_id"))
-    part = current
-    start: DataFrame | None = None
-    for _ in range(levels):
+    part, start = current, None
+    while total:
         level = part.select(F.col("label").alias("id")).distinct()
         degree = cut(level.join(e.groupBy("src").agg(F.sum("weight").alias("k")), F.col("id") == F.col("src"), "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k")))
-        single = level.select("id", F.col("id").alias("label"))
-        moved = _move(e, single if start is None else start, degree, total, resolution, rounds)
+        single = degree.select("id", F.col("id").alias("label"))
+        moved = _move(e, single if start is None else start, degree, total, resolution)
         merged = moved.where("id <> label").limit(1).count()
-        split = _move(e, single, degree, total, resolution, rounds, within=moved) if refine and merged else moved
         current = cut(part.join(moved.withColumnRenamed("label", "m"), F.col("label") == moved["id"]).select(part["id"], F.col("m").alias("label")))
-        if not merged:
+        split = _move(e, single, degree, total, resolution, within=moved) if refine and merged else moved
+        if not split.where("id <> label").limit(1).count():
             break
         if refine:
             # parts start in the communities that they were split from
             start = cut(split.join(moved.withColumnRenamed("label", "outer"), "id").groupBy(F.col("label").alias("id")).agg(F.min("outer").alias("outer")))
             names = start.groupBy("outer").agg(F.min("id").alias("label"))
             start = cut(start.join(names, "outer").select("id", "label"))
-        grown = cut(part.join(split.withColumnRenamed("label", "m"), F.col("label") == split["id"]).select(part["id"], F.col("m").alias("label")))
-        if grown.select("label").distinct().count() == part.select("label").distinct().count():
-            break
-        part, e = grown, cut(_aggregate(e, split))
+        part = cut(part.join(split.withColumnRenamed("label", "m"), F.col("label") == split["id"]).select(part["id"], F.col("m").alias("label")))
+        e = cut(_aggregate(e, split))
     return current.select(F.col("id").alias(id_col), F.col("label").alias("community_id"))
 
 
@@ -276,6 +229,14 @@ def spectral_clusters(edges: DataFrame, k: int, id_col: str = "id", max_iter: in
     return model.assignClusters(e).select(F.col("id").alias(id_col), F.col("cluster").alias("cluster_id"))
 
 
+def density_or_kmeans(vectors: DataFrame, id_col: str, vector_col: str, min_size: int = 5, how: str = "density") -> DataFrame:
+    """id, cluster_id, probability: ``density_clusters``, or where those aren't wanted k-means with one cluster for 50 rows (two at least) and probability 1."""
+    if how == "density":
+        return density_clusters(vectors, id_col, vector_col, min_size)
+    n = vectors.count()
+    return kmeans(vectors, id_col, vector_col, max(2, n // 50)).select(id_col, "cluster_id", F.lit(1.0).alias("probability"))
+
+
 def density_clusters(vectors: DataFrame, id_col: str, vector_col: str, min_size: int = 5, k: int | None = None) -> DataFrame:
     """id, cluster_id, probability: HDBSCAN's leaf clusters over the mutual-reachability kNN graph; noise is -1.
 

@@ -94,6 +94,38 @@ def knn_graph(vectors: DataFrame, id_col: str, vector_col: str, k: int, min_sim:
     return symmetric(knn(vectors, id_col, vector_col, k, metric, min_sim, tau), "min" if mutual else "max")
 
 
+def figures_graph(df: DataFrame, id_col: str, columns: Sequence[str], k: int = 20) -> DataFrame:
+    """Mutual cosine kNN graph of figures: NULLs become the column's median, then z-scores with the sample deviation (0 counts as 1). Columns that ``df`` lacks are left out."""
+    used = [c for c in columns if c in df.columns]
+    x = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in used])
+    medians = x.agg(*[F.median(c).alias(f"_m_{c}") for c in used])
+    x = x.join(F.broadcast(medians)).select(id_col, *[F.coalesce(c, f"_m_{c}").alias(c) for c in used])
+    stats = x.agg(*[g(c).alias(f"_{n}_{c}") for c in used for n, g in (("a", F.avg), ("s", F.stddev_samp))])
+    sd = lambda c: F.when(F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"_s_{c}"))
+    z = x.join(F.broadcast(stats)).select(id_col, F.array(*[(F.col(c) - F.col(f"_a_{c}")) / sd(c) for c in used]).alias("z"))
+    return knn_graph(z, id_col, "z", k, 0.0, mutual=True)
+
+
+def filled_correlation(cells: DataFrame, id_col: str, at: str, value: str, k: int, min_corr: float = 0.0) -> DataFrame:
+    """src, dst, weight, rank: correlation of series on one set of dates (missing cells are 0 already): standardised series under the block kernel. Constant series correlate with nothing."""
+    w = Window.partitionBy(id_col)
+    z = cells.select(id_col, at, ((F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0))).alias("z"))
+    v = z.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct(at, F.coalesce("z", F.lit(0.0)).alias("z")))), lambda s: s["z"]).alias("v"))
+    return knn(v, id_col, "v", k, "mean_product", min_corr)
+
+
+def fuse_candidates(layers: Mapping[str, DataFrame], weights: Mapping[str, float], k: int) -> DataFrame:
+    """src, dst, weight, rank: each node's union of neighbours over the layers, by weighted mean (a layer without the edge counts 0), the k greatest."""
+    total = sum(weights[n] for n in layers)
+    parts = None
+    for name, e in layers.items():
+        e = e.where("src <> dst").select("src", "dst", (F.col("weight") * F.lit(weights[name] / total)).alias("weight"))
+        parts = e if parts is None else parts.unionByName(e)
+    fused = parts.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    order = Window.partitionBy("src").orderBy(F.round("weight", 9).desc(), "dst")
+    return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def group_graph(nodes: DataFrame, id_col: str, levels: Sequence[tuple[str, float, int]]) -> DataFrame:
     """Edges between members of a group: for each (column, weight, cap) a node is linked with the ``cap`` members that follow it in a ring by id, so hubs stay small and edges grow with nodes times cap. A pair has the greatest of its levels' weights."""
     out = None

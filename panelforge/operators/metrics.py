@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import NotSettled
 from ..sources.shared import cut
 
 
@@ -19,10 +20,10 @@ def degrees(edges: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     return nodes.select(id_col).join(d, F.col(id_col) == F.col("src"), "left").select(id_col, F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce("weighted_degree", F.lit(0.0)).alias("weighted_degree"))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, id_col: str, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     """id, component (its least id), size: least labels flow along edges, and labels of labels are followed each round, so rounds grow with the logarithm of path lengths."""
     label = nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("label"))
-    for _ in range(max_rounds):
+    while True:
         seen = edges.select("src", "dst").join(label, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("label").alias("m"))
         new = label.join(seen, F.col("id") == F.col("src"), "left").select("id", "label", F.least("label", "m").alias("m"))
         up = new.select(F.col("id").alias("m"), F.col("m").alias("mm"))
@@ -41,7 +42,7 @@ def _rank_step(share: DataFrame, every: DataFrame, rank: DataFrame, alpha: float
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, id_col: str, alpha: float = 0.85, rounds: int = 100, tol: float = 1e-6, normalize: bool = False, check_every: int = 5) -> DataFrame:
-    """id, pagerank: power iteration with weights as transition shares and no redistribution from nodes without edges, until the L1 change is under ``tol`` (looked at every few rounds)."""
+    """id, pagerank: power iteration with weights as transition shares and no redistribution from nodes without edges, until the L1 change is under ``tol`` (looked at every few rounds); ``tol`` 0 asks for just ``rounds`` rounds. Raises if the rounds don't suffice."""
     n = nodes.count()
     share = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("_s")), "src").select("src", "dst", (F.col("weight") / F.nullif(F.col("_s"), F.lit(0.0))).alias("p"))
     share = cut(share)
@@ -55,23 +56,39 @@ def pagerank(edges: DataFrame, nodes: DataFrame, id_col: str, alpha: float = 0.8
             rank = cut(_rank_step(share, every, old, alpha, n))
             if tol > 0 and (rank.join(old.withColumnRenamed("r", "old"), "id").agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0) < tol:
                 break
+    else:
+        if tol > 0 and n:
+            raise NotSettled(f"pagerank changes by {tol} or more after {rounds} rounds")
     if normalize:
         rank = rank.join(F.broadcast(rank.agg(F.sum("r").alias("_s")))).select("id", (F.col("r") / F.nullif(F.col("_s"), F.lit(0.0))).alias("r"))
     return rank.select(F.col("id").alias(id_col), F.col("r").alias("pagerank"))
 
 
-def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, id_col: str, rounds: int = 60, check_every: int = 5) -> DataFrame:
-    """id, eigenvector: power iteration on A + I (which also settles on bipartite graphs), summing to 1."""
+def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, id_col: str, rounds: int = 2000, tol: float = 1e-6, check_every: int = 10) -> DataFrame:
+    """id, eigenvector: power iteration on A + I (which also settles on bipartite graphs), summing to 1, until the L1 change of one round is under ``tol`` (looked at every few rounds); ``tol`` 0 asks for just ``rounds`` rounds. Raises if the rounds don't suffice."""
     x = nodes.select(F.col(id_col).alias("id"), F.lit(1.0).alias("x"))
     shifted = cut(edges.select("src", "dst", "weight").unionByName(nodes.select(F.col(id_col).alias("src"), F.col(id_col).alias("dst"), F.lit(1.0).alias("weight"))))
+    whole = lambda x: x.join(F.broadcast(x.agg(F.sum("x").alias("_s")))).select("id", (F.col("x") / F.col("_s")).alias("x"))
+    step = lambda x: shifted.join(x, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
     for i in range(1, rounds + 1):
-        x = shifted.join(x, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
-        if i % check_every == 0 or i == rounds:
-            x = cut(x)
-            x = x.join(F.broadcast(x.agg(F.sum("x").alias("_s")))).select("id", (F.col("x") / F.col("_s")).alias("x"))
+        if i % check_every and i != rounds:
+            x = step(x)
+            continue
+        old = cut(whole(x))
+        x = cut(whole(cut(step(old))))
+        if tol > 0 and (x.join(old.withColumnRenamed("x", "old"), "id").agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] or 0.0) < tol:
+            break
+    else:
+        if tol > 0:
+            raise NotSettled(f"eigenvector centrality changes by {tol} or more after {rounds} rounds")
     return x.select(F.col("id").alias(id_col), F.col("x").alias("eigenvector"))
 
 
+def node_stats(edges: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
+    """id, degree, weighted_degree, pagerank (summing to 1) and component with its size."""
+    return degrees(edges, nodes, id_col).join(pagerank(edges, nodes, id_col, normalize=True), id_col).join(connected_components(edges, nodes, id_col), id_col)
+
+
 def clustering_coefficient(edges: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     """id, degree, triangles, clustering: each triangle is found once, from its lowest-ordered end (fewest neighbours first), which bounds the pairs a hub forms."""
     e = edges.where("src <> dst").select("src", "dst").distinct()
@@ -140,15 +157,15 @@ def conductance(edges: DataFrame, nodes: DataFrame, id_col: str, label: str) ->
     return every.select(F.col("_l").alias(label), i.alias("internal"), e.alias("external"), (e / F.nullif(i + e, F.lit(0.0))).alias("conductance"))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, id_col: str, sources: int = 200) -> DataFrame:
-    """id, betweenness: shortest-path shares from the ``sources`` nodes of least id hash, scaled to all sources, unweighted.
+def betweenness(edges: DataFrame, nodes: DataFrame, id_col: str, sources: int = 200, roots: DataFrame | None = None) -> DataFrame:
+    """id, betweenness: shortest-path shares from the ids in ``roots``, or else from the ``sources`` nodes of least id hash, scaled to all sources, unweighted.
 
     Breadth-first rounds over the edge table hold (source, node, distance, paths); shares flow back level by level.
     """
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
     n = nodes.count()
-    roots = nodes.select(F.col(id_col).alias("root")).orderBy(F.xxhash64("root"), "root").limit(sources)
-    used = min(sources, n)
+    roots = nodes.select(F.col(id_col).alias("root")).orderBy(F.xxhash64("root"), "root").limit(sources) if roots is None else roots.select(F.col(id_col).alias("root"))
+    used = roots.count()
     level = cut(roots.select("root", F.col("root").alias("id"), F.lit(1.0).alias("paths")))
     seen = level.select("root", "id")
     levels = [level]

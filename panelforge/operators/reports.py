@@ -26,6 +26,22 @@ def column_quality(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return x.select("column_name", "data_type", "missing", "infinite", share.alias("missing_share"), F.when(share > 0.5, "HIGH").when(share > 0.2, "MEDIUM").otherwise("OK").alias("level"))
 
 
+def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """line: ``column: missing/rows (share%)`` for each column with missing values."""
+    x = column_quality(df, columns).where("missing > 0")
+    n = F.round(F.col("missing") / F.col("missing_share")).cast("long")
+    return x.select(F.format_string("%s: %d/%d (%.1f%%)", "column_name", "missing", n, 100 * F.col("missing_share")).alias("line"))
+
+
+def summary_lines(df: DataFrame, cluster: str, k: int = 5) -> DataFrame:
+    """position, line: rows, clusters, and the k largest clusters (ties by id), as a console shows them."""
+    n = df.where(F.col(cluster) >= 0).groupBy(cluster).agg(F.count("*").alias("n"))
+    head = df.agg(F.format_string("rows: %d, clusters: %d", F.count("*"), F.countDistinct(F.when(F.col(cluster) >= 0, F.col(cluster)))).alias("line")).select(F.lit(0).alias("position"), "line")
+    best = n.orderBy(F.desc("n"), cluster).limit(k)
+    best = best.select(F.row_number().over(Window.orderBy(F.desc("n"), cluster)).alias("position"), F.format_string("cluster %d: %d", F.col(cluster), "n").alias("line"))
+    return head.unionByName(best)
+
+
 def lag_statistics(df: DataFrame, at: str, announced: str) -> DataFrame:
     """mean, median, p90 and greatest number of days from ``announced`` to ``at``."""
     d = F.datediff(F.col(at), F.col(announced))

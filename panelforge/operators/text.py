@@ -24,6 +24,8 @@ def terms(df: DataFrame, id_col: str, text_col: str, ngrams: tuple[int, int] = (
     x = df.select(F.col(id_col).alias("id"), tokens.alias("t"))
 
     def grams(n: int) -> F.Column:
+        if n == 1:
+            return F.col("t")
         last = F.size("t") - n + 1
         at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.array_join(F.slice(F.col("t"), i, n), " "))

@@ -92,9 +92,14 @@ def market_return(df: DataFrame, at: str, ret: str = "ret_1") -> DataFrame:
     return df.groupBy(at).agg(F.avg(ret).alias("market"))
 
 
-def beta(df: DataFrame, market: DataFrame, by: str, at: str, ret: str = "ret_1", window: int = YEAR) -> DataFrame:
-    """Rolling covariance with the market over its rolling variance, both over the same rows; 0 where the variance is 0."""
-    x = df.join(market, at, "left")
+def with_market(df: DataFrame, at: str, ret: str = "ret_1") -> DataFrame:
+    """Adds the equal-weighted mean return of the row's date, by a window, so that ``df`` is computed once."""
+    return df.withColumn("market", F.avg(ret).over(Window.partitionBy(at)))
+
+
+def beta(df: DataFrame, market: DataFrame | None, by: str, at: str, ret: str = "ret_1", window: int = YEAR) -> DataFrame:
+    """Rolling covariance with the market over its rolling variance, both over the same rows; 0 where the variance is 0. Without ``market`` it is the mean of all rows of a date."""
+    x = with_market(df, at, ret) if market is None else df.join(market, at, "left")
     frame = _series(by, at).rowsBetween(-(window - 1), 0)
     both = F.col(ret).isNotNull() & F.col("market").isNotNull()
     r, m = F.when(both, F.col(ret)), F.when(both, F.col("market"))

@@ -37,6 +37,7 @@ def stock_snapshot(
         daily, basic = (x.where(F.col(at) >= start) for x in (daily, basic))
     if end is not None:
         daily, basic = (x.where(F.col(at) <= end) for x in (daily, basic))
+        events = events.where(F.col(announced) <= end)
     x = daily.join(basic.drop(*[c for c in basic.columns if c in daily.columns and c not in (key, at)]), [key, at], "left")
     x = x.join(dimension.drop(*[c for c in dimension.columns if c in x.columns and c != key]), key, "left")
     if not include_special:
@@ -44,5 +45,7 @@ def stock_snapshot(
     if not include_suspended:
         x = x.where("vol > 0")
     x = membership_join(x, members, key, at, member_columns)
+    # what no row can match, and what nobody asks for, isn't shuffled
+    events = events.select(*dict.fromkeys([key, announced, *event_columns, *([tie] if tie else [])]))
     x = asof_join(x, events, key, at, announced, event_columns, tie=tie)
     return x.withColumn("record_key", F.concat_ws("_", key, at))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidValue, MissingArtifact
+from ..functions.scalars import norm
 
 log = logging.getLogger("panelforge")
 Tables = Mapping[str, DataFrame]
@@ -22,6 +23,34 @@ class Expectation:
     name: str
     value: Callable[[], F.Column]
     holds: Callable[[object], bool]
+    #: Columns that the output must have.
+    columns: tuple[str, ...] = ()
+
+
+def has_columns(*names: str) -> Expectation:
+    return Expectation(f"columns {', '.join(names)}", lambda: F.lit(True), bool, names)
+
+
+def never_null(column: str) -> Expectation:
+    return Expectation(f"{column} never missing", lambda: F.count_if(F.col(column).isNull()), lambda v: v == 0)
+
+
+def least_at_least(column: str, bound: float) -> Expectation:
+    return Expectation(f"{column} at least {bound}", lambda: F.min(column), lambda v: v is None or v >= bound)
+
+
+def unit_length(column: str, tolerance: float = 1e-4) -> Expectation:
+    return Expectation(f"{column} of length 1", lambda: F.max(F.abs(norm(F.col(column)) - 1)), lambda v: v is not None and v <= tolerance)
+
+
+def values_of(column: str, *names: str) -> Expectation:
+    """Each of ``names`` occurs in the column."""
+    return Expectation(f"{column} holds {', '.join(names)}", lambda: F.collect_set(F.when(F.col(column).isin(*names), F.col(column))), lambda v: len(v) == len(names))
+
+
+def mean_sum_above(column: str, per: str, bound: float) -> Expectation:
+    """The sum of the column over the number of distinct values of ``per``."""
+    return Expectation(f"sum of {column} for each {per} above {bound}", lambda: F.sum(column) / F.countDistinct(per), lambda v: v is not None and v > bound)
 
 
 def at_least_rows(n: int) -> Expectation:
@@ -52,6 +81,8 @@ class Stage:
 
 def validate(stage: Stage, df: DataFrame) -> dict[str, object]:
     """Values of all expectations, from one aggregation; a broken one raises."""
+    if missing := [c for e in stage.expects for c in e.columns if c not in df.columns]:
+        raise InvalidValue(f"stage {stage.name}: expected columns {', '.join(missing)}")
     if not stage.expects:
         return {}
     row = df.agg(*[e.value().alias(f"e{i}") for i, e in enumerate(stage.expects)]).first()

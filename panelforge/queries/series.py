@@ -106,17 +106,17 @@ def w13_momentum_volume(spark, d):
 
 FACTORS = """f as (select ent, day, close / nullif(lag(close, 20) over (partition by ent order by day), 0) - 1 as momentum, vol / nullif(avg(vol) over (partition by ent order by day rows between 19 preceding and current row), 0) as activity,
     (high - low) / close as spread from panel),
-  s as (select *, round(0.5 * momentum + 0.3 * activity - 0.2 * spread, 9) as score from f where momentum is not null)"""
+  s as (select *, 0.5 * momentum + 0.3 * activity - 0.2 * spread as raw, round(0.5 * momentum + 0.3 * activity - 0.2 * spread, 9) as score from f where momentum is not null)"""
 
 
 @query(
     "w14_composite_score",
     with_(PANEL, FACTORS)
-    + """select ent, cast(day as varchar) as day, round(score, 6) + 0.0 as score, row_number() over (partition by day order by score desc, ent) as rank_score,
+    + """select ent, cast(day as varchar) as day, round(raw, 6) + 0.0 as score, row_number() over (partition by day order by score desc, ent) as rank_score,
   row_number() over (partition by day order by round(momentum, 9) desc, ent) as rank_momentum, row_number() over (partition by day order by round(activity, 9) desc, ent) as rank_activity from s""",
 )
 def w14_composite_score(spark, d):
-    """Weighted score and ranks by several orders: one shuffle by date serves all."""
+    """Weighted score and ranks by several orders (of the score to 9 digits): one shuffle by date serves all."""
     return rounded(_ranked(spark, d))
 
 
@@ -125,7 +125,7 @@ def _ranked(spark, d):
 
     x = ts.momentum_volume(panel(spark, d), "ent", "day")
     x = x.select("ent", "day", F.col("ret_20").alias("momentum"), F.col("volume_ratio").alias("activity"), ((F.col("high") - F.col("low")) / F.col("close")).alias("spread")).where("momentum is not null")
-    x = x.withColumn("score", F.round(0.5 * F.col("momentum") + 0.3 * F.col("activity") - 0.2 * F.col("spread"), 9))
+    x = x.withColumn("score", 0.5 * F.col("momentum") + 0.3 * F.col("activity") - 0.2 * F.col("spread"))
     w = Window.partitionBy("day")
     rank = lambda c: F.row_number().over(w.orderBy(F.round(c, 9).desc(), "ent"))
     return x.select("ent", "day", "score", rank("score").alias("rank_score"), rank("momentum").alias("rank_momentum"), rank("activity").alias("rank_activity"))
@@ -149,11 +149,11 @@ def w16_portfolio(spark, d, expression: str = "0.5 * momentum + 0.3 * activity -
     return rounded(top.select("ent", "day", "rank"))
 
 
-@query("w17_factors_at_date", with_(PANEL, FACTORS) + "select ent, round(momentum, 6) + 0.0 as momentum, round(activity, 6) + 0.0 as activity, round(score, 6) + 0.0 as score from s where day = date '1997-06-16'")
+@query("w17_factors_at_date", with_(PANEL, FACTORS) + "select ent, round(momentum, 6) + 0.0 as momentum, round(activity, 6) + 0.0 as activity, round(raw, 6) + 0.0 as score from s where day = date '1997-06-16'")
 def w17_factors_at_date(spark, d):
     """Windows first, the date afterwards."""
     x = ts.momentum_volume(panel(spark, d), "ent", "day").where("ret_20 is not null and day = date '1997-06-16'")
-    score = F.round(0.5 * F.col("ret_20") + 0.3 * F.col("volume_ratio") - 0.2 * (F.col("high") - F.col("low")) / F.col("close"), 9)
+    score = 0.5 * F.col("ret_20") + 0.3 * F.col("volume_ratio") - 0.2 * ((F.col("high") - F.col("low")) / F.col("close"))
     return rounded(x.select("ent", F.col("ret_20").alias("momentum"), F.col("volume_ratio").alias("activity"), score.alias("score")))
 
 
@@ -177,10 +177,20 @@ def a16_weekly_bars(spark, d):
 def b10_beta(spark, d):
     """Covariance with the equal-weighted market over its variance, both over the last 252 rows."""
     x = ts.returns(panel(spark, d), "ent", "day", periods=[1])
-    return ts.beta(x, ts.market_return(x, "day"), "ent", "day").select("ent", F.col("day").cast("string").alias("day"), r("beta", 5).alias("beta"))
+    return ts.beta(x, None, "ent", "day").select("ent", F.col("day").cast("string").alias("day"), r("beta", 5).alias("beta"))
 
 
-@query("b6_return_features", None)
+def _b6() -> str:
+    falls = "f as (select *, coalesce(ret_1 < 0, false) as falls from ret)"
+    over = "(partition by ent order by day rows between {} preceding and current row)"
+    peaks = "p as (select *, " + ", ".join(f"close / max(close) over {over.format(w - 1)} - 1 as fall_{w}" for w in (20, 60)) + " from f)"
+    columns = ", ".join(f"round({_vol(w)}, 6) + 0.0 as realized_vol_{w}, round(case when falls then {_vol(w, 'partition by ent, falls order by day')} end, 6) + 0.0 as downside_vol_{w}, round(min(fall_{w}) over {over.format(w - 1)}, 6) + 0.0 as max_drawdown_{w}" for w in (20, 60))
+    spread = over.format(19)
+    columns += f", round(case when close > 0 then ln(close) end, 6) + 0.0 as log_close, round(case when count(high) over {spread} = 20 then (max(high) over {spread} - min(low) over {spread}) / close end, 6) + 0.0 as range_20"
+    return _sql(_rets() + ", " + columns + ", " + ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in ("open", "high", "low", "close", "vol", "amount")), falls, peaks, source="p")
+
+
+@query("b6_return_features", _b6())
 def b6_return_features(spark, d):
     """All return features in one table."""
     return rounded(ts.return_features(panel(spark, d), "ent", "day"))

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,22 +34,139 @@ class TableSpec:
         return [n for n, _ in self.fields]
 
 
-def _spec(name: str, keys: str, fields: str, dates: str = "", partitions: str = "", description: str = "") -> TableSpec:
-    pairs = tuple((n, t) for group in fields.split(";") for t, names in [group.strip().split(":")] for n in names.split())
-    return TableSpec(name, tuple(keys.split()), pairs, tuple(dates.split()), tuple(partitions.split()), description)
-
-
-#: The equity warehouse (fixed values: names and types of its columns).
-CATALOG: dict[str, TableSpec] = {
-    t.name: t
-    for t in (
-        _spec("fact_stock_daily", "ts_code trade_date", "string:ts_code trade_date; float:open high low close pre_close change pct_chg vol amount", "trade_date", "trade_date", "daily bars"),
-        _spec("fact_stock_daily_basic", "ts_code trade_date", "string:ts_code trade_date; float:close turnover_rate turnover_rate_f volume_ratio pe pe_ttm pb ps ps_ttm dv_ratio dv_ttm total_share float_share free_share total_mv circ_mv", "trade_date", "trade_date", "daily valuation"),
-        _spec("fact_stock_fina_indicator", "ts_code ann_date end_date", "string:ts_code ann_date end_date; double:eps roe roe_dt roa roic q_roe q_dt_roe debt_to_assets assets_to_eqt current_ratio quick_ratio grossprofit_margin netprofit_margin netprofit_yoy or_yoy basic_eps_yoy q_sales_yoy ocf_to_profit salescash_to_or q_ocf_to_sales", "ann_date end_date", "", "financial indicators, valid from their announcement"),
-        _spec("fact_stock_sw_member", "ts_code in_date", "string:ts_code name l1_code l1_name l2_code l2_name l3_code l3_name in_date; int:out_date; string:is_new; bigint:snapshot_date", "in_date", "", "three-level industry membership"),
-        _spec("fact_stock_basic_snapshot", "ts_code", "string:ts_code symbol name area industry market exchange list_status list_date", "list_date", "", "stock dimension"),
-    )
-}
+#: Tables, keys, column names and types of the equity warehouse.
+TABLES = (
+    TableSpec(
+        "fact_stock_daily",
+        ("ts_code", "trade_date"),
+        (
+            ("ts_code", "string"),
+            ("trade_date", "string"),
+            ("open", "float"),
+            ("high", "float"),
+            ("low", "float"),
+            ("close", "float"),
+            ("pre_close", "float"),
+            ("change", "float"),
+            ("pct_chg", "float"),
+            ("vol", "float"),
+            ("amount", "float"),
+        ),
+        ("trade_date",),
+        ("trade_date",),
+        "daily bars",
+    ),
+    TableSpec(
+        "fact_stock_daily_basic",
+        ("ts_code", "trade_date"),
+        (
+            ("ts_code", "string"),
+            ("trade_date", "string"),
+            ("close", "float"),
+            ("turnover_rate", "float"),
+            ("turnover_rate_f", "float"),
+            ("volume_ratio", "float"),
+            ("pe", "float"),
+            ("pe_ttm", "float"),
+            ("pb", "float"),
+            ("ps", "float"),
+            ("ps_ttm", "float"),
+            ("dv_ratio", "float"),
+            ("dv_ttm", "float"),
+            ("total_share", "float"),
+            ("float_share", "float"),
+            ("free_share", "float"),
+            ("total_mv", "float"),
+            ("circ_mv", "float"),
+        ),
+        ("trade_date",),
+        ("trade_date",),
+        "daily valuation",
+    ),
+    TableSpec(
+        "fact_stock_fina_indicator",
+        ("ts_code", "ann_date", "end_date"),
+        (
+            ("ts_code", "string"),
+            ("ann_date", "string"),
+            ("end_date", "string"),
+            ("eps", "double"),
+            ("dt_eps", "double"),
+            ("profit_dedt", "double"),
+            ("gross_margin", "double"),
+            ("current_ratio", "double"),
+            ("quick_ratio", "double"),
+            ("roe", "double"),
+            ("roe_waa", "double"),
+            ("roa", "double"),
+            ("roic", "double"),
+            ("debt_to_assets", "double"),
+            ("grossprofit_margin", "double"),
+            ("netprofit_margin", "double"),
+            ("profit_to_gr", "double"),
+            ("tr_yoy", "double"),
+            ("or_yoy", "double"),
+            ("netprofit_yoy", "double"),
+            ("dt_netprofit_yoy", "double"),
+            ("basic_eps_yoy", "double"),
+            ("q_sales_yoy", "double"),
+            ("q_profit_yoy", "double"),
+            ("ocf_to_or", "double"),
+            ("ocf_to_profit", "double"),
+            ("salescash_to_or", "double"),
+            ("assets_to_eqt", "double"),
+            ("ocfps", "double"),
+            ("cfps", "double"),
+            ("fcff", "double"),
+            ("fcfe", "double"),
+            ("update_flag", "string"),
+        ),
+        ("ann_date", "end_date"),
+        ("ann_date",),
+        "financial indicators, valid from their announcement",
+    ),
+    TableSpec(
+        "fact_stock_sw_member",
+        ("ts_code", "in_date"),
+        (
+            ("l1_code", "string"),
+            ("l1_name", "string"),
+            ("l2_code", "string"),
+            ("l2_name", "string"),
+            ("l3_code", "string"),
+            ("l3_name", "string"),
+            ("ts_code", "string"),
+            ("name", "string"),
+            ("in_date", "string"),
+            ("out_date", "int"),
+            ("is_new", "string"),
+            ("snapshot_date", "bigint"),
+        ),
+        ("in_date",),
+        (),
+        "three-level industry membership",
+    ),
+    TableSpec(
+        "fact_stock_basic_snapshot",
+        ("ts_code",),
+        (
+            ("ts_code", "string"),
+            ("symbol", "string"),
+            ("name", "string"),
+            ("area", "string"),
+            ("industry", "string"),
+            ("cnspell", "string"),
+            ("market", "string"),
+            ("list_date", "string"),
+            ("act_name", "string"),
+            ("act_ent_type", "string"),
+        ),
+        (),
+        (),
+        "stock dimension",
+    ),
+)
+CATALOG: dict[str, TableSpec] = {t.name: t for t in TABLES}
 
 Filters = Mapping[str, object]
 
@@ -107,6 +225,35 @@ class Warehouse:
         filters = ({key: list(codes)} if codes is not None else {}) | ({at: date} if date else {})
         return self.fetch(name, filters=filters, low={at: start} if start else None, high={at: end} if end else None, order_by=[key, at])
 
+    def inventory(self) -> DataFrame:
+        """table_name and whether its data is there, for every declared table."""
+        rows = []
+        for name in self.list_tables():
+            try:
+                self.table(name)
+                rows.append((name, True))
+            except (MissingArtifact, AnalysisException):
+                rows.append((name, False))
+        return self.spark.createDataFrame(rows, "table_name string, is_there boolean")
+
+    def valuation(self, codes: Sequence[str] | None = None, start: str | None = None, end: str | None = None, date: str | None = None) -> DataFrame:
+        """Daily valuation rows, by the predicates of ``daily``."""
+        return self.daily(codes, start, end, date, "fact_stock_daily_basic")
+
+    def indicators(self, codes: Sequence[str] | None = None, announced: str | None = None, period: str | None = None, name: str = "fact_stock_fina_indicator", key: str = "ts_code", at: str = "ann_date", until: str = "end_date") -> DataFrame:
+        """Announced figures by code, announcement date and period end, in order of code and announcement."""
+        filters = ({key: list(codes)} if codes is not None else {}) | ({at: announced} if announced is not None else {}) | ({until: period} if period is not None else {})
+        return self.fetch(name, filters=filters, order_by=[key, at])
+
+    def members(self, codes: Sequence[str] | None = None, name: str = "fact_stock_sw_member", key: str = "ts_code", **levels: str | None) -> DataFrame:
+        """Memberships by code and by the value of any level (``l1_name="..."``)."""
+        filters = ({key: list(codes)} if codes is not None else {}) | {c: v for c, v in levels.items() if v is not None}
+        return self.fetch(name, filters=filters)
+
+    def dimension(self, codes: Sequence[str] | None = None, name: str = "fact_stock_basic_snapshot", key: str = "ts_code") -> DataFrame:
+        """The dimension's rows by code, in code order."""
+        return self.fetch(name, filters={key: list(codes)} if codes is not None else None, order_by=[key])
+
     def latest_date(self, name: str = "fact_stock_daily", at: str = "trade_date") -> DataFrame:
         """The greatest date; NULL for an empty table."""
         return self.table(name).agg(F.max(at).alias("latest"))

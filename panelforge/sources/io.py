@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import logging
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -14,9 +15,47 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidValue, MissingArtifact
 
-#: Columns every table of semantic records has, and those it may have (fixed values).
-RECORD_COLUMNS = ("record_id", "stock_code", "stock_name", "asof_date", "confidence", "source_quality_note", "profile_text", "product_text", "model_text", "chain_text", "theme_text", "full_text", "biz_form", "customer_side", "chain_level")
-RECORD_LISTS = ("products_json", "models_json", "themes_json", "chain_json", "uncertainties_json")
+log = logging.getLogger("panelforge")
+
+#: Columns that every table of semantic records has.
+RECORD_COLUMNS = (
+    "record_id",
+    "stock_code",
+    "stock_name",
+    "asof_date",
+    "confidence",
+    "source_quality_note",
+    "profile_text",
+    "product_text",
+    "model_text",
+    "chain_text",
+    "theme_text",
+    "full_text",
+    "biz_form",
+    "customer_side",
+    "chain_level",
+)
+
+#: Columns of JSON text that it may have.
+RECORD_JSON_COLUMNS = (
+    "business_model_json",
+    "industry_chain_position_json",
+    "business_logic_json",
+    "structural_themes_json",
+    "business_scope_keywords_json",
+    "core_products_services_json",
+    "application_scenarios_json",
+    "end_markets_json",
+    "customer_types_json",
+    "uncertainties_json",
+)
+
+
+def checked_records(df: DataFrame) -> DataFrame:
+    """``df`` if it has all columns of semantic records; JSON columns that it lacks are NULL."""
+    if missing := [c for c in RECORD_COLUMNS if c not in df.columns]:
+        raise InvalidValue(f"records lack {', '.join(missing)}")
+    return df.withColumns({c: F.lit(None).cast("string") for c in RECORD_JSON_COLUMNS if c not in df.columns})
 
 
 def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -91,10 +130,33 @@ def read_layers(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {r[0]: edges.where(F.col("layer") == r[0]).drop("layer") for r in edges.select("layer").distinct().orderBy("layer").collect()}
 
 
-def write_report(report: Mapping, path: str) -> None:
-    """A driver-side report as JSON."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, ensure_ascii=False, indent=2, default=str)
+def write_report(report: DataFrame, path: str) -> None:
+    """A report (one row, one JSON column) as one JSON text file below ``path``, wherever that is."""
+    report.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def write_tables(tables: Mapping[str, DataFrame], root: str) -> list[str]:
+    """Each table as Parquet in its folder below ``root``; the paths."""
+    paths = []
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}", compression="zstd")
+        paths.append(f"{root}/{name}")
+    return paths
+
+
+def available_views(spark: SparkSession, root: str, views: Sequence[str]) -> tuple[DataFrame | None, list[str]]:
+    """The union of the views that are there, and the names of those that aren't (each is logged); None if none is."""
+    there, missing = [], []
+    for v in dict.fromkeys(views):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{v}/{v}-all.npy")
+        (there if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) else missing).append(v)
+    for v in missing:
+        log.warning("view %s isn't in %s", v, root)
+    return (read_vector_views(spark, root, there) if there else None), missing
 
 
 def load_config(path: str) -> dict:

@@ -17,7 +17,7 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], order: str
 
 
 def incremental_load(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: Sequence[str], order: str) -> StreamingQuery:
-    """Loads what the source folder has gained since the last run. The stream's checkpoint is the high-water mark; each batch writes a new version of the target and then points at it."""
+    """Loads what the source folder has gained since the last run. The stream's checkpoint is the high-water mark. Each batch writes the whole target anew as ``<target>/v<batch>``; the version of the last batch is the table."""
 
     def merge(batch: DataFrame, number: int) -> None:
         version = f"{target}/v{number}"
