@@ -48,6 +48,21 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of the Arrow batches between Spark and Python while tables are written; both sides hold several of them at once.
+BATCH_BYTES = "8m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut lineage through a Parquet table in the shared folder, so that a lost executor costs a re-read and not a re-run.
 
@@ -57,7 +72,8 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = scratch(spark, name)
     if keep and _folder.get():
         path = "/".join([*_folder.get().split("/")[:-1], path.rsplit("/", 1)[1]])
-    df.write.parquet(path, compression="zstd")
+    with small_batches(spark):
+        df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
