@@ -188,7 +188,7 @@ def _move(edges: DataFrame, label: DataFrame, degree: DataFrame, total: float, r
 
 
 #: Rounds of local moves without a greater modularity after which they end.
-PATIENCE = 6
+PATIENCE = 4
 
 
 def communities(edges: DataFrame, nodes: DataFrame, id_col: str, resolution: float = 1.0, refine: bool = False) -> DataFrame:

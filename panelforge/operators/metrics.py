@@ -1,6 +1,6 @@
 """Node and graph metrics over symmetric edge tables (src, dst, weight) with a node table that holds isolated nodes too.
 
-Iterations cut their lineage by ``checkpoint`` in the folder named by ``spark.checkpoint.dir``.
+Iterations cut their lineage by tables in the folder named by ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations

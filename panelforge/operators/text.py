@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import confidence_value, json_list_length, padded, phrase_hits, text_or_empty, unit, vector_mean, weighted_concat
+from ..sources.shared import cut
 
 #: Phrases that mark a doubtful source (fixed values).
 RISK_PHRASES = ["uncertain", "unverified", "no source", "estimated", "outdated", "conflict", "missing", "low confidence"]
@@ -49,24 +50,66 @@ def _signed(components: np.ndarray) -> np.ndarray:
     return components * np.where(top < 0, -1, 1)
 
 
+def _gram(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of the outer products of sparse ``rows`` (i, w: places and weights), added up by tasks; its bytes depend on ``size`` only."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                dense = _dense(part.column(0), part.column(1), size)
+                total += dense.T @ dense
+        kept = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(list(total[kept]), pa.list_(pa.float64()))], ["k", "v"])
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": part["k"].iloc[:1], "v": [np.sum(np.stack(part["v"].to_list()), axis=0)]})
+
+    parts = rows.select("i", "w").coalesce(64).mapInArrow(add, "k int, v array<double>")
+    out = np.zeros((size, size))
+    for r in parts.groupBy("k").applyInPandas(merge, "k int, v array<double>").collect():
+        out[r[0]] = r[1]
+    return out
+
+
+def _dense(places: pa.Array, weights: pa.Array, size: int) -> np.ndarray:
+    out = np.zeros((len(places), size))
+    at = places.offsets.to_numpy()
+    out[np.repeat(np.arange(len(places)), np.diff(at)), places.flatten().to_numpy()] = weights.flatten().to_numpy()
+    return out
+
+
 def text_embedding(df: DataFrame, id_col: str, text_col: str, size: int = 64, max_features: int = 2000, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
-    """id, embedding: TF-IDF, truncated (uncentred) SVD, padding to ``size``, unit length. Texts without a term are zero."""
-    w = tfidf(df, id_col, text_col, max_features, ngrams)
-    names = [r[0] for r in w.select("term").distinct().orderBy("term").collect()]
-    out = df.select(id_col)
+    """id, embedding: TF-IDF, truncated (uncentred) SVD, padding to ``size``, unit length. Texts without a term are zero.
+
+    The right singular vectors are the eigenvectors of the terms' Gram matrix, which has ``max_features`` rows at most.
+    """
     zero = F.array_repeat(F.lit(0.0), size)
-    if not names:
-        return out.withColumn("embedding", zero)
-    at = df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "term string, i int")
-    rows = w.join(F.broadcast(at), "term").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("v"))
+    w = tfidf(df, id_col, text_col, max_features, ngrams)
+    terms_ = w.groupBy("term").agg(F.count("*")).select("term")
+    names = [r[0] for r in terms_.orderBy("term").collect()]
     n = len(names)
-    matrix = RowMatrix(rows.select("v").rdd.map(lambda r: OldVectors.sparse(n, [(x.i, x.weight) for x in r.v])))
-    svd = matrix.computeSVD(min(size, n), computeU=False)
-    v = _signed(svd.V.toArray())
-    loads = df.sparkSession.createDataFrame([(name, [float(x) for x in row]) for name, row in zip(names, v)], "term string, load array<double>")
-    x = w.join(F.broadcast(loads), "term").select(id_col, "weight", F.posexplode("load").alias("p", "x"))
-    x = x.groupBy(id_col, "p").agg(F.sum(F.col("weight") * F.col("x")).alias("x")).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("e"))
-    return out.join(x, id_col, "left").select(id_col, F.coalesce(unit(padded(F.col("e"), size)), zero).alias("embedding"))
+    if not n:
+        return df.select(id_col, zero.alias("embedding"))
+    at = df.sparkSession.createDataFrame(list(zip(names, range(n))), "term string, i int")
+    rows = cut(w.join(F.broadcast(at), "term").groupBy(id_col).agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w")))
+    value, vector = np.linalg.eigh(_gram(rows, n))
+    top = np.argsort(-value, kind="stable")[: min(size, n)]
+    loads = np.zeros((n, size))
+    # directions that no text has stay zero
+    loads[:, : len(top)] = _signed(vector[:, top]) * (value[top] > 1e-12 * value.max())
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                x = _dense(part.column(1), part.column(2), n) @ loads
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["k", "e"])
+
+    kind = dict(df.dtypes)[id_col]
+    e = rows.select(F.col(id_col).alias("k"), "i", "w").mapInArrow(project, f"k {kind}, e array<double>")
+    return df.select(id_col).join(e, F.col(id_col) == F.col("k"), "left").select(id_col, F.coalesce(unit(F.col("e")), zero).alias("embedding"))
 
 
 def reduced(vectors: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:

@@ -106,8 +106,12 @@ def v5_style_averages(spark, d):
     return rounded(_clustered(spark, d).groupBy("cluster").agg(F.avg("price").alias("price"), F.avg("size").alias("size")))
 
 
-@query("r3_quality_report", None)
+@query("r3_quality_report", with_(SECTION) + "select 'column ' || name as line, missing as n, round(missing / n, 5) + 0.0 as value from (select 'id' as name, count(*) - count(id) as missing, count(*) as n from section union all select 'grp', count(*) - count(grp), count(*) from section union all select 'kind', count(*) - count(kind), count(*) from section union all select 'price', count(*) - count(price), count(*) from section union all select 'size', count(*) - count(size), count(*) from section) union all select 'group ' || grp, count(*), round(avg(price), 5) + 0.0 from section where grp is not null group by grp")
 def r3_quality_report(spark, d):
-    """A report as one JSON row."""
+    """A report as one JSON row, its tables read from the JSON."""
     x = section(spark, d)
-    return reports.as_report({"columns": reports.column_quality(x), "groups": reports.group_profile(x, "grp", ["price"])})
+    report = reports.as_report({"columns": reports.column_quality(x), "groups": reports.group_profile(x, "grp", ["price"])})
+    columns = F.from_json(F.get_json_object("report", "$.columns"), "array<struct<column_name string, missing bigint, missing_share double>>")
+    groups = F.from_json(F.get_json_object("report", "$.groups"), "array<struct<grp string, n bigint, avg_price double>>")
+    a = report.select(F.explode(columns).alias("c")).select(F.concat(F.lit("column "), "c.column_name").alias("line"), F.col("c.missing").alias("n"), r("c.missing_share", 5).alias("value"))
+    return a.unionByName(report.select(F.explode(groups).alias("g")).select(F.concat(F.lit("group "), "g.grp").alias("line"), F.col("g.n").alias("n"), r("g.avg_price", 5).alias("value")))

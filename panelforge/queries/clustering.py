@@ -65,11 +65,11 @@ def a7_cluster_summary(spark, d):
     return rounded(clusters.cluster_summary(x, "c", "g"))
 
 
-@query("c11_prototypes", with_(CENTRES) + "select label, round(p[1], 5) + 0.0 as first, round(p[64], 5) + 0.0 as last from u")
+@query("c11_prototypes", with_(CENTRES) + "select label, generate_subscripts(p, 1) - 1 as pos, round(unnest(p), 5) + 0.0 as x from u")
 def c11_prototypes(spark, d):
     v = _vectors(spark, d)
     x = clusters.prototypes(v.drop("label"), v, "vec_id", "embedding", "label")
-    return rounded(x.select("label", F.element_at("prototype", 1).alias("first"), F.element_at("prototype", 64).alias("last")), 5)
+    return rounded(x.select("label", F.posexplode("prototype").alias("pos", "x")), 5)
 
 
 @query("c12_exposures", with_(CENTRES) + ", s as (select vec_id, u.label, list_inner_product(cast(embedding as double[]), p) as score from embeddings, u) select vec_id, arg_max(label, score) as top_proto_id, round(max(score), 5) + 0.0 as top_proto_score from s group by 1")
@@ -79,13 +79,27 @@ def c12_exposures(spark, d):
     return rounded(clusters.top_exposure(clusters.exposures(v.drop("label"), p, "vec_id", "embedding", "label"), "vec_id", "label"), 5)
 
 
-@query("c10_separation", None)
+CENTRED = """p as (select vec_id, label, generate_subscripts(embedding, 1) as pos, cast(unnest(embedding) as double) as x from embeddings),
+  m as (select label, pos, avg(x) as m from p group by 1, 2), w as (select pos, avg(x) as g from p group by 1),
+  d as (select p.vec_id, p.label, sqrt(sum((p.x - m.m) ** 2)) as d from p join m using (label, pos) group by 1, 2),
+  s as (select label, avg(d) as s, sum(d * d) as w, count(*) as n from d group by 1),
+  b as (select label, sum((m.m - g) ** 2) as b from m join w using (pos) group by 1),
+  q as (select i.label, max((i.s + j.s) / nullif(dd, 0)) as r from s i join s j on i.label <> j.label join (select x.label as a, y.label as b, sqrt(sum((x.m - y.m) ** 2)) as dd from m x join m y using (pos) group by 1, 2) t on t.a = i.label and t.b = j.label group by 1)"""
+
+
+@query("c10_separation", with_(CENTRED) + "select round((select avg(r) from q), 5) + 0.0 as davies_bouldin, round((sum(n * b) / (count(*) - 1)) / nullif(sum(w) / (sum(n) - count(*)), 0), 5) + 0.0 as calinski_harabasz from s join b using (label)")
 def c10_separation(spark, d):
     v = _vectors(spark, d)
     return rounded(clusters.separation(v.drop("label"), v, "vec_id", "embedding", "label"), 5)
 
 
-@query("c10_silhouette", None)
+@query(
+    "c10_silhouette",
+    """with v as (select vec_id, label, cast(embedding as double[]) as e from embeddings), k as (select label, count(*) as n from v group by 1),
+  s as (select x.vec_id, x.label, y.label as other, sum(list_distance(x.e, y.e)) as t from v x join v y on true group by 1, 2, 3),
+  a as (select vec_id, max(case when s.label = other then t / greatest(n - 1, 1) end) as a, max(case when s.label = other then n end) as own, min(case when s.label <> other then t / n end) as b from s join k on k.label = other group by 1)
+select round(avg(case when own > 1 and b is not null then (b - a) / greatest(a, b) else 0 end), 5) + 0.0 as silhouette from a""",
+)
 def c10_silhouette(spark, d):
     v = _vectors(spark, d)
     return rounded(clusters.silhouette(v.drop("label"), v, "vec_id", "embedding", "label"), 5)
@@ -93,14 +107,14 @@ def c10_silhouette(spark, d):
 
 @query("x1_semantic_job", None)
 def x1_semantic_job(spark, d):
-    """The staged semantic job over the benchmark's texts."""
+    """The staged semantic job over the documents' texts."""
     import uuid
 
     from ..plans.stages import run_stages
     from ..sources.shared import shared_root
 
-    records = load(spark, d, "benchmark").withColumn("parity", (F.col("item_id") % 3).cast("string"))
-    stages = semantic_stages(records, "item_id", {"text": ["text"]}, {"text": 0.55}, ["parity"], k=5, clusters_n=4, text_size=16)
+    records = load(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    stages = semantic_stages(records, "doc_id", {"text": ["text"]}, {"text": 0.55}, ["lang", "source"], k=5, clusters_n=8, text_size=16)
     root = f"{shared_root(spark)}/semantic-{uuid.uuid4().hex}"
     return rounded(run_stages(spark, stages, root)["result"], 4)
 

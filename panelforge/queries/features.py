@@ -112,16 +112,32 @@ def b15_quality_features(spark, d):
     return rounded(text.quality_features(x).select("doc_id", "confidence_score", "risk_score", "text_length", "stability_penalty"))
 
 
-@query("f3_unit_vectors", "select vec_id, round(list_sum(list_transform(embedding, lambda x: cast(x as double) * x)), 4) as length from embeddings")
+def _components(x, key: str, **vectors):
+    """Every component of some vectors, rounded: key, vector, pos, x."""
+    out = None
+    for name, v in vectors.items():
+        part = x.select(key, F.posexplode(v).alias("pos", "x")).select(key, F.lit(name).alias("vector"), F.col("pos").cast("long").alias("pos"), r(F.col("x").cast("double"), 5).alias("x"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+UNITS = "u as (select vec_id, cast(embedding as double[]) as e, list_transform(cast(embedding as double[]), lambda x: 2 * x) as twice, list_transform(cast(embedding as double[]), lambda x: x / sqrt(list_inner_product(cast(embedding as double[]), cast(embedding as double[])))) as u from embeddings)"
+
+
+def _listed(key: str, name: str, expression: str, source: str = "u") -> str:
+    return f"select {key}, '{name}' as vector, generate_subscripts(v, 1) - 1 as pos, round(unnest(v), 5) + 0.0 as x from (select {key}, {expression} as v from {source})"
+
+
+@query("f3_unit_vectors", f"with {UNITS} " + _listed("vec_id", "unit", "u"))
 def f3_unit_vectors(spark, d):
-    x = load(spark, d, "embeddings").select("vec_id", sc.unit(F.col("embedding")).alias("u"))
-    return x.select("vec_id", F.round(sc.dot(F.col("u"), F.col("u")), 4).alias("length"))
+    """Vectors of twice the length, at unit length."""
+    return _components(load(spark, d, "embeddings"), "vec_id", unit=sc.unit(sc.scaled(F.col("embedding"), 2.0)))
 
 
-@query("f5_padded", None)
+@query("f5_padded", f"with {UNITS} " + _listed("vec_id", "longer", "list_resize(e, 80, 0)") + " union all " + _listed("vec_id", "shorter", "e[1:10]"))
 def f5_padded(spark, d):
-    x = load(spark, d, "embeddings")
-    return x.select("vec_id", F.size(sc.padded(F.col("embedding"), 80)).alias("longer"), F.size(sc.padded(F.col("embedding"), 10)).alias("shorter"))
+    """Vectors filled up with zeros, and cut."""
+    return _components(load(spark, d, "embeddings"), "vec_id", longer=sc.padded(F.col("embedding"), 80), shorter=sc.padded(F.col("embedding"), 10))
 
 
 @query("f17_similarities", "select a.vec_id as a, b.vec_id as b, round(list_inner_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 5) + 0.0 as dot, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 5) + 0.0 as cosine, round(exp(-list_distance(cast(a.embedding as double[]), cast(b.embedding as double[]))), 5) + 0.0 as decay from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
@@ -144,16 +160,16 @@ def b11_tfidf(spark, d):
 
 @query("b12_text_embedding", None)
 def b12_text_embedding(spark, d):
-    """TF-IDF and truncated SVD of item texts."""
-    x = text.text_embedding(load(spark, d, "benchmark"), "item_id", "text", 16, 400, (1, 1))
-    return x.select("item_id", F.round(sc.norm(F.col("embedding")), 4).alias("length"))
+    """TF-IDF and truncated SVD of all documents, every component."""
+    x = text.text_embedding(load(spark, d, "documents"), "doc_id", "text", 16, 400, (1, 1))
+    return _components(x, "doc_id", embedding=F.col("embedding"))
 
 
 @query("b13_vector_reduction", None)
 def b13_vector_reduction(spark, d):
-    """Principal components of centred vectors, unit length."""
+    """Principal components of centred vectors, unit length, every component."""
     x = text.reduced(load(spark, d, "embeddings"), "vec_id", "embedding", 16)
-    return x.select("vec_id", F.round(sc.norm(F.col("embedding")), 4).alias("length"))
+    return _components(x, "vec_id", embedding=F.col("embedding"))
 
 
 @query(
@@ -167,16 +183,22 @@ def b14_anchors(spark, d):
     return rounded(a.select("c_custkey", F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("value"), F.col("anchor").alias("x"))).alias("s")).select("c_custkey", F.col("s.value").alias("value"), F.col("s.x").alias("x")))
 
 
-@query("b18_semantic_vector", "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))) * 0.6 / sqrt(0.6 * 0.6 + 0.8 * 0.8), 4) + 0.0 as first_share from embeddings")
+CONCAT = "w as (select vec_id, list_concat(list_transform(e, lambda x: 0.6 * x), list_transform(list_reverse(e), lambda x: 0.8 * x)) as w from u), s as (select vec_id, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) as s from w)"
+
+
+@query("b18_semantic_vector", f"with {UNITS}, {CONCAT} " + _listed("vec_id", "semantic", "s", "s"))
 def b18_semantic_vector(spark, d):
-    """Weighted concatenation of two unit blocks: the first has its weight's share of the length."""
-    x = load(spark, d, "embeddings").withColumn("other", sc.unit(F.reverse("embedding")))
-    x = text.semantic_vector(x, {"embedding": 0.6, "other": 0.8})
-    return x.select("vec_id", r(sc.norm(F.slice("semantic", 1, 64)), 4).alias("first_share"))
+    """Two blocks by their weights, one after the other, at unit length."""
+    x = load(spark, d, "embeddings").withColumn("other", F.reverse("embedding"))
+    return _components(text.semantic_vector(x, {"embedding": 0.6, "other": 0.8}), "vec_id", semantic=F.col("semantic"))
+
+
+FUSED = "w as (select vec_id, list_transform(range(1, 65), lambda i: (e[i] + e[65 - i]) / 2) as w from u), s as (select vec_id, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) as s from w)"
 
 
-@query("b16_fused_views", None)
+@query("b16_fused_views", f"with {UNITS}, {FUSED} " + _listed("vec_id", "text", "s", "s") + " union all " + _listed("vec_id", "theme", "s", "s"))
 def b16_fused_views(spark, d):
+    """The unit mean of a family's views; a family without one falls back to the first that has one."""
     x = load(spark, d, "embeddings").withColumn("back", F.reverse("embedding"))
     x = text.fused_views(x, {"text": ["embedding", "back"], "theme": ["none"]})
-    return x.select("vec_id", F.round(sc.norm(F.col("text")), 4).alias("text"), F.round(sc.norm(F.col("theme")), 4).alias("theme"))
+    return _components(x, "vec_id", text=F.col("text"), theme=F.col("theme"))

@@ -151,13 +151,19 @@ def m1_degrees(spark, d):
     return rounded(metrics.degrees(_graph(spark, d, 5), _vectors(spark, d), "vec_id"), 5)
 
 
-@query(
-    "m2_components",
-    "with recursive e as (select distinct o_custkey as a, 1000000 + o_orderkey % 2500 as b from orders where o_custkey % 5 = 0), u as (select a, b from e union select b, a from e), n as (select distinct a as id from u), r(id, seen) as (select id, id from n union select r.id, u.b from r join u on r.seen = u.a) select id, min(seen) as component, count(*) as size from r group by 1",
-)
+def _components_sql(rounds: int) -> str:
+    """Least labels along edges and labels of labels, as many rounds as the tables need and some more."""
+    parts = ["e as materialized (select distinct o_custkey as a, 1000000 + (o_orderkey * 7) // 40 as b from orders)", "u as materialized (select a, b from e union select b, a from e)", "c0 as materialized (select distinct a as id, a as c from u)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"n{i} as materialized (select o.id, least(o.c, min(x.c)) as c from c{i - 1} o join u on u.a = o.id join c{i - 1} x on x.id = u.b group by o.id, o.c)")
+        parts.append(f"c{i} as materialized (select n.id, least(n.c, m.c) as c from n{i} n join n{i} m on m.id = n.c)")
+    return with_(*parts) + f"select id, c as component, count(*) over (partition by c) as size from c{rounds}"
+
+
+@query("m2_components", _components_sql(16))
 def m2_components(spark, d):
-    """Connected components of customers and order groups."""
-    e = load(spark, d, "orders").where("o_custkey % 5 = 0").select(F.col("o_custkey").alias("src"), (1000000 + F.col("o_orderkey") % 2500).alias("dst")).distinct()
+    """Connected components of customers and groups of neighbouring orders."""
+    e = load(spark, d, "orders").select(F.col("o_custkey").alias("src"), (1000000 + F.floor(F.col("o_orderkey") * 7 / 40)).alias("dst")).distinct()
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1.0))
     return metrics.connected_components(both, both.select(F.col("src").alias("id")).distinct(), "id")
 
@@ -173,15 +179,35 @@ def m3_pagerank(spark, d):
     return rounded(metrics.pagerank(_graph(spark, d, 5), _vectors(spark, d), "vec_id", rounds=10, tol=0.0, check_every=10))
 
 
-@query("m6_eigenvector", None)
+def _eigenvector_sql(rounds: int) -> str:
+    steps = ["x0 as materialized (select vec_id as id, 1.0 as x from embeddings)"]
+    steps += [f"x{i} as materialized (select l.id, (l.x + coalesce(sum(g.weight * m.x), 0)) / 10 as x from x{i - 1} l left join g on g.src = l.id left join x{i - 1} m on m.id = g.dst group by l.id, l.x)" for i in range(1, rounds + 1)]
+    return with_(_graph_sql(5), *steps) + f"select id as vec_id, round(x / (select sum(x) from x{rounds}), 6) + 0.0 as eigenvector from x{rounds}"
+
+
+@query("m6_eigenvector", _eigenvector_sql(30))
 def m6_eigenvector(spark, d):
-    return rounded(metrics.eigenvector_centrality(_graph(spark, d, 5), _vectors(spark, d), "vec_id", rounds=30, check_every=10))
+    """Thirty rounds of power iteration."""
+    return rounded(metrics.eigenvector_centrality(_graph(spark, d, 5), _vectors(spark, d), "vec_id", rounds=30, tol=0.0, check_every=10))
 
 
-@query("m7_betweenness", None)
+def _betweenness_sql(levels: int) -> str:
+    parts = ["e as materialized (select distinct src, dst from g where src <> dst)", "l0 as materialized (select vec_id as root, vec_id as id, cast(1 as double) as paths from embeddings order by vec_id limit 20)", "s0 as materialized (select root, id from l0)"]
+    for i in range(1, levels + 1):
+        parts.append(f"l{i} as materialized (select root, dst as id, sum(paths) as paths from l{i - 1} join e on id = src where not exists (select 1 from s{i - 1} s where s.root = l{i - 1}.root and s.id = e.dst) group by 1, 2)")
+        parts.append(f"s{i} as materialized (select * from s{i - 1} union all select root, id from l{i})")
+    parts.append(f"b{levels} as materialized (select root, id, paths, cast(0 as double) as s from l{levels})")
+    for i in range(levels - 1, -1, -1):
+        parts.append(f"b{i} as materialized (select u.root, u.id, u.paths, coalesce(sum(u.paths / b.paths * (1 + b.s)), 0) as s from l{i} u left join (e join b{i + 1} b on e.dst = b.id) on b.root = u.root and e.src = u.id group by 1, 2, 3)")
+    every = " union all ".join(f"select root, id, s from b{i} where root <> id" for i in range(levels + 1))
+    return with_(_graph_sql(5), *parts, f"t as (select id, sum(s) as s from ({every}) group by 1)", "n as (select cast(count(*) as double) as n from embeddings)") + "select vec_id, round(coalesce(s, 0) * (n / 20) / ((n - 1) * (n - 2)), 6) + 0.0 as betweenness from embeddings left join t on vec_id = id, n"
+
+
+@query("m7_betweenness", _betweenness_sql(14))
 def m7_betweenness(spark, d):
-    """Shortest-path shares from 20 sources (a parameter of the estimate)."""
-    return rounded(metrics.betweenness(_graph(spark, d, 5), _vectors(spark, d), "vec_id", 20))
+    """Shortest-path shares from the 20 least ids (the sources are a parameter of the estimate)."""
+    v = _vectors(spark, d)
+    return rounded(metrics.betweenness(_graph(spark, d, 5), v, "vec_id", roots=v.orderBy("vec_id").limit(20)))
 
 
 @query("m8_clustering_coefficient", with_(_graph_sql(8)) + ", d as (select vec_id, count(g.src) as degree from embeddings left join g on vec_id = g.src group by 1), t as (select a.src as id, count(*) / 2 as t from g a join g b on a.src = b.src and a.dst <> b.dst join g c on c.src = a.dst and c.dst = b.dst group by 1) select vec_id, degree, cast(coalesce(t, 0) as bigint) as triangles, round(case when degree < 2 then 0 else 2 * coalesce(t, 0) / (degree * (degree - 1)) end, 6) + 0.0 as clustering from d left join t on vec_id = id")
@@ -189,7 +215,15 @@ def m8_clustering_coefficient(spark, d):
     return rounded(metrics.clustering_coefficient(_graph(spark, d, 8), _vectors(spark, d), "vec_id"))
 
 
-@query("m9_core_numbers", None)
+def _core_sql(rounds: int) -> str:
+    parts = ["e as materialized (select distinct src, dst from g where src <> dst)", "h0 as materialized (select vec_id as id, count(e.dst) as h from embeddings left join e on e.src = vec_id group by 1)"]
+    for i in range(1, rounds + 1):
+        ranked = f"select e.src, x.h, row_number() over (partition by e.src order by x.h desc) as i from e join h{i - 1} x on x.id = e.dst"
+        parts.append(f"h{i} as materialized (select o.id, coalesce(max(least(r.h, r.i)), 0) as h from h{i - 1} o left join ({ranked}) r on r.src = o.id group by 1)")
+    return with_(_graph_sql(5), *parts) + f"select id as vec_id, cast(h as bigint) as core from h{rounds}"
+
+
+@query("m9_core_numbers", _core_sql(40))
 def m9_core_numbers(spark, d):
     return metrics.core_numbers(_graph(spark, d, 5), _vectors(spark, d), "vec_id")
 
@@ -224,11 +258,11 @@ def a22_layer_quality(spark, d):
     return rounded(graphs.layer_quality(_layers(spark, d), _vectors(spark, d), "vec_id"))
 
 
-@query("v4_top_pagerank", None)
+@query("v4_top_pagerank", _pagerank_sql(90).replace("round(r, 6)", "round(r, 5)") + " order by pagerank desc, vec_id limit 20")
 def v4_top_pagerank(spark, d):
     """The 20 nodes of greatest rank (a top-k report)."""
-    x = metrics.pagerank(_graph(spark, d, 5), _vectors(spark, d), "vec_id")
-    return x.orderBy(F.round("pagerank", 9).desc(), "vec_id").limit(20).select("vec_id", r("pagerank", 5).alias("pagerank"))
+    x = metrics.pagerank(_graph(spark, d, 5), _vectors(spark, d), "vec_id", tol=1e-7, rounds=200)
+    return x.orderBy(F.round("pagerank", 5).desc(), "vec_id").limit(20).select("vec_id", r("pagerank", 5).alias("pagerank"))
 
 
 @query("m16_node_metrics", None)

@@ -70,10 +70,12 @@ def s11_trade_dates(spark, d):
     return x.select(F.to_date("l_shipdate").cast("string").alias("day")).distinct()
 
 
-@query("s1_catalog", None)
+@query("s1_catalog", "select * from (values " + ", ".join(f"('{t.name}', {len(t.fields)}, '{'|'.join(t.keys)}')" for t in CATALOG.values()) + ") t(table_name, columns, keys)")
 def s1_catalog(spark, d):
-    """The declared equity tables."""
-    return Warehouse(spark, d, CATALOG).describe()
+    """The declared equity tables: how many columns, and the key."""
+    w = Warehouse(spark, d, CATALOG)
+    keys = spark.createDataFrame([(t, "|".join(w.spec(t).keys)) for t in w.list_tables()], "table_name string, keys string")
+    return w.describe().groupBy("table_name").agg(F.count("*").alias("columns")).join(keys, "table_name")
 
 
 @query("s16_dataset_assembly", "select c.c_custkey, c.c_name, n.n_name, n.n_regionkey from customer c left join nation n on c.c_nationkey = n.n_nationkey and n.n_regionkey < 3")
@@ -217,13 +219,13 @@ def b1_snapshot(spark, d):
     return rounded(x.select("ent", "day", "close", "vol", "turnover", "name", "label", F.round("figure", 2).alias("figure"), "ann", "record_key"))
 
 
-@query("j9_align_vectors", None)
+@query("j9_align_vectors", "select d.doc_id as vec_id, p.pos, round(coalesce(cast(e.embedding[p.pos + 1] as double), 0), 5) + 0.0 as x from documents d left join embeddings e on e.vec_id = d.doc_id, range(0, 64) p(pos)")
 def j9_align_vectors(spark, d):
-    """Vectors by key, zeros where there is none."""
+    """Vectors by key, zeros where there is none; every component."""
     e = load(spark, d, "embeddings")
     keys = load(spark, d, "documents").select(F.col("doc_id").alias("vec_id"))
     x = rel.align_vectors(keys, e, "vec_id", "embedding", 64)
-    return x.select("vec_id", F.size("embedding").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b * b), 5).alias("length"))
+    return rounded(x.select("vec_id", F.posexplode("embedding").alias("pos", "x")), 5)
 
 
 @query("j12_match_share", "select count(e.vec_id) as matched, count(*) as total, round(count(e.vec_id) / count(*), 6) + 0.0 as share from documents d left join embeddings e on d.doc_id = e.vec_id")

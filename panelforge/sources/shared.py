@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,8 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+    """``df`` written to the shared folder and read from there: computed once (an eager checkpoint computes twice), and there when an executor is lost."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/panelforge/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    return spark.read.schema(df.schema).parquet(path)
