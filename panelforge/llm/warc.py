@@ -18,6 +18,8 @@ from .common import scratch, table
 
 #: Payloads shorter than this are stored with each record as a response.
 LEAST = 100
+#: The date of records whose table has none; records in a plain file at most.
+DATE, PER_FILE = "1970-01-01T00:00:00Z", 50_000
 #: Fixed values of the record format.
 VERSION, CRLF, PROFILE = "WARC/1.1", "\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -29,6 +31,7 @@ def _headers(x: DataFrame) -> F.Column:
         F.lit(VERSION),
         F.concat(F.lit("WARC-Type: "), "record_type"),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), name, F.lit(">")),
+        F.concat(F.lit("WARC-Date: "), "date"),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", " ")),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), "digest"),
         F.concat(F.lit("WARC-Payload-Length: "), "n_bytes"),
@@ -39,7 +42,7 @@ def _headers(x: DataFrame) -> F.Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF))
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE) -> None:
     """One record per row of ``pages``.
 
     Of records with equal payloads of at least 100 bytes, that with the smallest id is a response and the others revisit
@@ -48,13 +51,13 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     one that has an id, and is a response if there is none. An empty table gives an empty archive.
     """
     x = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    x = x.withColumns({"digest": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long")})
+    x = x.withColumns({"digest": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long"), "date": F.lit(date)})
     # the payload moves once for each digest and map task: tasks keep one copy before anything is sent
     payloads = x.groupBy("digest").agg(F.first("payload").alias("payload"), F.min("page_id").alias("first_id"), F.count("*").alias("records"))
     payloads.write.parquet(f"{path}/payloads", compression="zstd")
     shared = x.sparkSession.read.schema("digest string, payload binary, first_id long, records long").parquet(f"{path}/payloads").where("records > 1 and octet_length(payload) >= %d" % LEAST).select("digest", "first_id")
     revisits = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    headers = x.drop("payload").join(shared, "digest", "left").select("page_id", "url", "digest", "n_bytes", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first_id")).alias("refers_to"))
+    headers = x.drop("payload").join(shared, "digest", "left").select("page_id", "url", "digest", "n_bytes", "date", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first_id")).alias("refers_to"))
     headers.select("page_id", "digest", _headers(headers).cast("binary").alias("header")).write.parquet(f"{path}/headers", compression="zstd")
 
 
@@ -82,14 +85,17 @@ def records_summary(records: DataFrame) -> DataFrame:
 
 
 def export_warc(records: DataFrame, path: str) -> None:
-    """Plain WARC/1.1 files, one a task: header, payload (none for revisits), two line ends. Spark's text writer keeps the bytes as they are."""
+    """Plain WARC/1.1 files of at most ``PER_FILE`` records: header, payload (none for revisits), two line ends. Spark's text writer keeps the bytes as they are."""
     revisit = header_field("WARC-Type") == "revisit"
     body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
-    records.select(F.concat("header", body).cast("string").alias("value")).write.option("lineSep", CRLF * 2).text(path)
+    records.select(F.concat("header", body).cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def import_warc(spark: SparkSession, path: str) -> DataFrame:
-    """header, payload, digest: the records of WARC files, cut by their Content-Length, so payloads may hold anything. A file is one task's work."""
+    """header, payload, digest: the records of WARC files, cut by their Content-Length, so payloads may hold anything.
+
+    A file is one task's work. A response whose payload doesn't match the digest in its header ends the job.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +105,10 @@ def import_warc(spark: SparkSession, path: str) -> DataFrame:
                     header = raw[at : end + 4]
                     n = int(header.split(b"\r\nContent-Length: ")[1].split(b"\r\n")[0])
                     payload = raw[end + 4 : end + 4 + n]
-                    rows.append((header, payload, hashlib.sha256(payload).hexdigest()))
+                    digest = hashlib.sha256(payload).hexdigest()
+                    if b"\r\nWARC-Type: revisit\r\n" not in header and b"\r\nWARC-Payload-Digest: sha256:" in header and digest.encode() not in header:
+                        raise ValueError(f"payload differs from its header's digest: {header[:200]!r}")
+                    rows.append((header, payload, digest))
                     at = end + 8 + n
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.string()))] if rows else [pa.array([], pa.binary()), pa.array([], pa.binary()), pa.array([], pa.string())], ["header", "payload", "digest"])
 

@@ -96,6 +96,10 @@ def test_op2_archive(spark):
     assert spark.read.parquet(path + "/payloads").count() == 5
     warc.export_warc(records, path + "/files")
     back = warc.import_warc(spark, path + "/files").collect()
+    assert all(b"\r\nWARC-Date: " in r.header for r in back)
+    spark.createDataFrame([("WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: 2\r\n\r\nab",)], "value string").write.option("lineSep", "\r\n\r\n").text(path + "/broken")
+    with pytest.raises(Exception, match="differs from its header"):
+        warc.import_warc(spark, path + "/broken").collect()
     kept = {(bytes(r.header), bytes(r.payload)) for r in records.collect()}
     assert len(back) == len(rows)
     assert all((bytes(r.header), bytes(r.payload)) in kept for r in back if b"revisit" not in r.header)
