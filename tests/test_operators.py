@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.errors import InvalidValue, MissingArtifact, RowMismatch
+from panelforge.errors import InvalidValue, MissingArtifact, NotSettled, RowMismatch
 from panelforge.functions import scalars as sc
-from panelforge.operators import clusters, graphs, metrics, reports, text
+from panelforge.operators import alignment, clusters, graphs, metrics, reports, text
 from panelforge.operators import crosssection as cs
 from panelforge.operators import relational as rel
 from panelforge.operators import timeseries as ts
+from panelforge.plans import stages
 from panelforge.plans.stages import Stage, at_least_rows, run_stages
 from panelforge.sources import io
 from panelforge.sources.catalog import TableSpec, Warehouse
+from panelforge.sources.dataset import SemanticDataset
 from panelforge.streaming.ingest import incremental_load, upsert
 
 
@@ -140,6 +143,95 @@ def test_communities_find_cliques(spark):
         assert q > 0.5
 
 
+def test_parallel_communities_match_the_sequential_form(spark):
+    """Modularity on a random graph with planted groups, against one node at a time."""
+    from .sequential import sequential_communities
+
+    r = random.Random(40)
+    group = [i // 20 for i in range(120)]
+    links = {(i, j) for i in range(120) for j in range(i) if r.random() < (0.3 if group[i] == group[j] else 0.02)}
+    e, n = edges(spark, sorted(links)).coalesce(1), nodes(spark, 121).coalesce(1)
+    q = lambda label: clusters.modularity(e, spark.createDataFrame(sorted(label.items()), "id long, c long"), "id", "c").first()[0]
+    for refine in (False, True):
+        mine = pairs(clusters.communities(e, n, "id", refine=refine), "id", "community_id")
+        assert mine[120] == 120 and q(mine) > 0.95 * q(sequential_communities(e.toPandas(), refine=refine))
+
+
+def test_components_of_long_paths(spark):
+    r = random.Random(41)
+    links = [(i, i + 1) for i in range(150)] + [(200 + r.randint(0, 90), 200 + r.randint(0, 90)) for _ in range(70)]
+    links = [p for p in links if p[0] != p[1]]
+    want = list(range(300))
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert pairs(metrics.connected_components(edges(spark, links), nodes(spark, 300), "id"), "id", "component") == dict(enumerate(want))
+
+
+def test_iterations_that_do_not_settle_raise(spark):
+    e, n = edges(spark, [(0, 1), (1, 2), (0, 2), (2, 3)]), nodes(spark, 5)
+    with pytest.raises(NotSettled):
+        metrics.pagerank(e, n, "id", rounds=5, tol=1e-12)
+    with pytest.raises(NotSettled):
+        metrics.eigenvector_centrality(e, n, "id", rounds=10, tol=1e-12)
+
+
+def test_alignment(spark):
+    snap = spark.createDataFrame([("a", "20240105"), ("a", "20240201"), ("b", "20240105"), ("a", "20231201"), (None, "20240105")], "ts_code string, trade_date string")
+    records = spark.createDataFrame([("a", "2024-01-01", "r1"), ("a", "2024-01-10", "r2"), ("a", "2024-03-01", "r3")], "stock_code string, asof_date string, record_id string")
+    got = {(r.ts_code, r.trade_date): r.record_id for r in alignment.record_ids_asof(snap, records).collect()}
+    assert got == {("a", "20240105"): "r1", ("a", "20240201"): "r2", ("b", "20240105"): None, ("a", "20231201"): "a_20231201", (None, "20240105"): None}
+    assert {r.record_id for r in alignment.record_ids_asof(snap.where("ts_code = 'b'"), records.limit(0)).collect()} == {"b_20240105"}
+    v = alignment.numeric_vectors(spark.createDataFrame([(1, 1.0, None), (2, 3.0, None)], "id int, x double, y double"), ["x", "y"])
+    assert np.allclose(sorted(r.embedding for r in v.collect()), [[-1, 0], [1, 0]])
+    x = alignment.view_features(spark.createDataFrame([(1, "apple pie"), (2, "plum")], "id int, body string"), "id", "body", {}, 4)
+    assert all(math.isclose(np.linalg.norm(r.embedding), 1) for r in x.collect())
+    with pytest.raises(InvalidValue):
+        alignment.view_features(x, "id", "absent", {}, 4)
+
+
+def test_dataset(spark):
+    d = SemanticDataset(spark.createDataFrame([("a", 1), ("b", 2)], "record_id string, n int"), {"v": spark.createDataFrame([("a", [3.0, 4.0])], "record_id string, embedding array<double>")})
+    assert d.list_views() == ["v"] and d.has_view("v") and not d.has_view("w") and d.num_rows() == 2
+    assert d.record("b").first().n == 2 and np.allclose(d.view("v", normalize=True).first().embedding, [0.6, 0.8])
+    with pytest.raises(KeyError):
+        d.record("z")
+    with pytest.raises(MissingArtifact):
+        d.view("w")
+
+
+def test_records_are_checked(spark):
+    full = spark.createDataFrame([tuple("x" for _ in io.RECORD_COLUMNS)], ", ".join(f"{c} string" for c in io.RECORD_COLUMNS))
+    assert set(io.RECORD_JSON_COLUMNS) <= set(io.checked_records(full).columns)
+    with pytest.raises(InvalidValue):
+        io.checked_records(full.drop("full_text"))
+
+
+def test_stage_expectations(spark):
+    v = spark.createDataFrame([(1, [0.6, 0.8], "x"), (2, [1.0, 0.0], "y")], "id int, v array<double>, g string")
+    good = [stages.has_columns("id", "v"), stages.never_null("g"), stages.least_at_least("id", 1), stages.unit_length("v"), stages.values_of("g", "x", "y"), stages.mean_sum_above("id", "g", 1.0)]
+    stages.validate(Stage("s", None, (), tuple(good)), v)
+    for bad in (stages.has_columns("z"), stages.least_at_least("id", 2), stages.values_of("g", "z"), stages.mean_sum_above("id", "g", 2.0)):
+        with pytest.raises(InvalidValue):
+            stages.validate(Stage("s", None, (), (bad,)), v)
+    with pytest.raises(InvalidValue):
+        stages.validate(Stage("s", None, (), (stages.unit_length("v"),)), v.selectExpr("array(1.0D, 1.0D) as v"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from panelforge import cli
+
+    assert cli.main(["list"]) == 0 and "g1_knn" in capsys.readouterr().out
+    assert cli.main(["query", "--data", "/root/testdata/sf0.001", "--query", "s10_latest_date", "--out", f"{tmp_path}/q"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/q").count() == 1
+    with pytest.raises(InvalidValue):
+        cli.main(["query", "--data", "x", "--query", "nothing"])
+    records = spark.createDataFrame([tuple(f"{c}{i % 3}" if c != "record_id" else f"r{i}" for c in io.RECORD_COLUMNS) for i in range(12)], ", ".join(f"{c} string" for c in io.RECORD_COLUMNS))
+    records.write.parquet(f"{tmp_path}/records.parquet")
+    io.save_config({"paths": {"records": f"{tmp_path}/records.parquet", "output": f"{tmp_path}/out"}}, f"{tmp_path}/c.yaml")
+    assert cli.main(["check", "--config", f"{tmp_path}/c.yaml"]) == 0 and "rows=12" in capsys.readouterr().out
+
+
 def test_cluster_scores(spark):
     x = spark.createDataFrame([(0, 0), (0, 0), (1, 1), (1, 1), (2, 0), (2, 0)], "a int, b int")
     assert clusters.purity(x, "a", "b").first()[0] == 1.0
