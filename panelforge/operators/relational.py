@@ -61,13 +61,15 @@ def valid_at(df: DataFrame, day: F.Column, start: str = "in_date", end: str = "o
 def membership_join(facts: DataFrame, members: DataFrame, by: str, at: str, columns: Sequence[str], start: str = "in_date", end: str = "out_date") -> DataFrame:
     """Facts with the columns of the membership valid at their date; of several valid ones the latest start wins as a whole row.
 
-    A key has few memberships, so its dates meet all of them in an equi-join whose interval condition is tested there.
+    A key has few memberships: they are one array a key, so that facts are read and joined once and each row looks its own up.
     """
-    keys = facts.select(by, at).where(F.col(by).isNotNull() & F.col(at).isNotNull()).distinct()
-    m = members.select(F.col(by).alias("_k"), F.struct(*columns).alias("_m"), F.col(start).alias("_from"), F.when(~_open_end(members, end), F.col(end)).alias("_to"))
-    on = (keys[by] == m["_k"]) & (m["_from"] <= keys[at]) & (m["_to"].isNull() | (m["_to"] > keys[at]))
-    best = keys.join(m, on).groupBy(by, at).agg(F.max_by("_m", "_from").alias("_m"))
-    return facts.join(best, [by, at], "left").select(*[facts[c] for c in facts.columns], *[F.col("_m")[c].alias(c) for c in columns])
+    until = F.when(~_open_end(members, end), F.col(end))
+    m = members.where(F.col(start).isNotNull()).groupBy(F.col(by).alias("_k")).agg(F.collect_list(F.struct(F.col(start).alias("_from"), until.alias("_to"), F.struct(*columns).alias("_m"))).alias("_ms"))
+    x = facts.join(m, facts[by] == m["_k"], "left")
+    day = facts[at]
+    valid = F.filter("_ms", lambda s: (s["_from"] <= day) & (s["_to"].isNull() | (s["_to"] > day)))
+    best = F.array_max(F.transform(valid, lambda s: F.struct(s["_from"].alias("_from"), s["_m"].alias("_m"))))
+    return x.withColumn("_best", best).select(*[facts[c] for c in facts.columns], *[F.col("_best._m")[c].alias(c) for c in columns])
 
 
 def align_vectors(keys: DataFrame, vectors: DataFrame, key: str, vector: str, size: int) -> DataFrame:
