@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, sliced, table
+from .common import scratch, sliced, small_batches, table
 from .tokens import encoder
 
 #: ``part``, ``row``: the file's place in the order and the row's place in it; ``part_start``: ids before it in the part.
@@ -46,7 +46,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     dictionary = encoding == "dictionary"
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     options = {"parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": str(dictionary).lower(), "parquet.writer.version": "v1" if dictionary else "v2", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows}
-    ordered.mapInArrow(encode, SCHEMA).write.options(**options).parquet(path, compression="zstd")
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(encode, SCHEMA).write.options(**options).parquet(path, compression="zstd")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
