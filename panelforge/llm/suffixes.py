@@ -186,6 +186,16 @@ def repeated(core: np.ndarray, edges: np.ndarray, times: np.ndarray) -> np.ndarr
     return np.bincount(row, again * 2.0**column, minlength=n).astype(np.int64)
 
 
+def _again(core: np.ndarray, edges: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """As ``repeated``; where a core has one block only there is nothing to sort: its windows occur as often as it does."""
+    low, high = edges[:, -2].astype(np.int64), BLOCK - edges[:, -1].astype(np.int64)
+    out = np.where((times > 1) & (high > low), (np.int64(1) << high) - (np.int64(1) << low), 0)
+    several = np.bincount(core)[core] > 1
+    if several.any():
+        out[several] = repeated(np.unique(core[several], return_inverse=True)[1], edges[several], times[several])
+    return out
+
+
 def _anchor_rows(texts: DataFrame, length: int, kind: type[Anchors]) -> DataFrame:
     """Anchor hash, the text's key and the number of the anchor's places in it."""
 
@@ -280,7 +290,7 @@ def _repeated_windows(blocks: DataFrame, width: int) -> DataFrame:
                 # the same block from several tasks comes in neighbouring rows
                 new = np.append(True, (core[1:] != core[:-1]) | (edges[1:] != edges[:-1]).any(axis=1))
                 first = np.flatnonzero(new)
-                again = repeated(core[first], edges[first], np.add.reduceat(part.column(3).to_numpy(), first))
+                again = _again(core[first], edges[first], np.add.reduceat(part.column(3).to_numpy(), first))
                 part = part.take(pa.array(first))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(again)], ["c1", "c2", "edges", "again"]).filter(pa.array(again > 0))
 
