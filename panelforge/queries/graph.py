@@ -50,7 +50,7 @@ def g5_knn_graph(spark, d):
 
 @query("g7_group_cliques", with_(ENTITIES) + ", e as (select a.ent as src, b.ent as dst, 1.0 as w from entities a join entities b on a.l2 = b.l2 and a.ent <> b.ent union all select a.ent, b.ent, 0.4 from entities a join entities b on a.l1 = b.l1 and a.ent <> b.ent) select src, dst, cast(max(w) as double) as weight from e group by 1, 2")
 def g7_group_cliques(spark, d):
-    """All pairs of an industry with the weight of the finest level shared (the quadratic form of the reference)."""
+    """All pairs of an industry with the weight of the finest level shared (quadratic in group sizes)."""
     return graphs.group_cliques(entities(spark, d), "ent", [("l2", 1.0), ("l1", 0.4)])
 
 
