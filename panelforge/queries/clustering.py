@@ -127,6 +127,6 @@ def r1_research_report(spark, d):
 
     v = _vectors(spark, d).withColumns({"grp": (F.col("label") % 3).cast("string"), "x": F.element_at("embedding", 1).cast("double")})
     g = _graph(spark, d, 5)
-    nodes = metrics.degrees(g, v, "vec_id").join(metrics.pagerank(g, v, "vec_id", rounds=10), "vec_id")
+    nodes = metrics.degrees(g, v, "vec_id").join(metrics.pagerank(g, v, "vec_id", rounds=10, tol=0.0), "vec_id")
     labels = v.select("vec_id", F.col("label").alias("cluster_id"))
     return as_report(research_report(v.drop("embedding"), labels, nodes, "vec_id", "grp", ["x"], ["x"], ["x", "grp"]))
