@@ -318,12 +318,13 @@ def test_components(spark, monkeypatch, small):
     assert dict(zip(nodes.tolist(), least.tolist())) == {2: 2, 3: 2, 5: 5, 7: 5, 9: 5}
 
 
-@pytest.mark.parametrize("small", [8, 1])
-def test_near_dedup_stage_takes_similar_documents(spark, monkeypatch, small):
+@pytest.mark.parametrize("block", [2048, 4])
+def test_near_dedup_stage_takes_similar_documents(spark, monkeypatch, block):
     """Near copies of similarity 0.8 or more go whatever their fingerprints, and no document goes for a less similar one."""
     import corpus_pipeline
 
-    monkeypatch.setattr(neardup, "ALL", small)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "CELLS", 100 * block)
     r = random.Random(18)
     words = ["".join(r.choice("aeiornst") for _ in range(r.randint(3, 8))) for _ in range(3000)]
     rows = []
