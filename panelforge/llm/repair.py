@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -128,8 +129,8 @@ def legal(before: str, after: str) -> bool:
 CHUNKS = "conv long, chunk long, signature string, roles array<string>, texts array<string>, first_role string, last_role string, first_turn long, last_turn long, turns long, blank long, duplicate long, truncated long, illegal long"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of sorted rows (part, conv, turn, role, text, n, first, last): ``n`` equal rows, the first of which is new if ``first``."""
+def _chunked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of at most ``most`` of the sorted rows (part, conv, turn, role, text, n, first, last): ``n`` equal rows, the first of which is new if ``first``."""
     schema = pa.schema([("conv", pa.int64()), ("chunk", pa.int64()), ("signature", pa.string()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("first_role", pa.string()), ("last_role", pa.string())] + [(c, pa.int64()) for c in ("first_turn", "last_turn", "turns", "blank", "duplicate", "truncated", "illegal")])
     number, size, now, done, held = 0, 0, None, [], 0
 
@@ -144,7 +145,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, conv, turn, role, text, n, first, last in zip(*(batch.column(i).to_pylist() for i in range(8))):
             for copy in range(n):
-                if now is None or now["conv"] != conv or len(now["roles"]) >= CHUNK or size > CHUNK_BYTES:
+                if now is None or now["conv"] != conv or len(now["roles"]) >= most or size > CHUNK_BYTES:
                     closed()
                     size = 0
                     now = {"conv": conv, "chunk": (part << 40) + number, "signature": [], "roles": [], "texts": [], "first_role": role, "last_role": None, "first_turn": None, "last_turn": None, "turns": 0, "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0}
@@ -172,9 +173,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(done, schema)
 
 
-def _conversations(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[int | None, Iterator[dict]]]:
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator[dict]]]:
     """Rows of one conversation after the other, as they come; they are sorted."""
-    from itertools import groupby
 
     def rows() -> Iterator[dict]:
         for batch in batches:
@@ -195,7 +195,7 @@ class Repair:
     answers are in one task's memory (some 3 KB for 128 rows); its texts never are.
     """
 
-    def __init__(self, rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"):
+    def __init__(self, rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = CHUNK):
         space = F.lit(" ")
         x = rows.select(F.col(id_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), space).alias("role"), F.coalesce(F.col(text_col).cast("string"), space).alias("text"))
         # equal rows are one row with their number, whatever task they came from
@@ -207,11 +207,15 @@ class Repair:
         flagged = x.join(earliest, "key").select("conv", "turn", "role", "text", "n", (F.col("at") == F.col("earliest")).alias("first"), last.alias("last"))
         spark = rows.sparkSession
         self.spark = spark
+
+        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _chunked(batches, chunk)
+
         with temporary(spark):
             flagged = materialize(flagged, "conversation-rows")
             order = ["conv", "turn", "role", "text"]
             placed = flagged.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("part"), *order, "n", "first", "last")
-            self.chunks = materialize(placed.mapInArrow(_chunks, CHUNKS), "chunks", keep=True)
+            self.chunks = materialize(placed.mapInArrow(chunks, CHUNKS), "chunks", keep=True)
             answers = materialize(self.chunks.select("signature").distinct().mapInArrow(_solved, "signature string, cost array<long>, edits array<string>"), "signatures")
             found = self.chunks.drop("roles", "texts").join(answers, "signature").drop("signature")
             found = found.repartition("conv").sortWithinPartitions("conv", "chunk")

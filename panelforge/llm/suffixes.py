@@ -361,24 +361,19 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, unit: str = "bytes", te
         return materialize(done.mapInArrow(run, "k1 long, k2 long, n_removed long, n_spans long, kept binary, kept_sha256 string"), "repeats", keep=True)
 
 
-def removal_report(docs: DataFrame, length: int = BYTES, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_words for each row of ``docs``.
-
-    A byte goes if a string of ``length`` bytes over it starts anywhere else too, in the same text or another; all places
-    lose it. Besides, without regard to what was removed: n_passages is the number of maximal runs of words covered by
-    passages of ``words`` words that start more than once, passage_words how many words those have. Null and empty texts
-    have no bytes, shorter texts keep all; a null id stays null; each repeated row is a text of its own. An empty table
-    gives no rows.
+def removal_report(docs: DataFrame, length: int = BYTES, unit: str = "bytes", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``.
+
+    A symbol (a byte, or a word) goes if a string of ``length`` symbols over it starts anywhere else too, in the same text
+    or another; all places lose it. n_removed counts symbols, n_spans maximal runs of them, kept_sha256 is of the bytes that
+    stay. Null and empty texts have no bytes, shorter texts keep all; a null id stays null; each repeated row is a text of
+    its own. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    none, keys = F.lit(None), ["k1", "k2"]
-    by_bytes = repeated_spans(docs, length, "bytes", text_col).select(*keys, "n_removed", "n_spans", "kept_sha256", none.cast("long").alias("n_passages"), none.cast("long").alias("passage_words"))
-    by_words = repeated_spans(docs, words, "words", text_col).select(*keys, none.cast("long").alias("n_removed"), none.cast("long").alias("n_spans"), none.cast("string").alias("kept_sha256"), F.col("n_spans").alias("n_passages"), F.col("n_removed").alias("passage_words"))
-    found = by_bytes.unionByName(by_words).groupBy(*keys).agg(*[F.max(c).alias(c) for c in by_bytes.columns[2:]])
+    found = repeated_spans(docs, length, unit, text_col).select("k1", "k2", "n_removed", "n_spans", "kept_sha256")
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans")]
-    more = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_passages", "passage_words")]
-    return each.join(found, keys, "left").select("doc_id", "n_bytes", *counts, F.coalesce("kept_sha256", "whole").alias("kept_sha256"), *more)
+    return each.join(found, ["k1", "k2"], "left").select("doc_id", "n_bytes", *counts, F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, length: int = BYTES, unit: str = "bytes", text_col: str = "text") -> DataFrame:
@@ -405,5 +400,5 @@ def _replaced(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents``, strings of 400 bytes; besides, passages of 51 words."""
+    """All ``documents``, strings of 400 bytes."""
     return removal_report(table(spark, sf_dir, "documents"))
