@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import distance, dot, unit
 from ..sources.shared import cut
+from .communities import communities
+from .density import density_clusters
+from .numbering import numbered_ids
+
+__all__ = ["communities", "density_clusters", "density_or_kmeans", "kmeans", "spectral_clusters"]
 
 
 def kmeans(vectors: DataFrame, id_col: str, vector_col: str, k: int, seed: int = 42, max_iter: int = 20) -> DataFrame:
@@ -143,90 +148,14 @@ def silhouette(vectors: DataFrame, labels: DataFrame, id_col: str, vector_col: s
     return taken.mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
 
 
-def _aggregate(edges: DataFrame, label: DataFrame) -> DataFrame:
-    a, b = label.select(F.col("id").alias("src"), F.col("label").alias("a")), label.select(F.col("id").alias("dst"), F.col("label").alias("b"))
-    return edges.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
-
-
-def _move(edges: DataFrame, label: DataFrame, degree: DataFrame, total: float, resolution: float, within: DataFrame | None = None) -> DataFrame:
-    """Local moves: in each round the nodes of one hash colour move to the neighbouring community of greatest gain.
-
-    ``within`` forbids links between different outer communities. Nodes that move at once may undo each other's gain, so
-    the labels of greatest modularity are kept, and the rounds end when no node of either colour gains by moving or when
-    modularity hasn't grown for ``PATIENCE`` rounds.
-    """
-    e = edges.where("src <> dst")
-    if within is not None:
-        a, b = within.select(F.col("id").alias("src"), F.col("label").alias("_a")), within.select(F.col("id").alias("dst"), F.col("label").alias("_b"))
-        e = cut(e.join(a, "src").join(b, "dst").where("_a = _b").select("src", "dst", "weight"))
-    best, most, since, quiet, r = label, float("-inf"), 0, 0, 0
-    while True:
-        state = label.join(degree, "id")
-        volume = state.groupBy("label").agg(F.sum("k").alias("vol"))
-        links = e.join(label.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "label", F.col("weight").alias("w"))
-        # every node is also linked with its own community, by nothing
-        links = links.unionByName(label.select("id", "label", F.lit(0.0).alias("w"))).groupBy("id", "label").agg(F.sum("w").alias("w"))
-        x = links.join(volume, "label").join(state.withColumnRenamed("label", "now"), "id")
-        own = F.col("label") == F.col("now")
-        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("vol") - F.when(own, F.col("k")).otherwise(0.0)) / total, 9)
-        x = x.select("id", "now", "label", "w", "k", "vol", own.alias("own"), gain.alias("g"))
-        x = x.groupBy("id", "now").agg(F.max_by("label", F.struct("g", F.struct(-F.col("label")))).alias("to"), F.max("g").alias("g1"), F.max(F.when(F.col("own"), F.col("g"))).alias("g0"), F.max(F.when(F.col("own"), F.col("w"))).alias("inside"), F.max(F.when(F.col("own"), F.col("k") * F.col("vol"))).alias("square"))
-        turn = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
-        x = cut(x.withColumn("moves", turn & (F.col("g1") > F.col("g0") + 1e-9)))
-        # of the labels that this round began with: what all rounds share (links inside a node) is left out
-        moved, inside, square = x.agg(F.count_if("moves"), F.sum("inside"), F.sum("square")).first()
-        value = (inside or 0.0) / total - resolution * (square or 0.0) / total**2
-        if value > most + 1e-9:
-            best, most, since = label, value, 0
-        else:
-            since += 1
-        quiet = 0 if moved else quiet + 1
-        if quiet >= 2 or since >= PATIENCE:
-            return best
-        label = x.select("id", F.when(F.col("moves"), F.col("to")).otherwise(F.col("now")).alias("label"))
-        r += 1
-
-
-#: Rounds of local moves without a greater modularity after which they end.
-PATIENCE = 4
-
-
-def communities(edges: DataFrame, nodes: DataFrame, id_col: str, resolution: float = 1.0, refine: bool = False) -> DataFrame:
-    """id, community_id (long ids; communities named by one of their members).
-
-    Louvain: parallel local moves, half the nodes a round by hash so that neighbours don't swap, then the graph of the
-    communities, again until none merges. With ``refine`` (as Leiden does) each community is first split again by moves
-    from single nodes that stay inside it, and those parts are what is aggregated. Isolated nodes stay alone.
-    """
-    current = nodes.select(F.col(id_col).cast("long").alias("id"), F.col(id_col).cast("long").alias("label"))
-    e = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight")))
-    total = e.agg(F.sum("weight")).first()[0]
-    part, start = current, None
-    while total:
-        level = part.select(F.col("label").alias("id")).distinct()
-        degree = cut(level.join(e.groupBy("src").agg(F.sum("weight").alias("k")), F.col("id") == F.col("src"), "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k")))
-        single = degree.select("id", F.col("id").alias("label"))
-        moved = _move(e, single if start is None else start, degree, total, resolution)
-        merged = moved.where("id <> label").limit(1).count()
-        current = cut(part.join(moved.withColumnRenamed("label", "m"), F.col("label") == moved["id"]).select(part["id"], F.col("m").alias("label")))
-        split = _move(e, single, degree, total, resolution, within=moved) if refine and merged else moved
-        if not split.where("id <> label").limit(1).count():
-            break
-        if refine:
-            # parts start in the communities that they were split from
-            start = cut(split.join(moved.withColumnRenamed("label", "outer"), "id").groupBy(F.col("label").alias("id")).agg(F.min("outer").alias("outer")))
-            names = start.groupBy("outer").agg(F.min("id").alias("label"))
-            start = cut(start.join(names, "outer").select("id", "label"))
-        part = cut(part.join(split.withColumnRenamed("label", "m"), F.col("label") == split["id"]).select(part["id"], F.col("m").alias("label")))
-        e = cut(_aggregate(e, split))
-    return current.select(F.col("id").alias(id_col), F.col("label").alias("community_id"))
-
-
 def spectral_clusters(edges: DataFrame, k: int, id_col: str = "id", max_iter: int = 20) -> DataFrame:
-    """id, cluster_id by power iteration over the affinities (long ids, each undirected edge once)."""
-    e = edges.where("src < dst").select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double"))
+    """id, cluster_id by power iteration over the affinities, each undirected edge once; ids are of any type that has an order. Nodes without edges have no row."""
+    names = numbered_ids(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))), "id")
+    a, b = (names.select(F.col("id").alias(end), F.col("no").alias(f"_{end}")) for end in ("src", "dst"))
+    e = edges.where("src < dst").join(a, "src").join(b, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), F.col("weight").cast("double").alias("weight"))
     model = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="weight", initMode="degree")
-    return model.assignClusters(e).select(F.col("id").alias(id_col), F.col("cluster").alias("cluster_id"))
+    found = model.assignClusters(cut(e)).select(F.col("id").alias("no"), F.col("cluster").alias("cluster_id"))
+    return found.join(names, "no").select(F.col("id").alias(id_col), "cluster_id")
 
 
 def density_or_kmeans(vectors: DataFrame, id_col: str, vector_col: str, min_size: int = 5, how: str = "density") -> DataFrame:
@@ -235,66 +164,3 @@ def density_or_kmeans(vectors: DataFrame, id_col: str, vector_col: str, min_size
         return density_clusters(vectors, id_col, vector_col, min_size)
     n = vectors.count()
     return kmeans(vectors, id_col, vector_col, max(2, n // 50)).select(id_col, "cluster_id", F.lit(1.0).alias("probability"))
-
-
-def density_clusters(vectors: DataFrame, id_col: str, vector_col: str, min_size: int = 5, k: int | None = None) -> DataFrame:
-    """id, cluster_id, probability: HDBSCAN's leaf clusters over the mutual-reachability kNN graph; noise is -1.
-
-    Core distances and neighbour edges come from the block kernel; the minimum spanning forest of those edges (at most
-    one a row) and the tree over it are built on the driver, so rows are bounded by ``DENSITY_ROWS``.
-    """
-    from .graphs import knn
-
-    n = vectors.count()
-    if n > DENSITY_ROWS:
-        raise ValueError(f"density_clusters takes at most {DENSITY_ROWS} rows")
-    near = knn(vectors, id_col, vector_col, k or max(min_size, 15), "l2").select("src", "dst", (-F.col("weight")).alias("d"), "rank")
-    core = near.where(F.col("rank") <= min_size).groupBy("src").agg(F.max("d").alias("core"))
-    e = near.join(core, "src").join(core.select(F.col("src").alias("dst"), F.col("core").alias("c2")), "dst").select("src", "dst", F.greatest("d", "core", "c2").alias("w"))
-    ids = [r[0] for r in vectors.select(id_col).distinct().orderBy(id_col).collect()]
-    at = {x: i for i, x in enumerate(ids)}
-    links = sorted(((r.w, at[r.src], at[r.dst]) for r in e.collect()))
-    label, strength = _leaves(len(ids), links, min_size)
-    kind = dict(vectors.dtypes)[id_col]
-    return vectors.sparkSession.createDataFrame([(x, int(c), float(p)) for x, c, p in zip(ids, label, strength)], f"`{id_col}` {kind}, cluster_id int, probability double")
-
-
-DENSITY_ROWS = 50_000
-
-
-def _leaves(n: int, links: list[tuple[float, int, int]], min_size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leaf clusters of the condensed single-linkage tree: merging two parts that both have ``min_size`` points makes them children."""
-    parent = list(range(n))
-    members: list[list[int]] = [[i] for i in range(n)]
-    closed: list[bool] = [False] * n
-    done: list[list[int]] = []
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for _, a, b in links:
-        a, b = find(a), find(b)
-        if a == b:
-            continue
-        if len(members[a]) < len(members[b]):
-            a, b = b, a
-        big = [len(members[x]) >= min_size for x in (a, b)]
-        if all(big):
-            for x in (a, b):
-                if not closed[x]:
-                    done.append(list(members[x]))
-            closed[a] = True
-        parent[b] = a
-        closed[a] = closed[a] or closed[b]
-        members[a] += members[b]
-        members[b] = []
-    for x in range(n):
-        if parent[x] == x and not closed[x] and len(members[x]) >= min_size:
-            done.append(members[x])
-    label, strength = np.full(n, -1), np.zeros(n)
-    for i, points in enumerate(done):
-        label[points], strength[points] = i, 1.0
-    return label, strength

@@ -1,79 +1,23 @@
-"""Similarity graphs as edge tables (src, dst, weight): construction, fusion, smoothing.
-
-All-pairs kernels send one side in blocks of bounded size to every task, one pass a block; the corpus is never on the
-driver at once unless it fits one block.
-"""
+"""Similarity graphs as edge tables (src, dst, weight): construction, fusion, smoothing."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that a block of the broadcast side holds at most.
-BLOCK_ROWS = 20_000
-
-
-def _kernel(metric: str, tau: float):
-    def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        if metric == "cosine":
-            nx, ny = np.linalg.norm(x, axis=1, keepdims=True), np.linalg.norm(y, axis=1, keepdims=True)
-            return (x / np.maximum(nx, 1e-12)) @ (y / np.maximum(ny, 1e-12)).T
-        if metric == "inner":
-            return x @ y.T
-        if metric == "mean_product":
-            return x @ y.T / x.shape[1]
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
-        if metric == "l2":
-            return -d
-        if metric == "decay":
-            return np.exp(-d / tau)
-        raise ValueError(f"unknown metric {metric}")
-
-    return similarity
-
+from .neighbours import nearest
+from .numbering import numbered
 
 def knn(vectors: DataFrame, id_col: str, vector_col: str, k: int, metric: str = "cosine", min_sim: float | None = None, tau: float = 1.0) -> DataFrame:
     """src, dst, weight, rank: each vector's k most similar others (rounded to 9 digits before ranking, ties by dst id).
 
     A row is never its own neighbour, whatever copies of it there are. Fewer than k edges come out where fewer reach
-    ``min_sim``. Each block of candidates is one pass that keeps k a row; the passes' best are merged at the end.
+    ``min_sim``. Exact: blocks of vectors are compared in pairs, and pairs too far apart to matter are left out. Metrics:
+    cosine, inner, mean_product, l2 (weight is the negative distance), decay (exp(-distance / tau)). Vectors have one length.
     """
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
-    n = v.count()
-    kind = dict(v.dtypes)["id"]
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    similarity = _kernel(metric, tau)
-    out = None
-    for b in range(blocks):
-        block = (v if blocks == 1 else v.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).toPandas().sort_values("id")
-        ids, matrix = block["id"].to_numpy(), np.array(block["v"].tolist(), np.float64).reshape(len(block), -1)
-
-        def run(parts: Iterator[pd.DataFrame], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                for low in range(0, len(part), 512):
-                    rows = part.iloc[low : low + 512]
-                    if not len(rows) or not len(ids):
-                        continue
-                    x, own = np.array(rows["v"].tolist(), np.float64), rows["id"].to_numpy()
-                    s = np.round(similarity(x, matrix), 9)
-                    s[own[:, None] == ids[None, :]] = -np.inf
-                    if min_sim is not None:
-                        s[s < min_sim] = -np.inf
-                    m = min(k, len(ids))
-                    # ids are in order, so a stable sort breaks ties by id
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :m]
-                    value = np.take_along_axis(s, best, axis=1)
-                    r, c = np.nonzero(np.isfinite(value))
-                    yield pd.DataFrame({"src": own[r], "dst": ids[best[r, c]], "weight": value[r, c]})
-
-        e = v.mapInPandas(run, f"src {kind}, dst {kind}, weight double")
-        out = e if out is None else out.unionByName(e)
-    w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return nearest(vectors, id_col, vector_col, k, metric, min_sim, tau)
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -165,8 +109,7 @@ def correlation_edges(long: DataFrame, id_col: str, at: str, value: str, k: int,
 def edge_table(edges: DataFrame, kind: str) -> DataFrame:
     """Each undirected edge once, numbered by (src, dst)."""
     e = edges.where("src < dst").select("src", "dst", "weight")
-    ordered = e.withColumn("rank", F.row_number().over(Window.orderBy("src", "dst")))
-    return ordered.withColumn("edge_type", F.lit(kind))
+    return numbered(e, ["src", "dst"], "rank").withColumn("edge_type", F.lit(kind))
 
 
 def fuse(layers: Mapping[str, DataFrame], weights: Mapping[str, float], normalize: str = "none", top: int | None = None, min_weight: float = 0.0, denominator: str = "used") -> DataFrame:

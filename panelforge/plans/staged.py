@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidValue
 from ..operators import alignment, clusters, graphs, metrics, reports
 from ..operators import crosssection as cs
 from ..operators import timeseries as ts
@@ -33,6 +34,7 @@ class StagedJob:
     at: str = "trade_date"
     levels: Sequence[str] = ("l1_name", "l2_name", "l3_name")
     styles: Mapping[str, list[str]] = field(default_factory=lambda: cs.STYLES)
+    #: The styles that must be there, the order in which views are taken, the figures of a graph layer.
     critical: Sequence[str] = ("Size", "Value", "Volatility", "Leverage")
     preference: Sequence[str] = ("full_text", "profile_text", "product_text", "raw_json")
     figures: Sequence[str] = ("roe", "roa", "roic", "grossprofit_margin", "netprofit_margin", "debt_to_assets", "turnover_rate", "pe_ttm", "pb")
@@ -74,6 +76,7 @@ class StagedJob:
         def layers(spark, done):
             snap, out = done["snapshot"], {}
             out["semantic"] = graphs.knn_graph(done["semantic"], key, "embedding", self.k_semantic, 0.0, mutual=True)
+            # fixed values: weights and numbers of neighbours of the levels, the narrowest first
             caps = [(level, w, cap) for level, w, cap in zip(reversed(self.levels), (1.0, 0.7, 0.4), (20, 10, 5)) if level in snap.columns]
             out["industry"] = graphs.group_graph(snap, key, caps)
             if len([c for c in self.figures if c in snap.columns]) >= 3:
@@ -98,9 +101,11 @@ class StagedJob:
                 found = clusters.kmeans(done["semantic"], key, "embedding", n)
             elif self.method == "density":
                 found = clusters.density_clusters(done["semantic"], key, "embedding").select(key, "cluster_id", F.col("probability").alias("cluster_distance"))
-            else:
+            elif self.method in ("leiden", "louvain"):
                 found = clusters.communities(done["fusion"], done["snapshot"].select(key), key, refine=self.method == "leiden")
-                found = found.select(key, F.col("community_id").alias("cluster_id"), F.lit(0.0).alias("cluster_distance"))
+                found = found.select(key, F.col("community_id").cast("int").alias("cluster_id"), F.lit(0.0).alias("cluster_distance"))
+            else:
+                raise InvalidValue(f"unknown way to cluster: {self.method}")
             return done["snapshot"].select(key).join(found, key)
 
         def node_metrics(spark, done):
@@ -140,17 +145,22 @@ class StagedJob:
                 out = out.unionByName(p)
             return out
 
+        industry_of = {"industry": industry, "key": key, "at": self.at}
+        # noise is a label of density clusters only
+        labelled = (rows, distinct_at_least("cluster_id", 2), never_null("cluster_id"), least_at_least("cluster_id", -1 if self.method == "density" else 0))
+        sources = {"snapshot": self.snapshot}
+        series = {"bars": self.bars}
         return [
-            Stage("snapshot", snapshot, (), (rows, has_columns(key, self.at, *self.levels[:1]), null_share_below(industry, 0.5))),
-            Stage("styles", styles, ("snapshot",), (has_columns(*self.critical),)),
-            Stage("price_features", prices, (), (rows,)),
-            Stage("semantic", semantic, ("snapshot",), (rows, unit_length("embedding"))),
-            Stage("graphs", layers, ("snapshot", "styles", "semantic"), (values_of("layer", "semantic", "industry"), mean_sum_above("weight", "src", 1.0))),
-            Stage("fusion", fusion, ("graphs",), (at_least_rows(1),)),
-            Stage("clustering", clustering, ("snapshot", "semantic", "fusion"), (rows, distinct_at_least("cluster_id", 2), never_null("cluster_id"), least_at_least("cluster_id", 0))),
-            Stage("graph_metrics", node_metrics, ("snapshot", "styles", "fusion", "clustering"), (has_columns("degree", "pagerank", "clustering", "core"), never_null("degree"), mean_above("degree", 1.0))),
-            Stage("report", report, ("snapshot", "styles", "semantic", "graphs", "fusion", "clustering", "graph_metrics"), (least_at_least("n_clusters", 2), least_at_least("modularity", 0.0))),
-            Stage("charts", charts, ("snapshot", "styles", "clustering", "graph_metrics"), (at_least_rows(1),)),
+            Stage("snapshot", snapshot, (), (rows, has_columns(key, self.at, *self.levels[:1]), null_share_below(industry, 0.5)), industry_of, sources),
+            Stage("styles", styles, ("snapshot",), (has_columns(*self.critical),), {"styles": dict(self.styles), **industry_of}),
+            Stage("price_features", prices, (), (rows,), industry_of, series),
+            Stage("semantic", semantic, ("snapshot",), (rows, unit_length("embedding")), {"preference": list(self.preference), "views": list(self.views)}, dict(self.views)),
+            Stage("graphs", layers, ("snapshot", "styles", "semantic"), (values_of("layer", "semantic", "industry"), mean_sum_above("weight", "src", 1.0)), {"k": self.k, "k_semantic": self.k_semantic, "dates": self.dates, "figures": list(self.figures), "levels": list(self.levels)}, series),
+            Stage("fusion", fusion, ("graphs",), (at_least_rows(1),), {"weights": dict(self.weights), "top": self.top}),
+            Stage("clustering", clustering, ("snapshot", "semantic", "fusion"), labelled, {"method": self.method, "n_clusters": self.n_clusters}),
+            Stage("graph_metrics", node_metrics, ("snapshot", "styles", "fusion", "clustering"), (has_columns("degree", "pagerank", "clustering", "core"), never_null("degree"), mean_above("degree", 1.0)), industry_of),
+            Stage("report", report, ("snapshot", "styles", "semantic", "graphs", "fusion", "clustering", "graph_metrics"), (least_at_least("n_clusters", 2), least_at_least("modularity", 0.0)), {"styles": list(self.styles), **industry_of}),
+            Stage("charts", charts, ("snapshot", "styles", "clustering", "graph_metrics"), (at_least_rows(1),), {"top_nodes": self.top_nodes, **industry_of}),
         ]
 
 

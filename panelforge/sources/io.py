@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import json
 import logging
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import InvalidValue, MissingArtifact
+from .npy import read_npy, row_ids
 
 log = logging.getLogger("panelforge")
 
@@ -69,21 +66,10 @@ def read_records(spark: SparkSession, path: str, schema: str | None = None) -> D
 
 
 def read_vector_view(spark: SparkSession, root: str, view: str) -> DataFrame:
-    """record_id, view, embedding from ``<root>/<view>/<view>-all.npy`` and the row_ids of its ``.meta.json``; through Spark's own readers."""
-    meta = spark.read.text(f"{root}/{view}/{view}-all.meta.json", wholetext=True)
-    schema = T.StructType.fromDDL("row_ids array<string>")
-    ids = meta.select(F.posexplode(F.from_json("value", schema)["row_ids"]).alias("pos", "record_id"))
-
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for content in part["content"]:
-                matrix = np.load(io.BytesIO(content)).astype(np.float32)
-                for low in range(0, len(matrix), 4096):
-                    chunk = matrix[low : low + 4096]
-                    yield pd.DataFrame({"pos": np.arange(low, low + len(chunk)), "embedding": list(chunk)})
-
-    vectors = spark.read.format("binaryFile").load(f"{root}/{view}/{view}-all.npy").select("content").mapInPandas(rows, "pos int, embedding array<float>")
-    return vectors.join(ids, "pos").select("record_id", F.lit(view).alias("view"), "embedding")
+    """record_id, view, embedding from ``<root>/<view>/<view>-all.npy`` and the row_ids of its ``.meta.json``; the vectors are read by ranges of rows."""
+    at = f"{root}/{view}/{view}-all"
+    vectors = read_npy(spark, f"{at}.npy", "pos long, embedding array<float>")
+    return vectors.join(row_ids(spark, f"{at}.meta.json").drop("file"), "pos").select("record_id", F.lit(view).alias("view"), "embedding")
 
 
 def read_vector_views(spark: SparkSession, root: str, views: Sequence[str]) -> DataFrame:
@@ -102,6 +88,11 @@ def read_record_metadata(spark: SparkSession, path: str, view: str) -> DataFrame
     return spark.read.schema(schema).json(path).where(F.col("vector_paths")[view].isNotNull()).select("record_id", "stock_code")
 
 
+def padded_ids(ids: DataFrame, positions: DataFrame, pos: str = "pos", id_col: str = "record_id") -> DataFrame:
+    """Each of ``positions`` with its id; those beyond the ids that there are get ``row_<pos>``."""
+    return positions.select(pos).join(ids.select(pos, id_col), pos, "left").select(pos, F.coalesce(id_col, F.concat(F.lit("row_"), F.col(pos).cast("string"))).alias(id_col))
+
+
 def write_table(df: DataFrame, path: str, parquet: bool = True, csv: bool = False) -> None:
     """Parquet and/or CSV with a header below ``path``."""
     if parquet:

@@ -62,3 +62,71 @@ def _settle(near: dict[int, dict[int, float]], label: dict[int, int], total: flo
             if best != own:
                 label[v], changed = best, True
     return label
+
+
+def leaf_clusters(x, min_size: int, k: int) -> tuple[list[int], list[float]]:
+    """Labels and strengths of the leaves of the condensed tree over the mutual-reachability graph of each point's k nearest, top down."""
+    import numpy as np
+
+    n = len(x)
+    d = np.round(np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0)), 9)
+    near = [sorted((j for j in range(n) if j != i), key=lambda j: (d[i, j], j))[:k] for i in range(n)]
+    core = [max(d[i, j] for j in near[i][:min_size]) for i in range(n)]
+    links: dict[tuple[int, int], float] = {}
+    for i in range(n):
+        for j in near[i]:
+            links[min(i, j), max(i, j)] = max(d[i, j], core[i], core[j])
+    # the whole tree of merges, from the least edge on
+    top, parent, tree = list(range(n)), {i: i for i in range(n)}, {}
+    size = dict.fromkeys(range(n), 1)
+
+    def find(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for number, ((a, b), w) in enumerate(sorted(links.items(), key=lambda y: (y[1], y[0])), n):
+        a, b = find(a), find(b)
+        if a != b:
+            tree[number] = (a, b, w)
+            parent[number] = number
+            size[number] = size[a] + size[b]
+            parent[a] = parent[b] = number
+    del top
+
+    def points(v: int) -> list[int]:
+        out, stack = [], [v]
+        while stack:
+            u = stack.pop()
+            if u in tree:
+                stack += tree[u][:2]
+            else:
+                out.append(u)
+        return out
+
+    leaves: list[dict[int, float]] = []
+    stack = [v for v in {find(i) for i in range(n)} if size[v] >= min_size]
+    while stack:
+        v, fallen = stack.pop(), {}
+        while True:
+            if v not in tree:
+                break
+            a, b, w = tree[v]
+            great = [u for u in (a, b) if size[u] >= min_size]
+            if len(great) == 2:
+                stack += great
+                fallen = None
+                break
+            fallen.update({p: w for u in (a, b) if u not in great for p in points(u)})
+            if not great:
+                break
+            v = great[0]
+        if fallen:
+            leaves.append(fallen)
+    label, strength = [-1] * n, [0.0] * n
+    if len(leaves) > 1:
+        for i, leaf in enumerate(sorted(leaves, key=min)):
+            for p, w in leaf.items():
+                label[p], strength[p] = i, 1.0 if w == 0 else min(leaf.values()) / w
+    return label, strength
