@@ -29,8 +29,9 @@ from .words import mix, powers, spaced
 
 #: Starts in a block, and blocks of one core beyond which its windows are dealt out one by one.
 BLOCK, HOT = 16, 4096
-#: Such cores that are broadcast at most; more are joined by a shuffle. Blocks that a task adds up at once.
-FEW, PIECE = 100_000, 200_000
+#: Such cores that are broadcast at most; more are joined by a shuffle. Blocks that a task adds up at once, cores that it
+#: sorts at once, bytes of text that it looks at at once.
+FEW, PIECE, CORES, SLICE = 100_000, 100_000, 5_000, 450_000
 #: Bytes of a string, and words of a passage, that may start only once.
 BYTES, WORDS = 400, 51
 _EDGE = BLOCK - 1
@@ -200,7 +201,7 @@ def _anchor_rows(texts: DataFrame, length: int, kind: type[Anchors]) -> DataFram
     """Anchor hash, the text's key and the number of the anchor's places in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             a = kind(batch.column(2), length)
             order = np.lexsort((a.hash, a.row))
             row, value = a.row[order], a.hash[order]
@@ -218,7 +219,7 @@ def _block_rows(texts: DataFrame, length: int, kind: type[Anchors]) -> DataFrame
     bytes_of = 2 * _EDGE * kind.width + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             a = kind(batch.column(1), length)
             lists = batch.column(3)
             offsets = lists.offsets.to_numpy()
@@ -282,8 +283,8 @@ def _repeated_windows(blocks: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at in key_runs(batches, 2):
-            for low in range(0, len(at) - 1, 20_000):
-                high = min(len(at) - 1, low + 20_000)
+            for low in range(0, len(at) - 1, CORES):
+                high = min(len(at) - 1, low + CORES)
                 part = batch.slice(int(at[low]), int(at[high] - at[low]))
                 core = np.repeat(np.arange(high - low), np.diff(at[low : high + 1]))
                 edges = text_bytes(part.column(2))[0].reshape(part.num_rows, -1)
@@ -335,7 +336,7 @@ def repeated_spans(docs: DataFrame, length: int = BYTES, unit: str = "bytes", te
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             out, a = [], kind(batch.column(2), length)
             for row, (raw, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
                 found = spans(np.stack([w.values.field(0).to_numpy(), w.values.field(1).to_numpy()], axis=1), length)
