@@ -166,6 +166,13 @@ def joined_points(forest: DataFrame, min_size: int, piece: int = PIECE) -> DataF
     return out
 
 
+def reachability(near: DataFrame, min_size: int) -> DataFrame:
+    """a, b, w of neighbours (src, dst, d, rank): the greatest of their distance and of both ends' distances to their ``min_size``-th neighbour, or the last there is."""
+    core = near.where(F.col("rank") <= min_size).groupBy("src").agg(F.max("d").alias("core"))
+    e = near.join(core, "src").join(core.select(F.col("src").alias("dst"), F.col("core").alias("c2")), "dst")
+    return e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.greatest("d", "core", "c2").alias("w"))
+
+
 def density_clusters(vectors: DataFrame, id_col: str, vector_col: str, min_size: int = 5, k: int | None = None, piece: int = PIECE) -> DataFrame:
     """id, cluster_id, probability: leaf clusters of the tree of merges over the mutual-reachability graph; noise is -1 with probability 0.
 
@@ -178,10 +185,7 @@ def density_clusters(vectors: DataFrame, id_col: str, vector_col: str, min_size:
         ids = numbered_ids(vectors, id_col)
         v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(ids, "id").select("no", "v")
         near = cut(nearest(v, "no", "v", k or max(min_size, 15), "l2").select("src", "dst", (-F.col("weight")).alias("d"), "rank"))
-        # the neighbour at that rank, or the last there is
-        core = near.where(F.col("rank") <= min_size).groupBy("src").agg(F.max("d").alias("core"))
-        e = near.join(core, "src").join(core.select(F.col("src").alias("dst"), F.col("core").alias("c2")), "dst")
-        forest = spanning_forest(e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.greatest("d", "core", "c2").alias("w")))
+        forest = spanning_forest(reachability(near, min_size))
         points = cut(joined_points(forest, min_size, piece))
         seeds = points.groupBy("seed").agg(F.min("point").alias("first"), F.min("w").alias("began"))
         clusters = cut(numbered(seeds, ["first"], "cluster_id", 0))

@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .correlations import correlated
 from .neighbours import nearest
 from .numbering import numbered
+from .quantiles import exact_quantiles, one_row
 
 def knn(vectors: DataFrame, id_col: str, vector_col: str, k: int, metric: str = "cosine", min_sim: float | None = None, tau: float = 1.0) -> DataFrame:
     """src, dst, weight, rank: each vector's k most similar others (rounded to 9 digits before ranking, ties by dst id).
@@ -42,8 +44,8 @@ def figures_graph(df: DataFrame, id_col: str, columns: Sequence[str], k: int = 2
     """Mutual cosine kNN graph of figures: NULLs become the column's median, then z-scores with the sample deviation (0 counts as 1). Columns that ``df`` lacks are left out."""
     used = [c for c in columns if c in df.columns]
     x = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in used])
-    medians = x.agg(*[F.median(c).alias(f"_m_{c}") for c in used])
-    x = x.join(F.broadcast(medians)).select(id_col, *[F.coalesce(c, f"_m_{c}").alias(c) for c in used])
+    medians = one_row(exact_quantiles(x, used, [0.5]), used, "_m_")
+    x = x.join(F.broadcast(medians)).select(id_col, *[F.coalesce(F.col(c), F.col(f"_m_{c}")[0]).alias(c) for c in used])
     stats = x.agg(*[g(c).alias(f"_{n}_{c}") for c in used for n, g in (("a", F.avg), ("s", F.stddev_samp))])
     sd = lambda c: F.when(F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"_s_{c}"))
     z = x.join(F.broadcast(stats)).select(id_col, F.array(*[(F.col(c) - F.col(f"_a_{c}")) / sd(c) for c in used]).alias("z"))
@@ -94,16 +96,12 @@ def group_cliques(nodes: DataFrame, id_col: str, levels: Sequence[tuple[str, flo
 
 
 def correlation_edges(long: DataFrame, id_col: str, at: str, value: str, k: int, min_corr: float | None = None, signed: bool = True) -> DataFrame:
-    """Pearson correlation of series over the dates both have, each entity's k greatest: a self-join on the date and one aggregation of sums."""
-    a = long.where(F.col(value).isNotNull()).select(F.col(at).alias("t"), F.col(id_col).alias("src"), F.col(value).alias("x"))
-    b = a.select("t", F.col("src").alias("dst"), F.col("x").alias("y"))
-    e = a.join(b, "t").where("src < dst").groupBy("src", "dst").agg(F.corr("x", "y").alias("weight"), F.count("*").alias("n")).where("n > 1").drop("n")
-    e = e.withColumn("weight", F.round(F.when(F.isnan("weight"), 0.0).otherwise(F.coalesce("weight", F.lit(0.0))), 9))
-    e = e.unionByName(reversed_edges(e))
-    if min_corr is not None:
-        e = e.where(F.col("weight") >= min_corr)
-    score = F.col("weight") if signed else F.abs("weight")
-    return e.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(score.desc(), "dst"))).where(F.col("rank") <= k)
+    """src, dst, weight, rank: Pearson correlation of series over the dates both have (two at least), each entity's k greatest (by size if not ``signed``).
+
+    Weights are rounded to 9 digits before ranking, ties by dst; a series that is constant over the common dates has 0. By
+    masked products of blocks of series: no row for a pair and a date.
+    """
+    return correlated(long, id_col, at, value, k, min_corr, signed)
 
 
 def edge_table(edges: DataFrame, kind: str) -> DataFrame:

@@ -5,13 +5,16 @@ Iterations cut their lineage by tables in the folder named by ``spark.checkpoint
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import NotSettled
-from ..sources.shared import cut
+from ..sources.shared import cut, tidied
+from .numbering import numbered_ids
 
 
 def degrees(edges: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
@@ -20,6 +23,7 @@ def degrees(edges: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     return nodes.select(id_col).join(d, F.col(id_col) == F.col("src"), "left").select(id_col, F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce("weighted_degree", F.lit(0.0)).alias("weighted_degree"))
 
 
+@tidied
 def connected_components(edges: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
     """id, component (its least id), size: least labels flow along edges, and labels of labels are followed each round, so rounds grow with the logarithm of path lengths."""
     label = nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("label"))
@@ -41,6 +45,7 @@ def _rank_step(share: DataFrame, every: DataFrame, rank: DataFrame, alpha: float
     return moved.unionByName(every).groupBy("id").agg((F.lit((1 - alpha) / max(n, 1)) + F.lit(alpha) * F.sum("m")).alias("r"))
 
 
+@tidied
 def pagerank(edges: DataFrame, nodes: DataFrame, id_col: str, alpha: float = 0.85, rounds: int = 100, tol: float = 1e-6, normalize: bool = False, check_every: int = 5) -> DataFrame:
     """id, pagerank: power iteration with weights as transition shares and no redistribution from nodes without edges, until the L1 change is under ``tol`` (looked at every few rounds); ``tol`` 0 asks for just ``rounds`` rounds. Raises if the rounds don't suffice."""
     n = nodes.count()
@@ -64,6 +69,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, id_col: str, alpha: float = 0.8
     return rank.select(F.col("id").alias(id_col), F.col("r").alias("pagerank"))
 
 
+@tidied
 def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, id_col: str, rounds: int = 2000, tol: float = 1e-6, check_every: int = 10) -> DataFrame:
     """id, eigenvector: power iteration on A + I (which also settles on bipartite graphs), summing to 1, until the L1 change of one round is under ``tol`` (looked at every few rounds); ``tol`` 0 asks for just ``rounds`` rounds. Raises if the rounds don't suffice."""
     x = nodes.select(F.col(id_col).alias("id"), F.lit(1.0).alias("x"))
@@ -102,19 +108,82 @@ def clustering_coefficient(edges: DataFrame, nodes: DataFrame, id_col: str) -> D
     return out.select(F.col("id").alias(id_col), k.cast("long").alias("degree"), tri.cast("long").alias("triangles"), F.when(k < 2, 0.0).otherwise(2 * tri / (k * (k - 1))).alias("clustering"))
 
 
+#: Neighbours beyond which a node's are counted by value and not brought together.
+HUB = 1_000_000
+
+
+def h_index(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run of ``values`` (runs begin at ``first``, none is empty) the greatest m of which m values are at least m."""
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(values))))
+    values = values[np.lexsort((-values, run))]
+    return np.maximum.reduceat(np.minimum(values, np.arange(1, len(values) + 1) - first[run]), first)
+
+
+def settled(src: np.ndarray, dst: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of ``src`` (in order) and their h-indices, taken again and again while the values of nodes elsewhere stay as they are.
+
+    Only nodes next to one whose value fell are looked at again.
+    """
+    nodes, first = np.unique(src, return_index=True)
+    size = np.diff(np.append(first, len(src)))
+    of = np.repeat(np.arange(len(nodes)), size)
+    at = np.minimum(np.searchsorted(nodes, dst), len(nodes) - 1)
+    here = np.flatnonzero(nodes[at] == dst)
+    back = here[np.argsort(at[here], kind="stable")]
+    bounds = np.searchsorted(at[back], np.arange(len(nodes) + 1))
+    value, now, todo = h.copy(), np.full(len(nodes), np.iinfo(np.int64).max), np.arange(len(nodes))
+
+    def ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+
+    while len(todo):
+        n = size[todo]
+        new = h_index(value[ranges(first[todo], n)], np.append(0, np.cumsum(n)[:-1]))
+        fell = todo[new < now[todo]]
+        now[todo] = np.minimum(now[todo], new)
+        edges = back[ranges(bounds[fell], bounds[fell + 1] - bounds[fell])]
+        value[edges] = now[at[edges]]
+        todo = np.unique(of[edges])
+    return nodes, now
+
+
+@tidied
 def core_numbers(edges: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
-    """id, core: the h-index of the neighbours' values, taken again and again from the degrees, settles on core numbers."""
-    e = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    h = degrees(e.withColumn("weight", F.lit(1.0)), nodes, id_col).select(F.col(id_col).alias("id"), F.col("degree").alias("h"))
+    """id, core: the h-index of the neighbours' values, taken again and again from the degrees, settles on core numbers.
+
+    A task settles a range of nodes by itself, looking only at neighbours of what fell, so rounds over the whole graph
+    grow with the ranges a change has to cross and not with the length of paths. Nodes with more than ``HUB``
+    neighbours have them counted by value instead.
+    """
+    names = numbered_ids(nodes, id_col)
+    a, b = (names.select(F.col("id").alias(end), F.col("no").alias(f"_{end}")) for end in ("src", "dst"))
+    e = edges.where("src <> dst").join(a, "src").join(b, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    e = cut(e.distinct())
+    degree = cut(e.groupBy("src").agg(F.count("*").alias("h")))
+    hubs = degree.where(F.col("h") > HUB).select("src")
+    few, many = e.join(hubs, "src", "left_anti"), e.join(hubs, "src")
+    h = degree.select(F.col("src").alias("id"), "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            ids, now = settled(*(t.column(c).to_numpy() for c in range(3)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(now)], ["id", "new"])
+
     while True:
-        near = e.join(h, F.col("dst") == F.col("id")).select("src", "h")
-        ranked = near.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("h"))))
-        index = ranked.groupBy("src").agg(F.max(F.least("h", "i")).alias("m"))
-        new = cut(h.join(index, F.col("id") == F.col("src"), "left").select("id", "h", F.coalesce("m", F.lit(0)).cast("long").alias("new")))
-        changed = new.where("new <> h").limit(1).count()
+        near = lambda x: x.join(h.withColumnRenamed("id", "dst"), "dst").select("src", "dst", "h")  # noqa: E731, B023
+        local = near(few).repartitionByRange("src").sortWithinPartitions("src").mapInArrow(run, "id long, new long")
+        counts = near(many).groupBy("src", "h").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("h")))
+        counted = counts.withColumn("m", F.least("h", upto)).groupBy(F.col("src").alias("id")).agg(F.max("m").alias("new"))
+        new = cut(local.unionByName(counted).join(h, "id").select("id", F.least("new", "h").alias("new"), "h"))
+        changed = new.where("new < h").limit(1).count()
         h = new.select("id", F.col("new").alias("h"))
         if not changed:
-            return h.select(F.col("id").alias(id_col), F.col("h").alias("core"))
+            break
+    out = names.join(h.withColumnRenamed("id", "no"), "no", "left")
+    return nodes.select(id_col).join(out.select(F.col("id").alias(id_col), "h"), id_col, "left").select(id_col, F.coalesce("h", F.lit(0)).cast("long").alias("core"))
 
 
 def neighbour_means(edges: DataFrame, nodes: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
@@ -157,6 +226,7 @@ def conductance(edges: DataFrame, nodes: DataFrame, id_col: str, label: str) ->
     return every.select(F.col("_l").alias(label), i.alias("internal"), e.alias("external"), (e / F.nullif(i + e, F.lit(0.0))).alias("conductance"))
 
 
+@tidied
 def betweenness(edges: DataFrame, nodes: DataFrame, id_col: str, sources: int = 200, roots: DataFrame | None = None) -> DataFrame:
     """id, betweenness: shortest-path shares from the ids in ``roots``, or else from the ``sources`` nodes of least id hash, scaled to all sources, unweighted.
 

@@ -66,10 +66,10 @@ class Best:
 
     def __init__(self, rows: int, k: int, least: float | None):
         self.k, self.least = k, -np.inf if least is None else least
-        self.weight, self.to = np.full((rows, k), -np.inf), np.zeros((rows, k), np.int64)
+        self.weight, self.to, self.value = np.full((rows, k), -np.inf), np.zeros((rows, k), np.int64), np.zeros((rows, k))
 
-    def add(self, low: int, own: np.ndarray, s: np.ndarray, to: np.ndarray) -> None:
-        """``s`` has the similarities of the rows from ``low`` on, whose numbers are ``own``, with the candidates ``to``; a row is none of its own."""
+    def add(self, low: int, own: np.ndarray, s: np.ndarray, to: np.ndarray, value: np.ndarray | None = None) -> None:
+        """``s`` has the similarities of the rows from ``low`` on, whose numbers are ``own``, with the candidates ``to``; a row is none of its own. ``value`` is kept beside them."""
         s = np.round(s, DIGITS)
         s[own[:, None] == to[None, :]] = -np.inf
         high, k = low + len(s), self.k
@@ -81,12 +81,14 @@ class Best:
             return
         hr, hc = np.nonzero(self.weight[low:high] > -np.inf)
         row, weight, found = np.concatenate([hr, r]), np.concatenate([self.weight[low:high][hr, hc], s[r, c]]), np.concatenate([self.to[low:high][hr, hc], to[c]])
+        beside = np.concatenate([self.value[low:high][hr, hc], (s if value is None else value)[r, c]])
         order = np.lexsort((found, -weight, row))
-        row, weight, found = row[order], weight[order], found[order]
+        row, weight, found, beside = row[order], weight[order], found[order], beside[order]
         at = np.arange(len(row)) - np.searchsorted(row, row)
         keep = at < k
-        self.weight[low:high], self.to[low:high] = -np.inf, 0
-        self.weight[low + row[keep], at[keep]], self.to[low + row[keep], at[keep]] = weight[keep], found[keep]
+        self.weight[low:high] = -np.inf
+        cells = low + row[keep], at[keep]
+        self.weight[cells], self.to[cells], self.value[cells] = weight[keep], found[keep], beside[keep]
 
 
 def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int, metric: str = "cosine", least: float | None = None, tau: float = 1.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,22 +22,35 @@ def check_keys(left: DataFrame, right: DataFrame, key: str) -> None:
         raise RowMismatch(f"{n} rows have no counterpart by {key}")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, columns: Sequence[str], tolerance_days: int | None = None, tie: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, columns: Sequence[str], tolerance_days: int | None = None, tie: str | None = None, slices: Callable[[F.Column], F.Column] | None = None) -> DataFrame:
     """For each left row the right row of its key with the latest ``right_at`` not after ``at``; NULLs where there is none.
 
     Both sides are stacked and the last right row is carried forward in one window: linear in the rows, whatever the
     number of matches. Right rows come first on equal dates; of equal right dates the greatest ``tie`` wins. A match
     older than the tolerance counts as none. Dates are compared as they are; the tolerance needs dates or timestamps.
+
+    For keys that hold a large share of the rows, ``slices`` cuts time into slices, such as ``F.year`` (it must not fall as
+    dates rise): a key's slices are tasks of their own, and the last right row of each is carried to the slices after it,
+    by a window over one row a slice. The rows that come out are the same.
     """
     names = [*dict.fromkeys([right_at, *columns])]
     a = left.select(F.col(by).alias("_k"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
     b = right.where(F.col(right_at).isNotNull()).select(F.col(by).alias("_k"), F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.struct(*[F.col(c) for c in names]).alias("_r"), (F.col(tie) if tie else F.lit(0)).alias("_tie"))
-    w = Window.partitionBy("_k").orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = a.unionByName(b, allowMissingColumns=True).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    x = a.unionByName(b, allowMissingColumns=True)
+    part = ["_k"]
+    if slices is not None:
+        x, part = x.withColumn("_slice", slices(F.col("_at"))), ["_k", "_slice"]
+    w = Window.partitionBy(*part).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    matched = x.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    if slices is not None:
+        ends = x.groupBy(*part).agg(F.max_by(F.when(F.col("_side") == 0, F.col("_r")), F.when(F.col("_side") == 0, F.struct("_at", "_tie"))).alias("_end"))
+        before = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*part, F.last("_end", ignorenulls=True).over(before).alias("_carried")).where("_carried is not null")
+        matched = matched.join(carried, part, "left").withColumn("_m", F.coalesce("_m", "_carried"))
     match = F.when(F.col("_k").isNotNull() & F.col("_at").isNotNull(), F.col("_m"))
     if tolerance_days is not None:
         match = F.when(F.datediff(F.col("_at"), F.col("_m")[right_at]) <= tolerance_days, match)
-    return x.withColumn("_m", match).select("_l.*", *[F.col("_m")[c].alias(c) for c in names])
+    return matched.withColumn("_m", match).select("_l.*", *[F.col("_m")[c].alias(c) for c in names])
 
 
 def latest_per_key(df: DataFrame, by: str, order: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog_queries import query
 from ..operators import reports
+from ..operators.quantiles import exact_quantiles, one_row
 from .base import ENTITIES, PANEL, SECTION, entities, load, panel, r, rounded, section, with_
 
 CLUSTERED = "clustered as (select *, id % 8 as cluster from section)"
@@ -17,7 +18,10 @@ def _clustered(spark, d):
 
 @query("a2_whole_statistics", with_(SECTION) + "select round(quantile_cont(price, 0.01), 6) + 0.0 as q01, round(quantile_cont(size, 0.9), 6) + 0.0 as q90, round(avg(size), 6) + 0.0 as mean, round(stddev_samp(size), 6) + 0.0 as sd, round(median(price), 6) + 0.0 as med from section")
 def a2_whole_statistics(spark, d):
-    return rounded(section(spark, d).agg(F.percentile("price", F.lit(0.01)).alias("q01"), F.percentile("size", F.lit(0.9)).alias("q90"), F.avg("size").alias("mean"), F.stddev_samp("size").alias("sd"), F.median("price").alias("med")))
+    x = section(spark, d)
+    q = one_row(exact_quantiles(x, ["price", "size"], [0.01, 0.5, 0.9]), ["price", "size"], "")
+    means = x.agg(F.avg("size").alias("mean"), F.stddev_samp("size").alias("sd"))
+    return rounded(q.join(F.broadcast(means)).select(F.col("price")[0].alias("q01"), F.col("size")[2].alias("q90"), "mean", "sd", F.col("price")[1].alias("med")))
 
 
 @query("a3_group_profile", with_(SECTION) + "select grp, count(*) as n, round(avg(price), 6) + 0.0 as avg_price, round(avg(size), 6) + 0.0 as avg_size from section where grp is not null group by 1")

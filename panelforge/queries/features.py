@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog_queries import query
 from ..functions import scalars as sc
 from ..operators import crosssection as cs
+from ..operators.quantiles import winsorize_groups
 from ..operators import text
 from .base import SECTION, load, r, rounded, section, with_
 
@@ -25,6 +26,12 @@ def f1_winsorize_group(spark, d):
     return rounded(section(spark, d).select("id", cs.winsorized("size", ["grp"], 0.1, 0.9).alias("size")))
 
 
+@query("f1_winsorize_ranges", _sec("round(case when size is not null then least(greatest(size, quantile_cont(size, 0.1) over (partition by grp)), quantile_cont(size, 0.9) over (partition by grp)) end, 6) + 0.0 as size, round(least(greatest(price, quantile_cont(price, 0.1) over (partition by grp)), quantile_cont(price, 0.9) over (partition by grp)), 6) + 0.0 as price"))
+def f1_winsorize_ranges(spark, d):
+    """Two columns by group, from quantiles that no task holds a group for."""
+    return rounded(winsorize_groups(section(spark, d), ["size", "price"], ["grp"], 0.1, 0.9).select("id", "size", "price"))
+
+
 @query("f2_zscore", _sec("round((size - avg(size) over g) / case when stddev_samp(size) over g = 0 then 1 else stddev_samp(size) over g end, 6) + 0.0 as z", where="window g as (partition by kind)"))
 def f2_zscore(spark, d):
     return rounded(section(spark, d).select("id", cs.zscored("size", ["kind"]).alias("z")))

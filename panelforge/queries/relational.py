@@ -152,6 +152,15 @@ def j3_asof_join(spark, d):
     return rounded(x.select("l_orderkey", "l_linenumber", F.date_format("told", "yyyy-MM-dd").alias("told"), "figure"), 2)
 
 
+@query("j3_asof_slices", ASOF)
+def j3_asof_slices(spark, d):
+    """The same join with a key's months in tasks of their own."""
+    left = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 1000 + 1).alias("k"), F.col("l_shipdate").alias("at"))
+    right = load(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("told"), F.col("o_totalprice").alias("figure"))
+    x = rel.asof_join(left, right, "k", "at", "told", ["figure"], tie="figure", slices=lambda at: F.date_trunc("month", at))
+    return rounded(x.select("l_orderkey", "l_linenumber", F.date_format("told", "yyyy-MM-dd").alias("told"), "figure"), 2)
+
+
 @query("j5_asof_tolerance", ASOF.replace("strftime(o.told, '%Y-%m-%d')", "case when datediff('day', o.told, l.at) <= 90 then strftime(o.told, '%Y-%m-%d') end").replace("round(o.figure, 2) + 0.0", "case when datediff('day', o.told, l.at) <= 90 then round(o.figure, 2) + 0.0 end"))
 def j5_asof_tolerance(spark, d):
     """As-of with matches older than 90 days as none."""

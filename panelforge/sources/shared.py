@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,14 @@ def iteration(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
         _folder.reset(before)
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``f``, whose first argument is a table, with the tables that it cuts on its way deleted at its end; its result is a table of its own."""
+
+    @wraps(f)
+    def run(first: DataFrame, *args: object, **kw: object) -> DataFrame:
+        with iteration(first.sparkSession) as kept:
+            return kept(f(first, *args, **kw))
+
+    return run

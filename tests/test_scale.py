@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from panelforge.errors import InvalidValue, MissingArtifact
 from panelforge.operators import clusters, communities, density, graphs, metrics, neighbours
+from panelforge.operators import crosssection as cs
+from panelforge.operators import relational as rel
 from panelforge.operators.numbering import numbered
+from panelforge.operators.quantiles import exact_quantiles, one_row, winsorize_groups
 from panelforge.plans.staged import StagedJob
 from panelforge.plans.stages import Stage, at_least_rows, manifests, rows_fingerprint, run_log, run_stages
 from panelforge.sources import npy
@@ -308,3 +311,94 @@ def test_components_still_agree(spark):
     e = edge_frame(spark, [(i, i + 1, 1.0) for i in range(30)] + [(40, 41, 1.0)])
     got = {r.id: (r.component, r.size) for r in metrics.connected_components(e, spark.range(43).coalesce(1), "id").collect()}
     assert got[30] == (0, 31) and got[41] == (40, 2) and got[42] == (42, 1)
+
+
+def test_quantiles_by_narrowing_ranges(spark):
+    r = np.random.default_rng(9)
+    rows = [(int(g) if g < 3 else None, float(a), float(b) if i % 7 else None) for i, (g, a, b) in enumerate(zip(r.integers(0, 4, 800), r.lognormal(0, 8, 800), r.integers(0, 5, 800)))]
+    rows += [(9, 1e308, None), (9, -1e308, None), (9, 5e-324, None)]
+    df = spark.createDataFrame(rows, "g int, a double, b double").repartition(5)
+    points = [0.0, 0.01, 0.5, 0.9, 1.0]
+    got = {(x.g, x.column): (x.n, x.q) for x in exact_quantiles(df, ["a", "b"], points, ["g"], steps=7).collect()}
+    want = df.groupBy("g").agg(*[F.array(*[F.percentile(c, F.lit(p)) for p in points]).alias(c) for c in ("a", "b")], F.count("a").alias("na"), F.count("b").alias("nb")).collect()
+    assert len(got) == 2 * len(want) - 1
+    for w in want:
+        for c, n in (("a", w.na), ("b", w.nb)):
+            if n:
+                assert got[w.g, c][0] == n and np.allclose(got[w.g, c][1], w[c], rtol=1e-12, atol=0), (w.g, c)
+    whole = one_row(exact_quantiles(df.where("g <> 9"), ["a", "b"], [0.25]), ["a", "b"], "q_").first()
+    assert np.allclose([whole.q_a[0], whole.q_b[0]], df.where("g <> 9").agg(F.percentile("a", F.lit(0.25)), F.percentile("b", F.lit(0.25))).first())
+    assert exact_quantiles(df.limit(0), ["a"], points).count() == 0 and one_row(exact_quantiles(df.limit(0), ["a"], points), ["a"], "q_").first().q_a is None
+    clipped = winsorize_groups(df.where("g is null or g < 9"), ["a"], ["g"], 0.1, 0.9)
+    assert clipped.count() == 800 and clipped.where("a is null").count() == 0
+    plain = df.where("g is null or g < 9").select("g", cs.winsorized("a", ["g"], 0.1, 0.9).alias("a"))
+    assert np.allclose(sorted(x.a for x in clipped.collect()), sorted(x.a for x in plain.collect()))
+
+
+def test_asof_in_slices_of_a_hot_key(spark):
+    """One key with nearly all rows; slices without a match, ties, missing keys and dates."""
+    left = spark.range(3000).select("id", F.when(F.col("id") % 100 == 0, F.col("id")).when(F.col("id") % 101 == 0, None).otherwise(-1).alias("k"), F.when(F.col("id") % 37 > 0, F.expr("date_add(date'2020-01-01', cast((id * 7919) % 1500 as int))")).alias("at"))
+    right = spark.range(600).select(F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(-1).alias("k"), F.expr("date_add(date'2020-01-01', cast((id * 6007) % 1400 as int) + if(id % 3 = 0, 0, 200))").alias("told"), (F.col("id") % 17).alias("v"), F.col("id").alias("tie"))
+    right = right.where("month(told) not in (3, 4, 5)")
+    plain = rel.asof_join(left, right, "k", "at", "told", ["v", "tie"], tie="tie")
+    for slices in (F.year, lambda c: F.date_trunc("month", c)):
+        sliced = rel.asof_join(left, right, "k", "at", "told", ["v", "tie"], tie="tie", slices=slices)
+        assert sliced.columns == plain.columns and sorted(map(str, sliced.collect())) == sorted(map(str, plain.collect()))
+    late = rel.asof_join(left, right, "k", "at", "told", ["v"], tolerance_days=20, tie="tie", slices=F.year)
+    assert sorted(map(str, late.collect())) == sorted(map(str, rel.asof_join(left, right, "k", "at", "told", ["v"], tolerance_days=20, tie="tie").collect()))
+    assert plain.where("v is not null").count() > 2000
+
+
+@pytest.mark.parametrize("signed, least", [(True, None), (True, 0.1), (False, None)])
+def test_masked_correlation(spark, signed, least):
+    r = np.random.default_rng(12)
+    n, t = 60, 40
+    x = r.standard_normal((n, 3)) @ r.standard_normal((3, t)) + 0.5 * r.standard_normal((n, t)) + 1000
+    x[r.random((n, t)) < 0.4] = np.nan
+    x[5] = 7.0
+    x[6, 3:] = np.nan
+    rows = [(f"e{i:03d}", int(d), float(x[i, d])) for i in range(n) for d in range(t) if not np.isnan(x[i, d])]
+    long = spark.createDataFrame([*rows, ("e000", 99, None)], "id string, day int, ret double").repartition(4)
+    got = {(g.src, g.dst): (g.weight, g.rank) for g in graphs.correlation_edges(long, "id", "day", "ret", 4, least, signed).collect()}
+    want = {}
+    for i in range(n):
+        found = []
+        for j in range(n):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            if i != j and both.sum() > 1:
+                a, b = x[i][both] - x[i][both].mean(), x[j][both] - x[j][both].mean()
+                w = round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 9) if a @ a > 1e-15 and b @ b > 1e-15 else 0.0
+                if least is None or w >= least:
+                    found.append((-(w if signed else abs(w)), f"e{j:03d}", w))
+        for rank, (_, name, w) in enumerate(sorted(found)[:4], 1):
+            want[f"e{i:03d}", name] = (w, rank)
+    assert got.keys() == want.keys() and all(abs(got[p][0] - want[p][0]) < 1e-7 and got[p][1] == want[p][1] for p in want)
+    assert graphs.correlation_edges(long.limit(0), "id", "day", "ret", 4).count() == 0
+
+
+def test_core_numbers_with_hubs_and_long_paths(spark, monkeypatch):
+    r = np.random.default_rng(13)
+    rows = {(int(min(a, b)), int(max(a, b))) for a, b in zip(r.integers(0, 80, 300), r.integers(0, 80, 300)) if a != b} | {(0, i) for i in range(1, 80)} | {(i, i + 1) for i in range(100, 5000)}
+    e = edge_frame(spark, [(a, b, 1.0) for a, b in rows])
+    near: dict = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    left, want, k = {v: set(x) for v, x in near.items()}, {}, 0
+    while left:
+        v = min(left, key=lambda y: len(left[y]))
+        k = max(k, len(left[v]))
+        want[v] = k
+        for u in left.pop(v):
+            left[u].discard(v)
+    for hub in (10**6, 20):
+        monkeypatch.setattr(metrics, "HUB", hub)
+        got = {x.id: x.core for x in metrics.core_numbers(e, spark.range(5002).coalesce(1), "id").collect()}
+        assert all(got[v] == want.get(v, 0) for v in range(5002))
+    # what is looked at follows what changes: on a path two nodes a round, not all
+    src = np.repeat(np.arange(1000), 2)[1:-1]
+    looked = []
+    plain = metrics.h_index
+    monkeypatch.setattr(metrics, "h_index", lambda values, first: looked.append(len(first)) or plain(values, first))
+    nodes, now = metrics.settled(src, np.where(np.arange(len(src)) % 2 == 0, src + 1, src - 1), np.full(len(src), 2))
+    assert (now == 1).all() and len(nodes) == 1000 and sum(looked) < 5 * 1000
