@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, sliced, small_batches, table
+from .common import materialize, scratch, sliced, small_batches, table
 from .tokens import encoder
 
 #: ``part``, ``row``: the file's place in the order and the row's place in it; ``part_start``: ids before it in the part.
@@ -82,12 +82,14 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             lists = batch.column(3)
             at = lists.offsets.to_numpy()
-            flat = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<u4")
-            sums = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
+            # ids are below 2^31, so signed and unsigned ones are the same bytes
+            flat = memoryview(lists.values.to_numpy().astype("<i4", copy=False)).cast("B")
+            sums = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
 
     rows = spark.read.schema(SCHEMA).parquet(path).select("doc_id", "part", "part_start", "ids").mapInArrow(crc, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
-    return _placed(spark, path, rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # written through small Arrow batches: what comes back is a few numbers a document
+    return _placed(spark, path, materialize(rows, "checksums")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
