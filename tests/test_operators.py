@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelforge.errors import InvalidValue, MissingArtifact, NotSettled, RowMismatch
 from panelforge.functions import scalars as sc
-from panelforge.operators import alignment, clusters, graphs, metrics, reports, text
+from panelforge.operators import alignment, clusters, graphs, metrics, neighbours, reports, text
 from panelforge.operators import crosssection as cs
 from panelforge.operators import relational as rel
 from panelforge.operators import timeseries as ts
@@ -115,7 +115,8 @@ def test_knn_blocks_agree(spark, monkeypatch):
     r = np.random.default_rng(1)
     v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.standard_normal((60, 5)))], "id long, v array<double>")
     one = {tuple(x) for x in graphs.knn(v, "id", "v", 3).collect()}
-    monkeypatch.setattr(graphs, "BLOCK_ROWS", 17)
+    monkeypatch.setattr(neighbours, "PART_ROWS", 17)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 15)
     assert {tuple(x) for x in graphs.knn(v, "id", "v", 3).collect()} == one
 
 
