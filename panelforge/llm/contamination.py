@@ -178,7 +178,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, that hold no passage of the benchmark; no row moves."""
+    """The rows of ``docs``, all their columns, that hold no passage of the benchmark; no row moves.
+
+    Null and empty texts hold none and stay, as do all rows if the benchmark is empty or its texts are null or too short.
+    Rows with a null id and repeated rows are judged each for itself. An empty table gives no rows.
+    """
     for block in blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:

@@ -99,20 +99,24 @@ def _class_links(classes: DataFrame, hashing: Hashing, threshold: float) -> Data
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(2).to_numpy()
+            dims = batch.column(3).to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                key = hashing.keys(_matrix(part.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column(0).take(pa.array(np.repeat(np.arange(len(key)), hashing.tables))), pa.array(np.tile(np.arange(hashing.tables, dtype=np.int32), len(key)))], ["key", "node", "t"])
+                key = hashing.keys(_matrix(part.column(2)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * hashing.tables), pa.array(key.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], ["node", "copies", "v", "keys"])
 
-    dealt = materialize(classes.select("node", "v", "dim").mapInArrow(keys, "key long, node long, t int"), "vector-keys")
+    kind = dict(classes.dtypes)["v"]
+    keyed = materialize(classes.select("node", "copies", "v", "dim").mapInArrow(keys, f"node long, copies long, v {kind}, keys array<long>"), "vector-keys")
+    dealt = keyed.select("node", F.posexplode("keys").alias("t", "key"))
     sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     # a bucket of more than BLOCK vectors becomes all pairs of its blocks, each of them a task's work of bounded size
     g = F.ceil(F.col("n") / BLOCK)
     mine = F.pmod(F.xxhash64("node"), g)
     placed = dealt.join(sizes, ["t", "key"]).select("t", "key", "node", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), g - 1)).alias("other"))
     placed = placed.select("t", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node")
-    placed = placed.join(classes.select("node", "copies", "v"), "node").select("t", "key", "lo", "hi", "mine", "node", "copies", "v")
+    # a vector's keys go with it, so that all buckets see the same ones: computed again, a product on a cell's edge may fall elsewhere
+    placed = placed.join(keyed, "node").select("t", "key", "lo", "hi", "mine", "node", "copies", "v", "keys")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at in key_runs(batches, 4):
@@ -120,6 +124,7 @@ def _class_links(classes: DataFrame, hashing: Hashing, threshold: float) -> Data
             tables = batch.column(0).to_numpy()
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             sizes = pc.list_value_length(batch.column(7)).to_numpy()
+            every = batch.column(8).flatten().to_numpy().reshape(batch.num_rows, -1)
             for low, high in zip(at[:-1].tolist(), at[1:].tolist()):
                 # keys of vectors of unlike lengths are equal only by chance
                 for dim in np.unique(sizes[low:high]).tolist():
@@ -127,7 +132,7 @@ def _class_links(classes: DataFrame, hashing: Hashing, threshold: float) -> Data
                     if len(of) > 1:
                         unit = _matrix(batch.column(7).take(pa.array(of)))
                         left, right = np.flatnonzero(mine[of] == lo[low]), np.flatnonzero(mine[of] == hi[low])
-                        out += _linked(unit, left, right, node[of], copies[of], int(tables[low]), hashing, threshold)
+                        out += _linked(unit, left, right, node[of], copies[of], every[of, : int(tables[low])], threshold)
             a, n, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), pa.array(b)], ["a", "n", "b"])
 
@@ -135,12 +140,11 @@ def _class_links(classes: DataFrame, hashing: Hashing, threshold: float) -> Data
     return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, n long, b long")
 
 
-def _linked(unit: np.ndarray, left: np.ndarray, right: np.ndarray, node: np.ndarray, copies: np.ndarray, t: int, hashing: Hashing, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Links between ``left`` and ``right`` (the same rows, or two blocks) that no earlier table shows: id, linked rows, a star's centre."""
+def _linked(unit: np.ndarray, left: np.ndarray, right: np.ndarray, node: np.ndarray, copies: np.ndarray, earlier: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links between ``left`` and ``right`` (the same rows, or two blocks) that no earlier table shows (``earlier`` has their keys there): id, linked rows, a star's centre."""
     same = len(left) == len(right) and (left == right).all()
     total = np.zeros(len(unit), np.int64)
     ends: list[tuple[np.ndarray, np.ndarray]] = []
-    keys: dict[int, np.ndarray] = {}
     for low in range(0, len(left), 512):
         rows = left[low : low + 512]
         hit = unit[rows] @ unit[right].T >= threshold
@@ -149,11 +153,9 @@ def _linked(unit: np.ndarray, left: np.ndarray, right: np.ndarray, node: np.ndar
         if not hit.any():
             continue
         r, c = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
-        need = np.unique(np.concatenate([rows[r], right[c]]))
-        key = hashing.keys(unit[need])[:, :t]
-        kr, kc = key[np.searchsorted(need, rows[r])], key[np.searchsorted(need, right[c])]
+        kr, kc = earlier[rows[r]], earlier[right[c]]
         new = hit[np.ix_(r, c)]
-        for before in range(t):
+        for before in range(earlier.shape[1]):
             new &= kr[:, before][:, None] != kc[:, before][None, :]
         total[rows[r]] += new @ copies[right[c]]
         if not same:

@@ -211,7 +211,11 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of ``docs``, all their columns, with a score of at least ``least``; no row moves."""
+    """The rows of ``docs``, all their columns, with a score of at least ``least``; no row moves.
+
+    Null and empty texts have the score of a text without words, like any other text with none, and go or stay by it. Rows with
+    a null id and repeated rows are scored each for itself. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
