@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -20,7 +21,7 @@ from panelforge.plans.stages import Stage, at_least_rows, run_stages
 from panelforge.sources import io
 from panelforge.sources.catalog import TableSpec, Warehouse
 from panelforge.sources.dataset import SemanticDataset
-from panelforge.streaming.ingest import incremental_load, upsert
+from panelforge.streaming.ingest import current_version, incremental_load, loaded, merge_load, upsert
 
 
 def edges(spark, pairs):
@@ -334,6 +335,35 @@ def test_incremental_load(spark, tmp_path):
     assert upsert(spark.range(0).selectExpr("id as k", "id as at"), spark.range(2).selectExpr("id as k", "id as at"), ["k"], "at").count() == 2
 
 
+def test_merge_load_rewrites_touched_buckets(spark, tmp_path):
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    schema = "k int, g string, at int, v string"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        merge_load(spark, src, schema, out, f"{tmp_path}/cp", ["k", "g"], "at", buckets=4).awaitTermination()
+        return {(r.k, r.g): (r["at"], r.v) for r in loaded(spark, out).collect()}
+
+    assert current_version(spark, out) is None
+    many = [(i, "a", 1, f"v{i}") for i in range(40)]
+    want = {(k, g): (at, v) for k, g, at, v in many} | {(1, None): (None, "lone")}
+    assert arrive([*many, (1, None, None, "lone"), (0, "a", None, "older"), (0, "a", 0, "old")]) == want
+    first = {p.name for p in (tmp_path / "out" / "data" / "v0").glob("_bucket=*")}
+    assert len(first) == 4
+    # later, older and equal times, a key of NULLs
+    want |= {(0, "a"): (2, "late"), (1, None): (5, "known"), (2, "a"): (1, "tie")}
+    assert arrive([(0, "a", 2, "late"), (3, "a", 0, "stale"), (1, None, 5, "known"), (2, "a", 1, "tie")]) == want
+    assert {(r.k, r.g): r.v for r in loaded(spark, out, 0).collect()}[0, "a"] == "v0"
+    want |= {(0, "a"): (3, "later")}
+    assert arrive([(0, "a", 3, "later")]) == want and current_version(spark, out) == 2
+    assert len(list((tmp_path / "out" / "data" / "v2").glob("_bucket=*"))) == 1
+    assert sorted(p.name for p in (tmp_path / "out" / "pointers").iterdir()) == ["v1", "v2"]
+    # a pointer without its end, as a lost driver leaves it, is no version
+    shutil.copytree(tmp_path / "out" / "pointers" / "v2", tmp_path / "out" / "pointers" / "v3")
+    (tmp_path / "out" / "pointers" / "v3" / "_SUCCESS").unlink()
+    assert current_version(spark, out) == 2
+
+
 def test_core_numbers_of_a_long_path(spark):
     """The change moves one node a round from each end: over a hundred rounds."""
     edges = spark.createDataFrame([(a, b, 1.0) for i in range(219) for a, b in ((i, i + 1), (i + 1, i))], "src long, dst long, weight double").coalesce(1)

@@ -16,7 +16,7 @@ from .oracle import connect, differences
 SF = "/root/testdata/sf0.001"
 #: Queries without SQL whose values are looked at below, and iterations tested on small graphs in test_operators.
 LOOKED_AT = {"m16_node_metrics", "x2_staged_job", "r1_research_report", "c1_kmeans", "c3_density_clusters", "c6_spectral", "b12_text_embedding", "b13_vector_reduction", "k5_model"}
-SLOW = {"c4_leiden", "c4_leiden_checks", "c5_louvain", "x1_semantic_job"}
+SLOW = {"c4_leiden", "c4_leiden_checks", "c5_louvain", "x1_semantic_job", "x2_staged_job_checks"}
 
 
 @pytest.fixture(scope="module")
