@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelforge.llm import contamination, counts, neardup, packing, pstable, quality, simhash, suffixes, tokenfile, toxicity, warc
@@ -421,6 +422,20 @@ def test_op7_grades(spark):
     assert not any(x.toxic for x in toxicity.severity(df, toxicity.train(df, lab.limit(0))).collect())
 
 
+def test_op7_held_out(spark):
+    """Documents whose labels the fit didn't see: toxic ones rank above the others, and few clean ones are taken for toxic."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.train(docs, labels.where(~out))
+    held = docs.where(out).join(labels.select("doc_id", F.col("toxic").alias("truth")), "doc_id")
+    truth = {r.doc_id: r.truth for r in held.collect()}
+    got = toxicity.severity(held.drop("truth", "toxic"), model).collect()
+    p, y = np.array([r.p_toxic for r in got]), np.array([truth[r.doc_id] == 1 for r in got])
+    above = p[y][:, None] - p[~y][None]
+    assert len(got) > 500 and np.mean((above > 0) + 0.5 * (above == 0)) > 0.95
+    assert np.mean(p[y] >= 0.5) > 0.85 and np.mean(p[~y] >= 0.5) < 0.01
+
+
 def test_op7_fit_reaches_the_optimum():
     """The proximal steps against a pattern search on the same penalised likelihood, in few dimensions."""
     r = np.random.default_rng(33)
