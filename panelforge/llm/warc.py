@@ -91,26 +91,58 @@ def export_warc(records: DataFrame, path: str) -> None:
     records.select(F.concat("header", body).cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", PER_FILE).text(path)
 
 
+def _field(header: bytes, name: bytes) -> bytes | None:
+    """The value of a header's first field ``name``, in whatever case it is written."""
+    for line in header.split(b"\r\n")[1:]:
+        key, colon, value = line.partition(b":")
+        if colon and key.strip().lower() == name.lower():
+            return value.strip()
+    return None
+
+
+def _cut_records(raw: bytes) -> Iterator[tuple[bytes, bytes, str]]:
+    """header, payload and the payload's digest of each record in ``raw``."""
+    at = 0
+    while (end := raw.find(b"\r\n\r\n", at)) >= 0:
+        header, start = raw[at : end + 4], end + 4
+        length = _field(header, b"Content-Length")
+        if length is None or not length.isdigit():
+            raise ValueError(f"no Content-Length in {header[:200]!r}")
+        at = start + int(length)
+        if at > len(raw):
+            raise ValueError(f"file ends within the payload of {header[:200]!r}")
+        payload = raw[start:at]
+        digest = hashlib.sha256(payload).hexdigest()
+        told = _field(header, b"WARC-Payload-Digest") or b""
+        if _field(header, b"WARC-Type") != b"revisit" and told.startswith(b"sha256:") and told != b"sha256:" + digest.encode():
+            raise ValueError(f"payload differs from its header's digest: {header[:200]!r}")
+        yield header, payload, digest
+        at += 4
+
+
 def import_warc(spark: SparkSession, path: str) -> DataFrame:
     """header, payload, digest: the records of WARC files, cut by their Content-Length, so payloads may hold anything.
 
-    A file is one task's work. A response whose payload doesn't match the digest in its header ends the job.
+    A file is one task's work; its records leave it in batches of about 8 MB. A response whose payload doesn't match the
+    digest in its header, a record without a Content-Length and one that the file cuts short end the job; an empty file
+    has no records.
     """
 
+    def batch(rows: list[tuple[bytes, bytes, str]]) -> pa.RecordBatch:
+        kinds = (pa.binary(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["header", "payload", "digest"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                raw, at, rows = content.as_py(), 0, []
-                while (end := raw.find(b"\r\n\r\n", at)) >= 0:
-                    header = raw[at : end + 4]
-                    n = int(header.split(b"\r\nContent-Length: ")[1].split(b"\r\n")[0])
-                    payload = raw[end + 4 : end + 4 + n]
-                    digest = hashlib.sha256(payload).hexdigest()
-                    if b"\r\nWARC-Type: revisit\r\n" not in header and b"\r\nWARC-Payload-Digest: sha256:" in header and digest.encode() not in header:
-                        raise ValueError(f"payload differs from its header's digest: {header[:200]!r}")
-                    rows.append((header, payload, digest))
-                    at = end + 8 + n
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.string()))] if rows else [pa.array([], pa.binary()), pa.array([], pa.binary()), pa.array([], pa.string())], ["header", "payload", "digest"])
+        for files in batches:
+            for content in files.column(0):
+                rows, held = [], 0
+                for record in _cut_records(content.as_py()):
+                    rows.append(record)
+                    held += len(record[0]) + len(record[1])
+                    if held > 8 << 20:
+                        yield batch(rows)
+                        rows, held = [], 0
+                yield batch(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "header binary, payload binary, digest string")
 

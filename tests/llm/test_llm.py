@@ -108,6 +108,24 @@ def test_op2_archive(spark):
     assert warc.records_summary(warc.read_records(spark, path + "e")).count() == 0
 
 
+def test_op2_foreign_files(spark, tmp_path):
+    """Field names in any case, payloads with line ends, no payload, an empty file; broken records are named."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    body = b"a\r\n\r\nb"
+    named = hashlib.sha256(body).hexdigest().encode()
+    first = b"WARC/1.0\r\nwarc-type: response\r\nwarc-payload-digest: sha256:" + named + b"\r\ncontent-length: 6\r\n\r\n" + body + b"\r\n\r\n"
+    second = b"WARC/1.1\r\nWARC-Type: revisit\r\nContent-Length:0\r\n\r\n\r\n\r\n"
+    (folder / "a.warc").write_bytes(first + second)
+    (folder / "b.warc").write_bytes(b"")
+    got = warc.import_warc(spark, str(folder)).collect()
+    assert sorted(bytes(r.payload) for r in got) == [b"", body] and {r.digest for r in got} == {hashlib.sha256(x).hexdigest() for x in (b"", body)}
+    broken = {"no Content-Length": b"WARC/1.1\r\nWARC-Type: response\r\n\r\nx", "file ends within": first[:-8], "payload differs": first.replace(b"a\r\n\r\nb", b"a\r\n\r\nc")}
+    for told, raw in broken.items():
+        with pytest.raises(ValueError, match=told):
+            list(warc._cut_records(raw))
+
+
 def test_op3_vectors(spark, monkeypatch):
     r = np.random.default_rng(3)
     base = r.standard_normal((60, 16))
