@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +17,8 @@ from .numbering import numbered, numbered_ids
 LEAST = 1e-9
 #: Colours of parallel moves: at first, and beyond how many moves are picked so that none disturbs another.
 COLOURS, MOST_COLOURS = 2, 16
+#: Edges of a piece of the graph that one task settles by itself.
+PIECE = 200_000
 
 
 def _between(edges: DataFrame, label: DataFrame) -> DataFrame:
@@ -26,22 +33,167 @@ def _inside(edges: DataFrame, label: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("_a = _b and src <> dst").select("src", "dst", "weight")
 
 
+def _by_piece(rows: DataFrame, piece: object, kernel: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """id, label: what ``kernel`` makes of the columns of each piece's rows, sorted by the first column."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.drop_columns(["piece"])
+        t = t.sort_by(t.column_names[0])
+        ids, labels = kernel(*(c.to_numpy() for c in t.columns))
+        return pa.table([pa.array(ids, pa.int64()), pa.array(labels, pa.int64())], names=["id", "label"])
+
+    return rows.withColumn("piece", piece).groupBy("piece").applyInArrow(run, "id long, label long")
+
+
+def _neighbours(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
+    """The nodes of ``src`` (sorted) and for each the places of the others of them that it is linked with, with weights."""
+    nodes, first = np.unique(src, return_index=True)
+    at = np.minimum(np.searchsorted(nodes, dst), len(nodes) - 1)
+    keep = (nodes[at] == dst) & (src != dst)
+    ends = np.searchsorted(src[keep], nodes, side="right").tolist()
+    pairs = list(zip(at[keep].tolist(), w[keep].tolist()))
+    return nodes, [pairs[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def parted(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node that each is connected with."""
+    nodes, near = _neighbours(src, dst, w)
+    part = [-1] * len(nodes)
+    for v in range(len(nodes)):
+        if part[v] < 0:
+            part[v], todo = v, [v]
+            while todo:
+                for u, _ in near[todo.pop()]:
+                    if part[u] < 0:
+                        part[u] = v
+                        todo.append(u)
+    return nodes, nodes[part]
+
+
+def _split_by_size(edges: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame | None, object]:
+    """src, dst, weight, label inside the labels that a task can hold, with a row of its own for each node; id, label of the others' nodes, if there are any; and the piece of a row."""
+    inside = edges.join(label.withColumnRenamed("id", "src"), "src").select("src", "dst", "weight", "label")
+    size = cut(inside.groupBy("label").agg(F.count("*").alias("n")))
+    most, every = size.agg(F.max("n"), F.sum("n")).first()
+    piece = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-(every or 0) // PIECE))))
+    rows = inside.unionByName(label.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"), "label"))
+    if (most or 0) <= PIECE:
+        return rows, None, piece
+    large = size.where(F.col("n") > PIECE).select("label")
+    return rows.join(large, "label", "left_anti").select("src", "dst", "weight", "label"), label.join(large, "label").select("id", "label"), piece
+
+
 def connected_parts(edges: DataFrame, label: DataFrame) -> DataFrame:
-    """id, label: each label's nodes parted into those that its edges connect, named by their least id."""
+    """id, label: each label's nodes parted into those that its edges connect, named by their least id. A task parts whole labels; those with over ``PIECE`` edges are parted by joins."""
     from .metrics import connected_components
 
-    return cut(connected_components(cut(_inside(edges, label)), label.select("id"), "id").select("id", F.col("component").alias("label")))
+    e = cut(_inside(edges, label))
+    rows, large, piece = _split_by_size(e, label)
+    out = _by_piece(rows.select("src", "dst", "weight", "label"), piece, lambda src, dst, w, of: parted(src, dst, w))
+    if large is not None:
+        whole = cut(e.join(large.select(F.col("id").alias("src")), "src"))
+        out = out.unionByName(connected_components(whole, large.select("id"), "id").select("id", F.col("component").alias("label")))
+    return cut(out)
+
+
+def settled(src: np.ndarray, k: np.ndarray, now: np.ndarray, dst: np.ndarray, label: np.ndarray, vol: np.ndarray, w: np.ndarray, total: float, resolution: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of ``src`` (sorted) and their labels when none of them gains by a move, one after the other; nodes elsewhere keep ``label``."""
+    nodes, first = np.unique(src, return_index=True)
+    names, code = np.unique(label, return_inverse=True)
+    volume = np.zeros(len(names))
+    volume[code] = vol
+    volume, k = volume.tolist(), k[first].tolist()
+    of = np.searchsorted(names, now[first]).tolist()
+    at = np.minimum(np.searchsorted(nodes, dst), len(nodes) - 1)
+    # places of nodes that are here, and codes of labels elsewhere below zero
+    to = np.where(nodes[at] == dst, at, -code - 1)
+    keep = src != dst
+    ends = np.searchsorted(src[keep], nodes, side="right").tolist()
+    pairs = list(zip(to[keep].tolist(), w[keep].tolist()))
+    near = [pairs[a:b] for a, b in zip([0, *ends], ends)]
+    todo, waits = deque(range(len(nodes))), [True] * len(nodes)
+    while todo:
+        v = todo.popleft()
+        waits[v] = False
+        c, share = of[v], resolution * k[v] / total
+        links = {c: 0.0}
+        for u, x in near[v]:
+            a = of[u] if u >= 0 else -u - 1
+            links[a] = links.get(a, 0.0) + x
+        volume[c] -= k[v]
+        least = round(links[c] - share * volume[c], 9)
+        gains = {a: round(x - share * volume[a], 9) for a, x in links.items()}
+        best = max(gains.values())
+        if best > least + LEAST * max(1.0, abs(least)):
+            of[v] = min(a for a, g in gains.items() if g == best)
+            for u, _ in near[v]:
+                if u >= 0 and not waits[u] and of[u] != of[v]:
+                    waits[u] = True
+                    todo.append(u)
+        volume[of[v]] += k[v]
+    return nodes, names[of]
+
+
+def _value(e: DataFrame, label: DataFrame, degree: DataFrame, total: float, resolution: float) -> float:
+    """Modularity but for the links inside nodes."""
+    inside = _inside(e, label).agg(F.sum("weight")).first()[0] or 0.0
+    square = label.join(degree, "id").groupBy("label").agg(F.sum("k").alias("vol")).agg(F.sum(F.col("vol") * F.col("vol"))).first()[0] or 0.0
+    return inside / total - resolution * square / total**2
+
+
+def _moved_in_pieces(e: DataFrame, label: DataFrame, degree: DataFrame, total: float, resolution: float, pieces: int) -> DataFrame:
+    """Moves that tasks make one after the other, each in a piece of the graph while the rest stays as it is.
+
+    A piece holds whole communities, other ones in each round; those too large for it are dealt node by node, and nodes
+    with more neighbours than it may hold stay. With more than one piece a round after which modularity isn't greater is
+    taken back, and two rounds without a gain worth a round are the end.
+    """
+    best, most, quiet, r = label, None, 0, 0
+    large = e.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > PIECE).select(F.col("src").alias("id"))
+    while True:
+        state = best.join(degree, "id")
+        volume = state.groupBy("label").agg(F.sum("k").alias("vol"))
+        own = state.join(volume, "label").select(F.col("id").alias("src"), "k", F.col("label").alias("now"), F.col("id").alias("dst"), "label", "vol", F.lit(0.0).alias("w"))
+        there = own.select(F.col("src").alias("dst"), "label", "vol")
+        near = e.join(own.select("src", "k", "now"), "src").join(there, "dst").select("src", "k", "now", "dst", "label", "vol", F.col("weight").alias("w"))
+        rows, piece = own.unionByName(near), F.lit(0).cast("long")
+        if pieces > 1:
+            wide = cut(near.groupBy("now").agg(F.count("*").alias("n")).where(F.col("n") > PIECE // 2).select("now", F.lit(True).alias("wide")))
+            rows = cut(rows.join(wide, "now", "left").join(large, rows["src"] == large["id"], "left_anti"))
+            piece = F.pmod(F.xxhash64(F.when(F.col("wide"), F.col("src")).otherwise(F.col("now")), F.lit(r)), F.lit(pieces))
+            rows = rows.withColumn("_piece", piece)
+            piece = F.col("_piece")
+        columns = ["src", "k", "now", "dst", "label", "vol", "w"]
+        new = cut(_by_piece(rows.select(*columns, piece.alias("piece")), F.col("piece"), lambda *x: settled(*x, total, resolution)))
+        if pieces <= 1:
+            return new
+        new = cut(best.join(new.withColumnRenamed("label", "to"), "id", "left").select("id", F.coalesce("to", "label").alias("label")))
+        most = _value(e, best, degree, total, resolution) if most is None else most
+        value = _value(e, new, degree, total, resolution)
+        quiet = 0 if value > most + 1e-4 else quiet + 1
+        if value > most:
+            best, most = new, value
+        if quiet == 2:
+            return best
+        r += 1
 
 
 def _moved(edges: DataFrame, label: DataFrame, degree: DataFrame, total: float, resolution: float) -> DataFrame:
     """Local moves until no node gains by a move to a neighbouring community.
 
-    In a round the nodes of one hash colour move at once, each to where it gains most. That may undo a gain: a round after
+    Tasks first settle pieces of the graph; a graph of one piece is settled by that. What gains are left between pieces
+    are found by rounds over the whole graph: in a round the nodes of one hash colour move at once, each to where it gains most. That may undo a gain: a round after
     which modularity isn't greater is taken back, and colours become more. Beyond ``MOST_COLOURS`` only moves are made
     that leave or enter a community which no other move of the round touches; such gains add up, so modularity grows
     with each round and the rounds come to an end.
     """
-    e = edges.where("src <> dst")
+    e = cut(edges.where("src <> dst"))
+    pieces = -(-e.count() // PIECE)
+    if not pieces:
+        return label
+    label = _moved_in_pieces(e, label, degree, total, resolution, pieces)
+    if pieces == 1:
+        return label
     best, most, colours, r = label, None, COLOURS, 0
     while True:
         state = label.join(degree, "id")
@@ -79,7 +231,49 @@ def _moved(edges: DataFrame, label: DataFrame, degree: DataFrame, total: float,
         r += 1
 
 
+def rebuilt(src: np.ndarray, dst: np.ndarray, w: np.ndarray, outer: np.ndarray, k: np.ndarray, total: float, resolution: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (``src``, sorted) and the least node of the part each comes to lie in; see ``_refined``. Links lie inside the communities ``outer``."""
+    nodes, near = _neighbours(src, dst, w)
+    first = np.unique(src, return_index=True)[1]
+    _, of = np.unique(outer[first], return_inverse=True)
+    k = k[first]
+    whole = np.bincount(of, k)[of].tolist()
+    vol, n, part = k.tolist(), [1] * len(nodes), list(range(len(nodes)))
+    k, out = list(vol), [sum(x for _, x in links) for links in near]
+    fine = lambda p: out[p] >= resolution * vol[p] * (whole[p] - vol[p]) / total - LEAST
+    moved = True
+    while moved:
+        moved = False
+        for v in range(len(nodes)):
+            if part[v] != v or n[v] != 1 or not fine(v):
+                continue
+            links: dict[int, float] = {}
+            for u, x in near[v]:
+                links[part[u]] = links.get(part[u], 0.0) + x
+            gains = {p: round(x - resolution * k[v] * vol[p] / total, 9) for p, x in links.items() if fine(p)}
+            best = max(gains.values(), default=0.0)
+            if best > LEAST:
+                p = min(p for p, g in gains.items() if g == best)
+                out[p] += out[v] - 2 * links[p]
+                vol[p] += k[v]
+                part[v], n[p], n[v], moved = p, n[p] + 1, 0, True
+    least: dict[int, int] = {}
+    for v, p in enumerate(part):
+        least.setdefault(p, v)
+    return nodes, nodes[[least[p] for p in part]]
+
+
 def _refined(edges: DataFrame, outer: DataFrame, degree: DataFrame, total: float, resolution: float) -> DataFrame:
+    """Each community of ``outer`` built up again from its single nodes, by the rules of ``_refined_by_rounds``; a task rebuilds whole communities, one node after the other, and only those with over ``PIECE`` edges go by rounds."""
+    rows, large, piece = _split_by_size(cut(_inside(edges, outer)), outer)
+    rows = rows.join(degree.withColumnRenamed("id", "src"), "src").select("src", "dst", "weight", "label", "k")
+    out = _by_piece(rows, piece, lambda *x: rebuilt(*x, total, resolution))
+    if large is not None:
+        out = out.unionByName(_refined_by_rounds(edges, cut(large), degree, total, resolution))
+    return cut(out)
+
+
+def _refined_by_rounds(edges: DataFrame, outer: DataFrame, degree: DataFrame, total: float, resolution: float) -> DataFrame:
     """Each community of ``outer`` built up again from its single nodes.
 
     Only nodes that are still alone move, only inside their community, and only if they and the part they join are well
