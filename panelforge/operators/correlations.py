@@ -20,8 +20,8 @@ from .numbering import numbered_ids
 
 #: Numbers in a block, and blocks of a group at most.
 BLOCK_CELLS, GROUP_BLOCKS = 1 << 17, 8
-#: A variance below this share of the mean square is none: the series are constant over their common dates.
-FLAT = 1e-12
+#: Where a variance is below this share of the mean square its digits cancel out: such pairs are computed again from centred values.
+CANCELS = 1e-4
 
 
 def masked_correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -34,11 +34,34 @@ def masked_correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     n, su, sv = a @ b.T, u @ b.T, a @ v.T
     suu, svv, suv = (u * u) @ b.T, a @ (v * v).T, u @ v.T
     vu, vv = n * suu - su * su, n * svv - sv * sv
-    flat = (vu <= FLAT * n * suu) | (vv <= FLAT * n * svv)
-    r = np.where(flat, 0.0, (n * suv - su * sv) / np.sqrt(np.where(flat, 1.0, vu * vv)))
+    doubtful = (vu <= CANCELS * n * suu) | (vv <= CANCELS * n * svv)
+    r = np.where(doubtful, 0.0, (n * suv - su * sv) / np.sqrt(np.where(doubtful, 1.0, vu * vv)))
+    i, j = np.nonzero(doubtful & (n > 1))
+    step = max(1, (1 << 20) // max(1, x.shape[1]))
+    for low in range(0, len(i), step):
+        p, q = i[low : low + step], j[low : low + step]
+        r[p, q] = centred_correlation(x[p], y[q])
     return np.where(n > 1, np.clip(r, -1.0, 1.0), -np.inf)
 
 
+def centred_correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Each row of ``x`` with the same row of ``y`` over their common dates (one at least); 0 only where all of a series' values there are equal."""
+    both = ~(np.isnan(x) | np.isnan(y))
+    n = both.sum(axis=1)
+
+    def parts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.where(both, v, -np.inf).max(axis=1) == np.where(both, v, np.inf).min(axis=1)
+        d = np.where(both, v, 0.0)
+        d = np.where(both, d - (d.sum(axis=1) / n)[:, None], 0.0)
+        # the mean's own rounding goes too
+        return np.where(both, d - (d.sum(axis=1) / n)[:, None], 0.0), flat
+
+    (u, fu), (v, fv) = parts(x), parts(y)
+    size = np.sqrt((u * u).sum(axis=1)) * np.sqrt((v * v).sum(axis=1))
+    flat = fu | fv | (size == 0)
+    return np.where(flat, 0.0, (u * v).sum(axis=1) / np.where(flat, 1.0, size))
+
+
 def correlated(long: DataFrame, id_col: str, at: str, value: str, k: int, min_corr: float | None = None, signed: bool = True) -> DataFrame:
     """src, dst, weight, rank: see ``graphs.correlation_edges``. One value an entity and date; dates number what a task can hold of one series."""
     kind = dict(long.dtypes)[id_col]
