@@ -3,9 +3,10 @@
 At a similarity of 0.8 SimHash fingerprints differ in some 10 bits and up to 20; blocks of bits that are equal up to such a
 radius are so short that their shards are large shares of the corpus. Here shards come from the smallest hashes of a
 text's shingle set, dealt into bands: two texts of similarity s share a shard with the chance 1 - (1 - s**ROWS)**BANDS,
-0.9994 at 0.8 and more above. Within a shard texts whose fingerprints lie within the radius are compared by their shingle
-sets, all at once as products of incidence matrices; a large shard becomes pairs of blocks, each of them a task's work of
-bounded size. A shard gives stars, not pairs.
+0.9994 at 0.8 and more above. Each shard has a BK-tree, as operator 5's have, which all its fingerprints ask for those
+within the radius; the texts that it finds are compared by their shingle sets, as products of incidence matrices. A large
+shard becomes pairs of blocks, the one's tree asked by the other, each of them a task's work of bounded size. A shard gives
+stars, not pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialize, sliced, temporary
 from .components import components, min_labels
 from .groups import key_runs
-from .simhash import majority
+from .simhash import ASKED, BKTrees, majority
 from .words import mix, spaced
 
 WORDS, LEAST, RADIUS = 5, 0.8, 20
@@ -86,6 +87,18 @@ def alike(values: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.nda
     return np.where(union > 0, inter / np.maximum(union, 1), 1.0) >= least
 
 
+def tree_pairs(points: np.ndarray, asked: np.ndarray, radius: int) -> np.ndarray:
+    """Which of ``asked`` (rows) and ``points`` (columns) are within ``radius``, by a BK-tree of the points' distinct values."""
+    values, at = np.unique(points, return_inverse=True)
+    asking, of = np.unique(asked, return_inverse=True)
+    near = np.zeros((len(asking), len(values)), bool)
+    tree = BKTrees(values, np.zeros(1, np.int64))
+    for low in range(0, len(asking), ASKED):
+        q, node = tree.within(asking[low : low + ASKED], radius)
+        near[low + q, node] = True
+    return near[of][:, at]
+
+
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     """node, shingles: the distinct shingle hashes of each text."""
 
@@ -138,7 +151,7 @@ def links(texts: DataFrame, words: int = WORDS, least: float = LEAST, radius: in
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for low, high in zip(at[:-1].tolist(), at[1:].tolist()):
                 left, right = (np.flatnonzero(mine[low:high] == x[low]) for x in (lo, hi))
-                near = np.bitwise_count(fp[low:high][left][:, None] ^ fp[low:high][right][None, :]) <= radius
+                near = tree_pairs(fp[low:high][right], fp[low:high][left], radius)
                 near &= left[:, None] != right[None, :]
                 # only texts with another one within the radius go into the product
                 r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))

@@ -115,15 +115,37 @@ class BKTrees:
             far = np.bitwise_count(self.points[q] ^ self.points[node]).astype(np.int64)
             near = (far <= radius) & (q != node)
             found.append((q[near], node[near]))
-            # only edges within the radius of the point's own distance can lead to another point within the radius
-            low = np.searchsorted(self.key, node * 65 + np.maximum(far - radius, 0))
-            n = np.searchsorted(self.key, node * 65 + np.minimum(far + radius, 64), side="right") - low
-            of = np.repeat(np.arange(len(q)), n)
+            of, child = self._below(node, far, radius)
             if len(of):
-                todo.append((q[of], self.child[low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)]))
+                todo.append((q[of], child))
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
+    def within(self, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (of ``values``, a point) within ``radius``; there is one shard."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        todo = [(np.arange(len(values)), np.full(len(values), self.levels[0][0]))]
+        while todo:
+            q, node = todo.pop()
+            if len(q) > PAIRS:
+                todo += [(q[PAIRS:], node[PAIRS:])]
+                q, node = q[:PAIRS], node[:PAIRS]
+            far = np.bitwise_count(values[q] ^ self.points[node]).astype(np.int64)
+            found.append((q[far <= radius], node[far <= radius]))
+            of, child = self._below(node, far, radius)
+            if len(of):
+                todo.append((q[of], child))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _below(self, node: np.ndarray, far: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair of a node and a point at distance ``far`` the children that may lead to points within ``radius``: of which pair, and the child."""
+        # only edges within the radius of the point's own distance can lead to another point within the radius
+        low = np.searchsorted(self.key, node * 65 + np.maximum(far - radius, 0))
+        n = np.searchsorted(self.key, node * 65 + np.minimum(far + radius, 64), side="right") - low
+        of = np.repeat(np.arange(len(node)), n)
+        return of, self.child[low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)]
+
+
 def tree_links(points: np.ndarray, first: np.ndarray | None = None, radius: int = RADIUS) -> np.ndarray:
     """For each of ``points`` the least index it reaches in its shard through distances of at most ``radius``: all ask their shard's BK-tree."""
     label = np.arange(len(points))
