@@ -61,10 +61,13 @@ def price_range(df: DataFrame, by: str, at: str, high: str = "high", low: str =
 
 
 def return_features(df: DataFrame, by: str, at: str, close: str = "close", high: str = "high", low: str = "low") -> DataFrame:
-    """All of the above and log_close."""
+    """All of the above and log_close. What goes by the sign comes last, as it sorts the rows again: a task holds two orders of its rows and not three."""
     df = returns(df, by, at, close)
-    df = df.withColumn("log_close", F.when(F.col(close) > 0, F.ln(close)))
-    return price_range(max_drawdown(downside_vol(realized_vol(df, by, at), by, at), by, at, close), by, at, high, low, close)
+    df = realized_vol(df.withColumn("log_close", F.when(F.col(close) > 0, F.ln(close))), by, at)
+    names = df.columns
+    df = downside_vol(price_range(max_drawdown(df, by, at, close), by, at, high, low, close), by, at)
+    falls = [c for c in df.columns if c.startswith("downside_vol_") and c not in names]
+    return df.select(*names, *falls, *[c for c in df.columns if c not in names and c not in falls])
 
 
 def moving_average(df: DataFrame, by: str, at: str, value: str, w: int, name: str) -> DataFrame:
