@@ -96,18 +96,42 @@ def market_return(df: DataFrame, at: str, ret: str = "ret_1") -> DataFrame:
 
 
 def with_market(df: DataFrame, at: str, ret: str = "ret_1") -> DataFrame:
-    """Adds the equal-weighted mean return of the row's date, by a window, so that ``df`` is computed once."""
-    return df.withColumn("market", F.avg(ret).over(Window.partitionBy(at)))
+    """Adds the equal-weighted mean return of the row's date. Dates are few, so their means are broadcast and rows stay where they are."""
+    means = market_return(df, at, ret).withColumnRenamed(at, "_at")
+    return df.join(F.broadcast(means), F.col(at).eqNullSafe(F.col("_at")), "left").drop("_at")
+
+
+def _moments(over, x: Column, y: Column) -> Column:
+    """Count, means, and sums of squares of x and of products about the means."""
+    n = F.count(x).over(over)
+    return F.struct(n.alias("n"), F.avg(x).over(over).alias("x"), F.avg(y).over(over).alias("y"), (F.var_pop(x).over(over) * n).alias("xx"), (F.covar_pop(x, y).over(over) * n).alias("xy"))
 
 
 def beta(df: DataFrame, market: DataFrame | None, by: str, at: str, ret: str = "ret_1", window: int = YEAR) -> DataFrame:
-    """Rolling covariance with the market over its rolling variance, both over the same rows; 0 where the variance is 0. Without ``market`` it is the mean of all rows of a date."""
+    """Rolling covariance with the market over its rolling variance, both over the same rows; 0 where the variance is 0. Without ``market`` it is the mean of all rows of a date.
+
+    A sliding frame would go over ``window`` rows for each row. A series is cut into blocks of ``window`` rows instead, so
+    a row's window is the end of the block before and the start of its own: moments of both are running ones, and two
+    are put together about their common mean, so nothing is subtracted and no value outside the window counts.
+    """
+    names = [*df.columns, "market"]
     x = with_market(df, at, ret) if market is None else df.join(market, at, "left")
-    frame = _series(by, at).rowsBetween(-(window - 1), 0)
     both = F.col(ret).isNotNull() & F.col("market").isNotNull()
-    r, m = F.when(both, F.col(ret)), F.when(both, F.col("market"))
-    var = F.var_pop(m).over(frame)
-    return x.withColumn("beta", F.when(var == 0, 0.0).otherwise(F.covar_pop(r, m).over(frame) / var))
+    x = x.withColumn("_i", F.row_number().over(_series(by, at)) - 1).withColumns({"_block": F.floor(F.col("_i") / window), "_m": F.when(both, F.col("market")), "_r": F.when(both, F.col(ret))})
+    block, m, r = Window.partitionBy(by, "_block"), F.col("_m"), F.col("_r")
+    running = (Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("_end", _moments(block.orderBy(F.desc("_i")).rowsBetween(*running), m, r))
+    x = x.withColumn("_start", _moments(block.orderBy("_i").rowsBetween(*running), m, r))
+    # a block's last row has its whole window in the block
+    before = F.lag("_end", window - 1).over(Window.partitionBy(by).orderBy("_block", "_i"))
+    x = x.withColumn("_end", F.when(F.col("_i") % window != window - 1, before))
+    a, b = F.col("_end"), F.col("_start")
+    shift = a["n"] * b["n"] / F.nullif(a["n"] + b["n"], F.lit(0)) * (b["x"] - a["x"])
+    one = F.when(a["n"] > 0, a).otherwise(b)
+    two = (a["n"] > 0) & (b["n"] > 0)
+    xx = F.when(two, a["xx"] + b["xx"] + shift * (b["x"] - a["x"])).otherwise(one["xx"])
+    xy = F.when(two, a["xy"] + b["xy"] + shift * (b["y"] - a["y"])).otherwise(one["xy"])
+    return x.withColumn("beta", F.when(xx == 0, 0.0).otherwise(xy / xx)).select(*names, "beta")
 
 
 def latest_price_features(df: DataFrame, by: str, at: str, close: str = "close", vol: str = "vol", amount: str = "amount", windows: Sequence[int] = (5, 20, 60, 120, 252)) -> DataFrame:
