@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelforge.llm import contamination, counts, neardup, packing, pstable, quality, simhash, suffixes, tokenfile, toxicity, warc
+from panelforge.llm import contamination, counts, neardup, packing, pstable, quality, simhash, suffixes, tokenfile, tokens, toxicity, warc
 from panelforge.llm.common import scratch
 from panelforge.llm import components as component_module
 from panelforge.llm.components import components, min_labels
@@ -786,3 +786,21 @@ def test_near_copies_come_from_trees(monkeypatch):
         assert (neardup.tree_pairs(points, asked, radius) == want).all()
         assert (neardup.tree_pairs(points[:1], asked, radius) == want[:, :1]).all()
     assert searched
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_new_words_are_encoded_in_a_row(path, monkeypatch):
+    """op10: of the byte-level file's new words only those without a space before them are encoded one by one; ids stay the library's."""
+    r = random.Random(10)
+    parts = ["foo", "Éa", "don't", "'s", "123", "$$$", "a.b", "x,", "y.", "...", "ñ", "<", "|>", "\n", "\t", "\r", "  ", " ", "«q»", "中", "\x01", "\xa0", "-", "it's", "\x85"]
+    texts = ["", None, " ", "\n", ".", ". ", " a", "a ", "a\n", ".\n", "\na", "a. b.", "a.\n"]
+    texts += ["".join(r.choice(parts) + r.choice(["", " ", " ", " "]) for _ in range(r.randint(1, 12))) for _ in range(1500)]
+    texts += [" ".join("".join(r.choice("aeiousßÀ") for _ in range(9)) for _ in range(40)) + ", end." for _ in range(60)]
+    t, coder, alone = Tokenizer.from_file(path), tokens.Encoder(path, most_words=900), []
+    apart = tokens.Encoder._apart
+    monkeypatch.setattr(tokens.Encoder, "_apart", lambda self, words: alone.extend(words) or apart(self, words))
+    for low in range(0, len(texts), 97):
+        ids, at = coder.encode(texts[low : low + 97])
+        got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+        assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts[low : low + 97]]
+    assert path == WORD or all(not w or w[0] in "\n\r\t\x01" for w in alone)
