@@ -6,16 +6,16 @@ and every 32nd id (a larger one). Over cut places p with penalty q the least cos
     best(j) = min over i with p_j - p_i <= size of best(i) + (size - (p_j - p_i)) + q_j
             = size - p_j + q_j + min(best(i) + p_i),
 
-so the minimum of best + p over a sliding range is wanted, which a monotone queue gives in constant time a place. The
-documents of a segment (about a million ids) are cut together; what is left at its end is cut at powers of two, which
-need no padding. No row is shuffled.
+so the minimum of best + p over a sliding range is wanted. It never falls as the range moves on, since each new best + p is
+greater than it by size + q; hence of the places with one penalty the first in the range is the least, and with three
+penalties each place looks at three others. The documents of a segment (about a million ids) are cut together; what is
+left at its end is cut at powers of two, which need no padding. No row is shuffled.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +30,7 @@ from .tokens import encoder
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 SENTENCE, ANYWHERE, STEP = 2, 12, 32
 #: Distinct words whose ids a worker keeps.
-WORDS = 150_000
+WORDS = 500_000
 
 
 def cuts(places: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
@@ -38,30 +38,31 @@ def cuts(places: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
 
     The last window isn't padded: it is cut at powers of two, each cut costing as much as one anywhere.
     """
-    p, q = places.tolist(), penalty.tolist()
-    best, back = [0] * len(p), [0] * len(p)
-    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # best + p, p, index; rising in both
-    for j in range(1, len(p)):
-        at = p[j]
-        low = at - size
-        while queue[0][1] < low:
-            queue.popleft()
-        least, _, i = queue[0]
-        back[j] = i
-        best[j] = cost = least + size - at + q[j]
-        key = cost + at
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, at, j))
-    end = len(p) - 1
+    n, first = len(places), np.searchsorted(places, places - size)
+    # of the places with one penalty the first in reach is the best, so there is one to look at for each penalty
+    reach = []
+    for q in np.unique(penalty):
+        at = np.flatnonzero(penalty == q)
+        nearest = np.append(at, n)[np.searchsorted(at, first)]
+        reach.append(np.where(nearest < np.arange(n), nearest, first))
+    looked_at, step = np.stack(reach), penalty.astype(np.int64) + size
+    # places up to ``until[j]`` look at places before ``j`` only, so they are done at once; there are a few such runs a window
+    until = np.searchsorted(looked_at[:, 1:].max(axis=0), np.arange(n)) + 1
+    total = np.zeros(n, np.int64)  # best + p
+    j, end = 1, n - 1
+    while j < n:
+        high = int(until[j])
+        total[j:high] = total[looked_at[:, j:high]].min(axis=0) + step[j:high]
+        j = high
     out = []
     if end:
-        out.append(p[end])
-        near = range(int(np.searchsorted(places, p[end] - size)), end)
-        j = min(near, key=lambda i: best[i] + ANYWHERE * ((p[end] - p[i]).bit_count() - 1))
+        out.append(int(places[end]))
+        near = range(int(first[end]), end)
+        j = min(near, key=lambda i: int(total[i]) - int(places[i]) + ANYWHERE * ((out[0] - int(places[i])).bit_count() - 1))
         while j:
-            out.append(p[j])
-            j = back[j]
+            out.append(int(places[j]))
+            # the last of equally good places
+            j -= 1 + int(total[first[j] : j][::-1].argmin())
     return out[::-1]
 
 

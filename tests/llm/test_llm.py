@@ -394,6 +394,35 @@ def test_op6_cuts_are_optimal():
         assert ends[-1] - last <= 32 and ends[-1] == places[-1] and cost == best_cost(places, penalty, 32)
 
 
+def test_op6_cuts_with_any_penalties():
+    r = random.Random(12)
+    for k in range(60):
+        size, far = r.choice([(32, 32), (64, 9), (16, 3)])
+        places = [0]
+        while places[-1] < 400:
+            places.append(places[-1] + r.randint(1, far))
+        # few free places, many, all, none
+        penalty = [0 if r.random() < (0.02, 0.5, 1, 0)[k % 4] else r.choice([1, 2, 12, 40]) for _ in places]
+        ends = packing.cuts(np.array(places), np.array(penalty), size)
+        cost = sum(size - (b - a) + penalty[places.index(b)] for a, b in zip([0, *ends], ends[:-1]))
+        last = ends[-1] - (ends[-2] if len(ends) > 1 else 0)
+        assert all(b - a <= size for a, b in zip([0, *ends], ends)) and ends[-1] == places[-1]
+        assert cost + packing.ANYWHERE * (last.bit_count() - 1) == best_cost(places, penalty, size)
+    assert packing.cuts(np.array([0]), np.array([0]), 32) == []
+
+
+def test_op6_words_are_learned_once(monkeypatch):
+    coder, learned = tokens.Encoder(WORD, packing.WORDS), []
+    apart = tokens.Encoder._apart
+    monkeypatch.setattr(tokens.Encoder, "_apart", lambda self, words: learned.append(len(words)) or apart(self, words))
+    letters = np.array(list("abcdefghij"))
+    rows = [" ".join("".join(letters[[int(d) for d in f"{n:06d}"]]) for n in range(low, low + 20_000)) for low in range(0, 200_000, 20_000)]
+    first = [coder.encode([x])[0] for x in rows]
+    again = [coder.encode([x])[0] for x in rows]
+    assert sum(learned) == 200_000 and all((a == b).all() for a, b in zip(first, again))
+    assert first[3].tolist() == Tokenizer.from_file(WORD).encode(rows[3], add_special_tokens=False).ids
+
+
 def test_op6_pieces(spark):
     rows = texts(12)
     t = Tokenizer.from_file(WORD)
