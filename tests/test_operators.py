@@ -136,6 +136,25 @@ def test_metrics_on_known_graphs(spark):
     assert math.isclose(sum(pairs(metrics.eigenvector_centrality(e, n, "id"), "id", "eigenvector").values()), 1)
 
 
+@pytest.mark.parametrize("piece", [metrics.PIECE, 0])
+def test_eigenvector_of_a_long_path_needs_few_products(spark, monkeypatch, piece):
+    """Power iteration needs thousands of rounds there; a task ranks a small graph by itself, a large one goes by joins."""
+    monkeypatch.setattr(metrics, "PIECE", piece)
+    path = [(i, i + 1) for i in range(29)]
+    got = pairs(metrics.eigenvector_centrality(edges(spark, path), nodes(spark, 30), "id", rounds=60, tol=1e-9), "id", "eigenvector")
+    want = np.sin(np.pi * np.arange(1, 31) / 31)
+    assert np.abs(np.array([got[i] for i in range(30)]) - want / want.sum()).max() < 1e-7
+    text = edges(spark, [(0, 1), (2, 3)]).select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"), "weight")
+    got = pairs(metrics.eigenvector_centrality(text, nodes(spark, 5).select(F.concat(F.lit("n"), "id").alias("id")), "id", rounds=60), "id", "eigenvector")
+    assert all(math.isclose(got[f"n{i}"], 0.25, rel_tol=1e-5) for i in range(4)) and 0 <= got["n4"] < 1e-5
+    e, n = edges(spark, [(0, 1), (1, 2), (0, 2), (2, 3)]), nodes(spark, 5)
+    rank = pairs(metrics.pagerank(e, n, "id", rounds=5, tol=0.0), "id", "pagerank")
+    p, x = np.array([[0, 1, 1, 0, 0], [1, 0, 1, 0, 0], [1, 1, 0, 1, 0], [0, 0, 1, 0, 0], [0] * 5]), np.full(5, 0.2)
+    for _ in range(5):
+        x = 0.03 + 0.85 * (p / np.maximum(p.sum(axis=0), 1)) @ x
+    assert np.abs(x - [rank[i] for i in range(5)]).max() < 1e-12
+
+
 def test_communities_find_cliques(spark):
     clique = lambda a: [(a + i, a + j) for i in range(5) for j in range(i)]
     e, n = edges(spark, clique(0) + clique(5) + clique(10) + [(0, 5), (5, 10)]), nodes(spark, 16)
