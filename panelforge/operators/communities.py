@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections import deque
 from collections.abc import Callable
 
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut, iteration
 from .numbering import numbered, numbered_ids
 
+log = logging.getLogger("panelforge")
+
 #: Gains up to this are none.
 LEAST = 1e-9
-#: Colours of parallel moves: at first, and beyond how many moves are picked so that none disturbs another.
+#: Of how many gaining nodes one moves in a round: at first, and beyond which moves are picked so that none disturbs another.
 COLOURS, MOST_COLOURS = 2, 16
-#: Edges of a piece of the graph that one task settles by itself.
+#: Edges of a piece of the graph, or of a whole level, that one task settles by itself.
 PIECE = 200_000
 
 
@@ -134,100 +137,77 @@ def settled(src: np.ndarray, k: np.ndarray, now: np.ndarray, dst: np.ndarray, la
     return nodes, names[of]
 
 
-def _value(e: DataFrame, label: DataFrame, degree: DataFrame, total: float, resolution: float) -> float:
-    """Modularity but for the links inside nodes."""
-    inside = _inside(e, label).agg(F.sum("weight")).first()[0] or 0.0
-    square = label.join(degree, "id").groupBy("label").agg(F.sum("k").alias("vol")).agg(F.sum(F.col("vol") * F.col("vol"))).first()[0] or 0.0
-    return inside / total - resolution * square / total**2
-
-
-def _moved_in_pieces(e: DataFrame, label: DataFrame, degree: DataFrame, total: float, resolution: float, pieces: int) -> DataFrame:
-    """Moves that tasks make one after the other, each in a piece of the graph while the rest stays as it is.
+def _settled_by_one(e: DataFrame, state: DataFrame, size: DataFrame, total: float, resolution: float) -> DataFrame:
+    """id, label after moves that one task makes, one after the other, while the rest stays as it is.
 
-    A piece holds whole communities, other ones in each round; those too large for it are dealt node by node, and nodes
-    with more neighbours than it may hold stay. With more than one piece a round after which modularity isn't greater is
-    taken back, and two rounds without a gain worth a round are the end.
+    ``size`` (id, edges, gains) has the nodes' numbers of edges and which of them gain: these move, and so do the nodes up to two
+    steps around them, as long as that makes up to ``PIECE`` edges. ``state`` is id, k, label, vol.
     """
-    best, most, quiet, r = label, None, 0, 0
-    large = e.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > PIECE).select(F.col("src").alias("id"))
-    while True:
-        state = best.join(degree, "id")
-        volume = state.groupBy("label").agg(F.sum("k").alias("vol"))
-        own = state.join(volume, "label").select(F.col("id").alias("src"), "k", F.col("label").alias("now"), F.col("id").alias("dst"), "label", "vol", F.lit(0.0).alias("w"))
-        there = own.select(F.col("src").alias("dst"), "label", "vol")
-        near = e.join(own.select("src", "k", "now"), "src").join(there, "dst").select("src", "k", "now", "dst", "label", "vol", F.col("weight").alias("w"))
-        rows, piece = own.unionByName(near), F.lit(0).cast("long")
-        if pieces > 1:
-            wide = cut(near.groupBy("now").agg(F.count("*").alias("n")).where(F.col("n") > PIECE // 2).select("now", F.lit(True).alias("wide")))
-            rows = cut(rows.join(wide, "now", "left").join(large, rows["src"] == large["id"], "left_anti"))
-            piece = F.pmod(F.xxhash64(F.when(F.col("wide"), F.col("src")).otherwise(F.col("now")), F.lit(r)), F.lit(pieces))
-            rows = rows.withColumn("_piece", piece)
-            piece = F.col("_piece")
-        columns = ["src", "k", "now", "dst", "label", "vol", "w"]
-        new = cut(_by_piece(rows.select(*columns, piece.alias("piece")), F.col("piece"), lambda *x: settled(*x, total, resolution)))
-        if pieces <= 1:
-            return new
-        new = cut(best.join(new.withColumnRenamed("label", "to"), "id", "left").select("id", F.coalesce("to", "label").alias("label")))
-        most = _value(e, best, degree, total, resolution) if most is None else most
-        value = _value(e, new, degree, total, resolution)
-        quiet = 0 if value > most + 1e-4 else quiet + 1
-        if value > most:
-            best, most = new, value
-        if quiet == 2:
-            return best
-        r += 1
+    some = size.where("gains").select("id")
+    for _ in range(2):
+        ring = cut(e.join(some.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).unionByName(some).distinct())
+        if (size.join(ring, "id").agg(F.sum("edges")).first()[0] or 0) > PIECE:
+            break
+        some = ring
+    mine = state.join(some, "id").select(F.col("id").alias("src"), "k", F.col("label").alias("now"), "vol")
+    own = mine.select("src", "k", "now", F.col("src").alias("dst"), F.col("now").alias("label"), "vol", F.lit(0.0).alias("w"))
+    there = state.select(F.col("id").alias("dst"), "label", "vol")
+    near = e.join(mine.drop("vol"), "src").join(there, "dst").select("src", "k", "now", "dst", "label", "vol", F.col("weight").alias("w"))
+    new = _by_piece(own.unionByName(near), F.lit(0), lambda *x: settled(*x, total, resolution))
+    return cut(state.select("id", "label").join(new.withColumnRenamed("label", "to"), "id", "left").select("id", F.coalesce("to", "label").alias("label")))
 
 
 def _moved(edges: DataFrame, label: DataFrame, degree: DataFrame, total: float, resolution: float) -> DataFrame:
     """Local moves until no node gains by a move to a neighbouring community.
 
-    Tasks first settle pieces of the graph; a graph of one piece is settled by that. What gains are left between pieces
-    are found by rounds over the whole graph: in a round the nodes of one hash colour move at once, each to where it gains most. That may undo a gain: a round after
-    which modularity isn't greater is taken back, and colours become more. Beyond ``MOST_COLOURS`` only moves are made
-    that leave or enter a community which no other move of the round touches; such gains add up, so modularity grows
-    with each round and the rounds come to an end.
+    In a round a random half of the nodes that gain move at once, each to where it gains most; of two nodes that are alone
+    only the one joins the other. That may undo a gain: a round after which modularity isn't greater is taken back, and
+    fewer nodes move at once. Beyond ``MOST_COLOURS`` only moves are made that leave or enter a community which no other
+    move of the round touches; such gains add up, so modularity grows with each round and the rounds come to an end. Where
+    the nodes that gain have up to ``PIECE`` edges together, a task moves them and those around them one after the other instead.
     """
     e = cut(edges.where("src <> dst"))
-    pieces = -(-e.count() // PIECE)
-    if not pieces:
-        return label
-    label = _moved_in_pieces(e, label, degree, total, resolution, pieces)
-    if pieces == 1:
-        return label
     best, most, colours, r = label, None, COLOURS, 0
     while True:
         state = label.join(degree, "id")
-        volume = state.groupBy("label").agg(F.sum("k").alias("vol"))
-        links = e.join(label.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "label", F.col("weight").alias("w"))
+        volume = state.groupBy("label").agg(F.sum("k").alias("vol"), F.count("*").alias("n"))
+        state = cut(state.join(volume, "label").select("id", "k", "label", "vol", "n"))
+        own = state.select(F.col("id").alias("src"), "k", F.col("label").alias("now"), F.col("vol").alias("all"), F.col("n").alias("alone"))
+        near = e.join(state.select(F.col("id").alias("dst"), "label", "vol", "n"), "dst").select("src", "label", "vol", "n", "weight")
         # every node is also linked with its own community, by nothing
-        links = links.unionByName(label.select("id", "label", F.lit(0.0).alias("w"))).groupBy("id", "label").agg(F.sum("w").alias("w"))
-        x = links.join(volume, "label").join(state.withColumnRenamed("label", "now"), "id")
-        own = F.col("label") == F.col("now")
-        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("vol") - F.when(own, F.col("k")).otherwise(0.0)) / total, 9)
-        x = x.select("id", "now", "label", "w", "k", "vol", own.alias("own"), gain.alias("g"))
-        of_own = [F.max(F.when(F.col("own"), c)).alias(n) for n, c in (("g0", F.col("g")), ("inside", F.col("w")), ("square", F.col("k") * F.col("vol")))]
-        x = x.groupBy("id", "now").agg(F.max_by("label", F.struct("g", F.struct(-F.col("label")))).alias("to"), F.max("g").alias("g1"), *of_own)
-        colour = F.pmod(F.xxhash64("id", F.lit(r // colours)), F.lit(colours))
-        x = cut(x.withColumns({"gains": F.col("g1") > F.col("g0") + LEAST, "colour": colour}))
+        near = near.unionByName(state.select(F.col("id").alias("src"), "label", "vol", "n", F.lit(0.0).alias("weight")))
+        x = near.groupBy("src", "label").agg(F.sum("weight").alias("w"), F.first("vol").alias("vol"), F.first("n").alias("n"), F.count("*").alias("edges")).join(own, "src")
+        here = F.col("label") == F.col("now")
+        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("vol") - F.when(here, F.col("k")).otherwise(0.0)) / total, 9)
+        x = x.withColumns({"g": gain, "here": here}).groupBy(F.col("src").alias("id"))
+        x = x.agg(
+            F.first("now").alias("now"), F.first("alone").alias("alone"), F.sum("edges").alias("edges"),
+            F.max_by(F.struct(F.col("label").alias("to"), F.col("n").alias("there")), F.struct("g", F.struct(-F.col("label")))).alias("to"),
+            F.max("g").alias("g1"), F.max(F.when(F.col("here"), F.col("g"))).alias("g0"),
+            F.max(F.when(F.col("here"), F.col("w"))).alias("inside"), F.first(F.col("k") * F.col("all")).alias("square"),
+        )
+        x = cut(x.select("id", "now", "to.to", "g0", "g1", "inside", "square", "edges", (F.col("g1") > F.col("g0") + LEAST).alias("gains"), ((F.col("alone") > 1) | (F.col("to.there") > 1) | (F.col("to.to") < F.col("now"))).alias("first")))
         # modularity is of the labels that this round began with: what all rounds share (links inside a node) is left out
-        inside, square, there = x.agg(F.sum("inside"), F.sum("square"), F.collect_set(F.when(F.col("gains"), F.col("colour")))).first()
+        inside, square, there, held = x.agg(F.sum("inside"), F.sum("square"), F.count_if("gains"), F.sum(F.when(F.col("gains"), F.col("edges")))).first()
         value = (inside or 0.0) / total - resolution * (square or 0.0) / total**2
+        log.info("communities: round %d, %d nodes gain, modularity %.6f", r, there, value)
         if most is not None and value <= most:
             label, most, colours = best, None, colours * 2
             continue
         best, most = label, value
         if not there:
             return best
-        if colours > MOST_COLOURS:
+        if held <= PIECE:
+            label = _settled_by_one(e, state, x.select("id", "edges", "gains"), total, resolution)
+        elif colours > MOST_COLOURS:
             move = F.struct(F.col("g1") - F.col("g0"), "id").alias("move")
             touched = x.where("gains").select(F.explode(F.array("now", "to")).alias("c"), move).groupBy("c").agg(F.max("move").alias("first")).select("c", F.col("first.id").alias("winner"))
             picked = x.where("gains").join(touched.select(F.col("c").alias("now"), F.col("winner").alias("w1")), "now").join(touched.select(F.col("c").alias("to"), F.col("winner").alias("w2")), "to")
             picked = picked.where("id = w1 and id = w2").select("id", F.lit(True).alias("moves"))
             label = cut(x.join(picked, "id", "left").select("id", F.when(F.col("moves"), F.col("to")).otherwise(F.col("now")).alias("label")))
         else:
-            # the colours take turns; one without a gaining node is passed over
-            turn = sorted(there)[r % len(there)]
-            label = x.select("id", F.when(F.col("gains") & (F.col("colour") == turn), F.col("to")).otherwise(F.col("now")).alias("label"))
+            turn = F.col("gains") & F.col("first") & (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(colours)) == 0)
+            label = x.select("id", F.when(turn, F.col("to")).otherwise(F.col("now")).alias("label"))
         r += 1
 
 
@@ -263,6 +243,45 @@ def rebuilt(src: np.ndarray, dst: np.ndarray, w: np.ndarray, outer: np.ndarray,
     return nodes, nodes[[least[p] for p in part]]
 
 
+def finished(src: np.ndarray, dst: np.ndarray, w: np.ndarray, start: np.ndarray, total: float, resolution: float, refine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of ``src`` (sorted) and their communities at the end of all levels, as ``communities`` goes through them; ``start`` has the labels that the nodes begin with."""
+    nodes, first = np.unique(src, return_index=True)
+    part, label = nodes.copy(), start[first]
+    while True:
+        names, i = np.unique(src, return_inverse=True)
+        k = np.bincount(i, w, len(names))
+        j = np.searchsorted(names, dst)
+        codes, of = np.unique(label, return_inverse=True)
+        volume = np.bincount(of, k, len(codes))
+        moved = settled(src, k[i], label[i], dst, label[j], volume[of][j], w, total, resolution)[1]
+        current = moved[np.searchsorted(names, part)]
+        split = moved
+        if refine and (moved != names).any():
+            inside = (moved[i] == moved[j]) | (src == dst)
+            split = rebuilt(src[inside], dst[inside], w[inside], moved[i][inside], k[i][inside], total, resolution)[1]
+        if not (split != names).any():
+            return nodes, current
+        part = split[np.searchsorted(names, part)]
+        up, back = np.unique(split, return_inverse=True)
+        label = up
+        if refine:
+            # parts start in the communities that they were built from, named by the least part
+            outer = np.unique(moved, return_inverse=True)[1]
+            of_part = np.zeros(len(up), np.int64)
+            of_part[back] = outer
+            least = np.full(len(names), np.iinfo(np.int64).max)
+            np.minimum.at(least, of_part, up)
+            label = least[of_part]
+        pair, at = np.unique(back[i] * len(up) + back[j], return_inverse=True)
+        src, dst, w = up[pair // len(up)], up[pair % len(up)], np.bincount(at, w, len(pair))
+
+
+def _finished(e: DataFrame, start: DataFrame, total: float, resolution: float, refine: bool) -> DataFrame:
+    """id, label of a graph of up to ``PIECE`` edges at the end of all levels: one task's work."""
+    rows = e.unionByName(start.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"))).join(start.withColumnRenamed("id", "src"), "src")
+    return cut(_by_piece(rows.select("src", "dst", "weight", "label"), F.lit(0), lambda *x: finished(*x, total, resolution, refine)))
+
+
 def _refined(edges: DataFrame, outer: DataFrame, degree: DataFrame, total: float, resolution: float) -> DataFrame:
     """Each community of ``outer`` built up again from its single nodes, by the rules of ``_refined_by_rounds``; a task rebuilds whole communities, one node after the other, and only those with over ``PIECE`` edges go by rounds."""
     rows, large, piece = _split_by_size(cut(_inside(edges, outer)), outer)
@@ -326,8 +345,12 @@ def communities(edges: DataFrame, nodes: DataFrame, id_col: str, resolution: flo
         while total:
             level = part.select(F.col("label").alias("id")).distinct()
             degree = cut(level.join(e.groupBy("src").agg(F.sum("weight").alias("k")), F.col("id") == F.col("src"), "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k")))
-            single = degree.select("id", F.col("id").alias("label"))
-            moved = _moved(e, single if start is None else start, degree, total, resolution)
+            begin = degree.select("id", F.col("id").alias("label")) if start is None else start
+            if e.limit(PIECE + 1).count() <= PIECE:
+                moved = _finished(e, begin, total, resolution, refine)
+                current = cut(part.join(moved.withColumnRenamed("label", "m"), F.col("label") == moved["id"]).select(part["id"], F.col("m").alias("label")))
+                break
+            moved = _moved(e, begin, degree, total, resolution)
             merged = moved.where("id <> label").limit(1).count()
             current = cut(part.join(moved.withColumnRenamed("label", "m"), F.col("label") == moved["id"]).select(part["id"], F.col("m").alias("label")))
             split = _refined(e, moved, degree, total, resolution) if refine and merged else moved
