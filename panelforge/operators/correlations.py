@@ -2,7 +2,8 @@
 
 A block holds some entities' series side by side, with a zero and a mark where a date is missing. The sums that a pair's
 correlation needs (numbers of common dates, sums, squares and products over them) are entries of five matrix products of
-two blocks, so no row is made for a pair and a date. A group of blocks meets all blocks and keeps each series' k best.
+two blocks, so no row is made for a pair and a date. Blocks lie in groups, and a task takes two groups (or one with
+itself): each pair of series is computed once, for both of them, and the k best of each are put together afterwards.
 """
 
 from __future__ import annotations
@@ -11,15 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 from .neighbours import Best
 from .numbering import numbered_ids
 
-#: Numbers in a block, and blocks of a group at most.
-BLOCK_CELLS, GROUP_BLOCKS = 1 << 17, 8
+#: Numbers in a block, and of a group (which a task holds) at most.
+BLOCK_CELLS, GROUP_CELLS = 1 << 17, 12 << 20
 #: Where a variance is below this share of the mean square its digits cancel out: such pairs are computed again from centred values.
 CANCELS = 1e-4
 
@@ -72,7 +73,8 @@ def correlated(long: DataFrame, id_col: str, at: str, value: str, k: int, min_co
     n, width = names.count(), max(1, dates.count())
     rows = max(8, min(1024, BLOCK_CELLS // width, -(-n // (2 * spark.sparkContext.defaultParallelism))))
     blocks = max(1, -(-n // rows))
-    per = max(1, min(GROUP_BLOCKS, blocks // (2 * spark.sparkContext.defaultParallelism)))
+    # a group goes to as many tasks as there are groups: few, but enough pairs of them for all cores
+    groups = min(blocks, max(-(-blocks * rows * width // GROUP_CELLS), int(np.ceil(np.sqrt(6 * spark.sparkContext.defaultParallelism)))))
     cells = x.join(names, "id").join(dates.select(F.col("id").alias("t"), F.col("no").cast("int").alias("place")), "t").select("no", "place", "x")
     series = cells.groupBy("no").agg(F.collect_list(F.struct("place", "x")).alias("s")).select("no", F.transform("s", lambda s: s["place"]).alias("place"), F.transform("s", lambda s: s["x"]).alias("x"))
 
@@ -86,17 +88,17 @@ def correlated(long: DataFrame, id_col: str, at: str, value: str, k: int, min_co
         return pa.table([pa.array([block], pa.int64()), pa.ListArray.from_arrays([0, len(no)], pa.array(no)), pa.ListArray.from_arrays([0, m.size], pa.array(m.ravel()))], names=["block", "no", "x"])
 
     parts = cut(series.withColumn("block", F.pmod("no", F.lit(blocks))).groupBy("block").applyInArrow(pack, "block long, no array<long>, x array<double>"))
-    groups = -(-blocks // per)
-    own = parts.select(F.expr(f"block div {per}").alias("group"), F.lit(0).alias("side"), "block", "no", "x")
-    theirs = parts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.lit(1).alias("side"), "block", "no", "x")
+    of = F.col("block") % groups
+    tile = lambda low, high: (low * groups + high).alias("tile")
+    own = parts.select("*", of.alias("group"), F.explode(F.sequence(of, F.lit(groups - 1).cast("long"))).alias("other")).select(tile(F.col("group"), F.col("other")), F.lit(0).alias("side"), "block", "no", "x")
+    theirs = parts.select("*", of.alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), of)).alias("other")).select(tile(F.col("other"), F.col("group")), F.lit(1).alias("side"), "block", "no", "x")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, no, best = None, [], None, None
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if best is not None:
-                r, c = np.nonzero(best.weight > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(no[r]), pa.array(best.to[r, c]), pa.array(best.value[r, c] + 0.0), pa.array((c + 1).astype(np.int32))], ["src", "dst", "weight", "rank"])
+        def told(no: np.ndarray, best: Best) -> pa.RecordBatch:
+            r, c = np.nonzero(best.weight > -np.inf)
+            return pa.RecordBatch.from_arrays([pa.array(no[r]), pa.array(best.to[r, c]), pa.array(best.value[r, c] + 0.0)], ["src", "dst", "weight"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -104,7 +106,8 @@ def correlated(long: DataFrame, id_col: str, at: str, value: str, k: int, min_co
                 ids = batch.column(3)[i].values.to_numpy()
                 y = batch.column(4)[i].values.to_numpy().reshape(len(ids), -1)
                 if to != group:
-                    yield from done()
+                    if best is not None:
+                        yield told(no, best)
                     group, held, best = to, [], None
                 if side == 0:
                     held.append((ids, y))
@@ -112,14 +115,23 @@ def correlated(long: DataFrame, id_col: str, at: str, value: str, k: int, min_co
                 if best is None:
                     no, mine = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                     best = Best(len(no), k, None)
+                back = None if group // groups == group % groups else Best(len(ids), k, None)
                 for low in range(0, len(no), 256):
                     weight = np.round(masked_correlation(mine[low : low + 256], y), 9)
                     score = weight if signed else np.where(weight > -np.inf, np.abs(weight), weight)
                     if min_corr is not None:
                         score = np.where(weight >= min_corr, score, -np.inf)
+                    if back is not None:
+                        back.add(0, ids, score.T.copy(), no[low : low + 256], weight.T)
                     best.add(low, no[low : low + 256], score, ids, weight)
-        yield from done()
-
-    found = own.unionByName(theirs).repartition(max(1, min(4096, groups)), "group").sortWithinPartitions("group", "side", "block").mapInArrow(compare, "src long, dst long, weight double, rank int")
+                if back is not None:
+                    yield told(ids, back)
+        if best is not None:
+            yield told(no, best)
+
+    tiles = groups * (groups + 1) // 2
+    found = own.unionByName(theirs).repartition(max(1, min(4096, 2 * tiles)), "tile").sortWithinPartitions("tile", "side", "block").mapInArrow(compare, "src long, dst long, weight double")
+    order = Window.partitionBy("src").orderBy(F.desc("weight" if signed else F.abs("weight")), "dst")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     a, b = (names.select(F.col("no").alias(end), F.col("id").alias(f"_{end}")) for end in ("src", "dst"))
     return found.join(a, "src").join(b, "dst").select(F.col("_src").cast(kind).alias("src"), F.col("_dst").cast(kind).alias("dst"), "weight", "rank")
